@@ -1,4 +1,44 @@
 """The queries of the text-corpus operators and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from archivolt.llm import canonical, chunks
+from archivolt.plans.runtime import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.formatting_copies(table(spark, d, "uris"), "id", "uri")
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.collapsed(table(spark, d, "uris"), "id", "uri")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.same_payload(table(spark, d, "warc_response_bulk_input"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found}
+
+_CANON = r"""
+with marked as (
+  select id, uri, split_part(uri, '#', 1) bare, strpos(uri, '#') hash_at from uris where id is not null and uri is not null),
+parts as (
+  select id, uri, case when strpos(bare, '?') > 0 then split_part(bare, '?', 1) else bare end path,
+    case when strpos(bare, '?') > 0 then substr(bare, strpos(bare, '?') + 1) else '' end query,
+    case when hash_at > 0 then substr(uri, hash_at + 1) else '' end fragment from marked),
+folded as (
+  select id, regexp_replace(replace(lower(path), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}]', '', 'g') path,
+    regexp_replace(replace(lower(fragment), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}]', '', 'g') fragment,
+    list_sort(list_filter(list_transform(regexp_split_to_array(replace(lower(query), 'ß', 'ss'), '[&;]'),
+      lambda x: regexp_replace(x, '[^\p{L}\p{N}\p{M}]', '', 'g')), lambda x: x <> '')) fields from parts),
+keyed as (
+  select id, case when len(fields) = 0 then path || fragment else path || '?' || array_to_string(fields, '&') || '#' || fragment end canon from folded)
+"""
+
+SQL = {
+    "p1_found": _CANON + "select * from (select min(id) over (partition by canon) first_id, id copy_id from keyed) where first_id < copy_id",
+    "p1_counts": _CANON + "select min(id) first_id, count(*) copies from keyed group by canon",
+}
