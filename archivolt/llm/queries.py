@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archivolt.llm import canonical, chunks
+from archivolt.llm import canonical, chunks, lookalikes, mixing, packing
+from archivolt.llm.tokens import token_counts
 from archivolt.plans.runtime import table
 
 
@@ -20,7 +22,52 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.same_payload(table(spark, d, "warc_response_bulk_input"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found}
+def _packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, d, "pack_sizes").collect()]
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(token_counts(table(spark, d, "documents"), "text", ["doc_id"]), "doc_id", _packs(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, d), _packs(spark, d))
+
+
+def _weights(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
+    return [(r["source"], r["weight"], r["max_repeats"]) for r in table(spark, d, "mix_weights").collect()]
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    weights = _weights(spark, d)
+    named = table(spark, d, "documents").where(F.col("source").isin([s for s, w, r in weights if w and w > 0 and r and r > 0]))
+    return mixing.mixture(token_counts(named, "text", ["doc_id", "source"]), "doc_id", "source", weights)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mixture(spark, d), _weights(spark, d))
+
+
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.form_keys(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.lookalike_pairs(_looks(spark, d))
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.look_classes(_looks(spark, d))
+
+
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.canonical_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p8_packed": p8_packed, "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts,
+}
 
 _CANON = r"""
 with marked as (
