@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import canonical, chunks, lookalikes, mixing, packing
+from archivolt.llm import boilerplate, canonical, chunks, lookalikes, mixing, packing, residue
 from archivolt.llm.tokens import token_counts
 from archivolt.plans.runtime import table
 
@@ -18,6 +18,20 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.collapsed(table(spark, d, "uris"), "id", "uri")
 
 
+def _page_model(pages: DataFrame):
+    return boilerplate.fit(boilerplate.training_pages(pages, "payload"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "view_record")
+    return residue.main_lines(pages, "view_id", "payload", _page_model(pages)).withColumnRenamed("id", "view_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "view_record")
+    return residue.unfit(pages, "view_id", "payload", _page_model(pages)).withColumnRenamed("id", "view_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.same_payload(table(spark, d, "warc_response_bulk_input"))
 
@@ -65,7 +79,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p8_packed": p8_packed, "p8_fill": p8_fill,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts,
 }
 
