@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions import native as N
+from archivolt.functions import web
 from archivolt.operators import archive as A
-from archivolt.operators import ingest, progress, redirects
+from archivolt.operators import closure, export, ingest, progress, redirects
 from archivolt.operators.archive import Archive
-from archivolt.plans.runtime import micros, table
+from archivolt.plans.runtime import checkpoint_dir, micros, table
+from archivolt.sources import warc, warc_writer
 
 TERM, TYPE, MOMENT = "amber-drumlin", "text/html", "2024-01-10T12:00:00Z"
 
@@ -542,3 +546,71 @@ j as (select row_id, payload_byte_length n, greatest(0, least(payload_byte_lengt
     "zip_size": "with e as (select length('pages/' || view_id || '.html') name_size, octet_length(encode(payload)) size from view_record where payload is not null) select count(*) entries, cast(sum(30 + name_size + size + 16 + 46 + name_size) + 22 as bigint) archive_size from e",
     "page_links": "select view_id, href, count(*) n from (select view_id, unnest(regexp_extract_all(payload, '<a href=\"([^\"]*)\"', 1)) href from view_record where payload is not null) group by all",
 }
+
+
+# -- documents: rewriting, references, closure (checked by tests, not by SQL) --------------------------
+
+API = "https://archive.test/view"
+
+
+def _pages(s, d):
+    v = table(s, d, "view_record")
+    return v.select(F.col("view_id").alias("id"), F.col("url").alias("uri"), F.col("date_archived").alias("archived_date"), "content_type", "status", F.col("payload").alias("body"), "warc_file", "uuid")
+
+
+def html_rewrite(s, d):
+    pages = _pages(s, d).where(N.document_kind("content_type") == "html")
+    return pages.where("body is not null").select("id", web.html_rewritten(API)("body", "uri", F.date_format("archived_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("document"))
+
+
+def css_rewrite(s, d):
+    pages = _pages(s, d).where(N.document_kind("content_type") == "css")
+    return pages.where("body is not null").select("id", web.css_rewritten(API)("body", "uri", F.date_format("archived_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("document"))
+
+
+def page_references(s, d):
+    return closure.reference_edges(_pages(s, d))
+
+
+def dependency_closure(s, d):
+    pages = _pages(s, d)
+    return closure.dependency_closure(pages, pages.where(N.document_kind("content_type") == "html"))
+
+
+def entry_paths(s, d):
+    p = _pages(s, d).where("uri is not null")
+    return p.select("id", web.entry_paths("uri", "uuid").alias("path"))
+
+
+def path_assignment(s, d):
+    p = _pages(s, d).where("uri is not null").select("id", F.col("uri").alias("url"), "content_type", "status", F.col("warc_file").alias("archive"), "uuid")
+    return closure.assigned_paths(p)
+
+
+def path_collisions(s, d):
+    u = table(s, d, "uris")
+    return export.colliding_paths(u.select("id", F.regexp_replace("uri", r"[?#][\s\S]*$", "").alias("path")))
+
+
+def _warc_round_trip(s, d, compress):
+    """The pages written as WARC files into the shared folder and scanned again."""
+    folder = f"{checkpoint_dir(s).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    pages = _pages(s, d).withColumn("date", F.date_format("archived_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("identity", F.col("uuid"))
+    warc_writer.write_warcs(pages, folder, compress).agg(F.sum("records")).collect()
+    warc.register(s)
+    rows = s.read.format("warc").option("types", "response").load(folder)
+    return rows.select(F.col("target_uri").alias("uri"), "status", F.col("record_id").alias("uuid"), micros(F.col("warc_date")).alias("archived_date_us"), (F.col("payload_length") - 0).alias("n_bytes"))
+
+
+def warc_scan(s, d):
+    return _warc_round_trip(s, d, False)
+
+
+def warc_gz_scan(s, d):
+    return _warc_round_trip(s, d, True)
+
+
+for _name in ("warc_scan", "warc_gz_scan", "html_rewrite", "css_rewrite", "page_references", "dependency_closure", "entry_paths", "path_assignment", "path_collisions"):
+    QUERIES[_name] = globals()[_name]
+SQL["warc_scan"] = SQL["warc_gz_scan"] = "select array_to_string(list_filter(regexp_split_to_array(url, '[ \\t\\r\\n]+'), lambda x: x <> ''), ' ') uri, coalesce(status, 200) status, lower(uuid) uuid, epoch_us(date_archived) archived_date_us, octet_length(encode(payload)) n_bytes from view_record where payload is not null and url is not null"
+SQL["path_collisions"] = "select id, path, count(*) over (partition by lower(path)) > 1 collides from (select id, regexp_replace(uri, '(?s)[?#].*$', '') path from uris)"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,16 +18,19 @@ BLOCK = 1 << 18
 
 
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
+    path = local(path)
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def local(path: str) -> str:
+    """A ``file:`` address as a plain path; any other path as it is."""
+    return re.sub(r"^file:(?://)?(?=/)", "", path)
+
+
 def list_files(path: str) -> list[tuple[str, int]]:
     """Path and size of a file, or of every archive file below a folder, by path; symbolic links are not followed."""
-    import os
-
+    path = local(path)
     if any(c in path for c in "*?["):
-        import glob
-
         return [(p, os.path.getsize(p)) for p in sorted(glob.glob(path, recursive=True)) if os.path.isfile(p) and not os.path.islink(p)]
     system, inner = resolve(path)
     info = system.get_file_info(inner)

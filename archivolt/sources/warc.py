@@ -28,6 +28,7 @@ SEGMENT, WINDOW, HEADER_MAX = 64 << 20, 1 << 20, 1 << 20
 #: Bytes between a record's content and the next record, as the standard has it and as some writers do.
 GAPS = (4, 8, 0, 2)
 MARK = b"WARC/1."
+BLANKS = " \t\r\n"
 _STATUS = re.compile(rb"^HTTP/(\d+(?:\.\d+)?)[ \t]+(\d{3})(?:[ \t]+(.*))?$")
 _UUID = re.compile(r"urn:uuid:([0-9a-fA-F-]{36})")
 
@@ -59,7 +60,7 @@ def fields(lines: Sequence[bytes]) -> dict[str, str]:
         name, colon, value = line.partition(":")
         if not colon:
             continue
-        name, value = name.strip(), value.strip()
+        name, value = name.strip(BLANKS), value.strip(BLANKS)
         last = spelling.setdefault(name.lower(), name)
         out[last] = f"{out[last]}, {value}" if last in out else value
     return out
@@ -180,8 +181,8 @@ def decode(reader, start: int, end: int | None, types: frozenset[str] | None = N
             return
         headers, version, body, stop = bounds
         row = {"offset": at, "warc_version": version, "warc_type": (get(headers, "WARC-Type") or "").lower() or None, "warc_headers": headers, "skipped_bytes": skipped}
-        uri = (get(headers, "WARC-Target-URI") or "").strip()
-        uri = uri[1:-1].strip() if uri[:1] == "<" and uri[-1:] == ">" else uri
+        uri = (get(headers, "WARC-Target-URI") or "").strip(BLANKS)
+        uri = uri[1:-1].strip(BLANKS) if uri[:1] == "<" and uri[-1:] == ">" else uri
         uuid = _UUID.search(get(headers, "WARC-Record-ID") or "")
         row |= {"target_uri": uri or None, "record_id": uuid[1].lower() if uuid else None, "warc_date": timestamp(get(headers, "WARC-Date")), "ip": get(headers, "WARC-IP-Address"), "payload_digest": get(headers, "WARC-Payload-Digest"), "is_truncated": get(headers, "WARC-Truncated") is not None}
         if row["warc_type"] == "response":
