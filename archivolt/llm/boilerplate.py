@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ LEXICON = {
     "copyright": r"^(?:©|\(c\)|copyright)",
 }
 _LEXICON = {k: re.compile(v, re.IGNORECASE) for k, v in LEXICON.items()}
+_ANY = re.compile("|".join(f"(?:{v})" for v in LEXICON.values()), re.IGNORECASE)
 _PARTS = ("nav", "header", "footer", "aside", "main", "article", "noscript", "form", "head", "table", "ul", "ol", "section")
 _NEAR = ("related", "legal", "cookie", "share", "pager", "crumb", "menu", "menuline", "button", "copyright")
 
@@ -69,6 +71,24 @@ def body(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if b.tag != "title" and "head" not in b.path]
 
 
+@lru_cache(maxsize=50_000)
+def text_features(text: str) -> frozenset[str]:
+    """The observations that a block's text alone gives."""
+    n = len(text)
+    f = {f"len={_bin(n, (12, 30, 60, 120, 240))}", f"words={_bin(text.count(' ') + 1, (1, 3, 7, 15))}", f"end={text[-1] if text[-1] in '.!?:,;' else '-'}"}
+    if _ANY.search(text):
+        f.update(f"word={k}" for k, rx in _LEXICON.items() if rx.search(text))
+    if text[0] in "-*•":
+        f.add("bullet")
+    if text[0].islower():
+        f.add("lower")
+    return frozenset(f)
+
+
+def _seen_from_beside(own: set[str]) -> list[str]:
+    return [x for x in own if x.startswith(("tag=", "link=", "len=")) or x.startswith("word=") and x[5:] in _NEAR]
+
+
 def features(blocks: list[Block], kind: str, title: str = "") -> list[set[str]]:
     """The observations of each block: tags, text, neighbourhood, and what its neighbours look like."""
     group = groups(blocks, kind)
@@ -78,54 +98,46 @@ def features(blocks: list[Block], kind: str, title: str = "") -> list[set[str]]:
     own: list[set[str]] = []
     for b in blocks:
         n = len(b.text)
-        words = b.text.count(" ") + 1
-        f = {f"tag={b.tag}", f"len={_bin(n, (12, 30, 60, 120, 240))}", f"words={_bin(words, (1, 3, 7, 15))}"}
-        ratio = b.linked / n if n else 0
-        f.add(f"link={0 if not b.linked else _bin(ratio, (0.5, 0.9)) + 1}")
-        f.add(f"links={_bin(b.links, (0, 1))}")
+        f = set(text_features(b.text) if n <= 400 else text_features.__wrapped__(b.text))
+        f.update((f"tag={b.tag}", f"link={0 if not b.linked else _bin(b.linked / n, (0.5, 0.9)) + 1}", f"links={_bin(b.links, (0, 1))}"))
         f.update(f"in={t}" for t in _PARTS if t in b.path)
         if b.buttons:
             f.add("buttons")
         if b.bold * 10 > n * 9:
             f.add("bold")
-        f.update(f"word={k}" for k, rx in _LEXICON.items() if rx.search(b.text))
-        f.add(f"end={b.text[-1] if b.text[-1] in '.!?:,;' else '-'}")
-        if b.text[0] in "-*•":
-            f.add("bullet")
-        if b.text[0].islower():
-            f.add("lower")
         own.append(f)
     headings = [i for i, b in enumerate(blocks) if b.tag == "h1"] or [i for i, b in enumerate(blocks) if len(b.text) > 7 and title.startswith(b.text)]
-    out = []
-    last = len(blocks) - 1
-    titled = any(len(b.text) > 40 and b.tag == "line" for b in blocks)
-    first_text = next((i for i, b in enumerate(blocks) if len(b.text) > 40 and not own[i] & {"word=cookie", "word=crumb", "word=menuline", "word=legal"}), last + 1)
-    after_related = False
-    for i, b in enumerate(blocks):
-        f = set(own[i])
-        f.add("bias")
-        f.add(f"kind={kind}")
-        mates = members[group[i]]
-        lead = own[mates[0]]
+    heading_set = set(headings)
+    shared: dict[int, set[str]] = {}
+    for g, mates in members.items():
+        lead, f = own[mates[0]], {"bias", f"kind={kind}", f"mates={_bin(len(mates), (1, 2, 5))}"}
         if "word=related" in lead:
             f.add("led=related")
-            after_related = after_related or kind == "text"
-        if after_related:
-            f.add("behind related")
         if "tag=h3" in lead or "bold" in lead or "tag=h4" in lead:
             f.add("led=small")
-        if mates[0] in headings:
+        if mates[0] in heading_set:
             f.add("led=h1")
         if any("word=copyright" in own[j] for j in mates):
             f.add("with copyright")
-        if any(j in headings for j in mates):
+        if any(j in heading_set for j in mates):
             f.add("with h1")
         if any("buttons" in own[j] or "word=button" in own[j] for j in mates):
             f.add("with buttons")
-        if all(own[j] & {"link=3", "word=menu"} for j in mates):
+        if all("link=3" in own[j] or "word=menu" in own[j] for j in mates):
             f.add("all links")
-        f.add(f"mates={_bin(len(mates), (1, 2, 5))}")
-        f.add("no h1" if not headings else "at h1" if i in headings else "before h1" if i < headings[0] else "after h1")
+        shared[g] = f
+    beside = [_seen_from_beside(f) for f in own]
+    out = []
+    last = len(blocks) - 1
+    titled = any(len(b.text) > 40 and b.tag == "line" for b in blocks)
+    first_text = next((i for i, b in enumerate(blocks) if len(b.text) > 40 and not own[i] & {"word=cookie", "word=crumb", "word=menuline", "word=legal"}), last + 1)
+    after_related = False
+    for i, b in enumerate(blocks):
+        f = own[i] | shared[group[i]]
+        after_related = after_related or kind == "text" and "led=related" in f
+        if after_related:
+            f.add("behind related")
+        f.add("no h1" if not headings else "at h1" if i in heading_set else "before h1" if i < headings[0] else "after h1")
         if kind == "text":
             f.add("before text" if i < first_text else "at text" if i == first_text else "after text")
             f.add(f"gap={int(i > 0 and group[i] != group[i - 1])}{int(i < last and group[i] != group[i + 1])}")
@@ -133,15 +145,15 @@ def features(blocks: list[Block], kind: str, title: str = "") -> list[set[str]]:
             f.add(f"first={i}")
         if last - i < 3:
             f.add(f"last={last - i}")
-        for side, j in (("prev", i - 1), ("next", i + 1)):
+        for side, j in (("prev:", i - 1), ("next:", i + 1)):
             if 0 <= j <= last:
-                f.update(f"{side}:{x}" for x in own[j] if x.startswith(("tag=", "link=", "len=")) or x[5:] in _NEAR and x.startswith("word="))
-                f.add(f"{side}:{'same' if group[j] == group[i] else 'other'}")
+                f.update([side + x for x in beside[j]])
+                f.add(side + ("same" if group[j] == group[i] else "other"))
             else:
-                f.add(f"{side}:none")
+                f.add(side + "none")
         if titled:
             f.add("long lines")
-        if i in headings and b.tag != "h1":
+        if i in heading_set and b.tag != "h1":
             f.add("title text")
         out.append(f)
     return out

@@ -19,22 +19,23 @@ class Model:
     transitions: np.ndarray
     start: np.ndarray
 
-    def scores(self, elements: list[set[str]]) -> np.ndarray:
-        get = self.weights.get
-        return np.array([sum(get(f, 0.0) for f in x) for x in elements])
+    def scores(self, elements: list[set[str]]) -> list[float]:
+        weights = self.weights
+        return [sum([weights[f] for f in x if f in weights]) for x in elements]
 
     def decode(self, elements: list[set[str]]) -> list[int]:
         """The likeliest labels (Viterbi); ties go to label 0."""
         if not elements:
             return []
-        t, back = self.transitions, []
+        (t00, t01), (t10, t11) = self.transitions.tolist()
         scores = self.scores(elements)
-        best = np.array([self.start[0], self.start[1] + scores[0]])
+        zero, one = float(self.start[0]), float(self.start[1]) + scores[0]
+        back: list[tuple[bool, bool]] = []
         for s in scores[1:]:
-            paths = best[:, None] + t
-            back.append(paths.argmax(0))
-            best = paths.max(0) + np.array([0.0, s])
-        labels = [int(best[1] > best[0])]
+            to_zero, to_one = one + t10 > zero + t00, one + t11 > zero + t01
+            back.append((to_zero, to_one))
+            zero, one = (one + t10 if to_zero else zero + t00), (one + t11 if to_one else zero + t01) + s
+        labels = [int(one > zero)]
         for b in reversed(back):
             labels.append(int(b[labels[-1]]))
         return labels[::-1]

@@ -78,8 +78,8 @@ def _html_blocks(payload: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal parts, lines, linked, buttons, bold, links
-        text = re.sub(r"\s+", " ", html.unescape("".join(parts))).strip()
-        if text:
+        raw = "".join(parts)
+        if not raw.isspace() and (text := " ".join(html.unescape(raw).split())):
             own = next((t for t, _ in reversed(stack) if t not in INLINE), "root")
             chain = tuple(n for t, n in stack if t in GROUPING)
             out.append(Block(text, lines, own, tuple(t for t, _ in stack), linked, buttons, bold, links, chain))

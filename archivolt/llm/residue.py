@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +65,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def residue_kind(text: str) -> str | None:
     """``placeholder``, ``filler``, ``error``, ``script`` or None for a stretch that says something of its own."""
+    return _residue_kind(text) if len(text) <= 400 else _residue_kind.__wrapped__(text)
+
+
+@lru_cache(maxsize=50_000)
+def _residue_kind(text: str) -> str | None:
     text = text.strip().lstrip("-*• ").strip()
     words = _WORD.findall(text)
     if _DEFAULTS.match(text):
