@@ -44,7 +44,7 @@ def blob_type(http_header, stored) -> Column:
 
 def joined_content_type(content_type) -> Column:
     """Parameters trimmed and joined by ``"; "``."""
-    return F.array_join(F.transform(F.split(_c(content_type), ";"), F.trim), "; ")
+    return F.array_join(F.transform(F.split(_c(content_type), ";"), lambda x: F.trim(x)), "; ")
 
 
 # -- URIs --------------------------------------------------------------------
@@ -113,7 +113,7 @@ def header(headers, name: str) -> Column:
 
 def is_chunked(transfer_encoding) -> Column:
     """Whether ``chunked`` is among the codings of a list such as ``gzip, chunked``."""
-    codings = F.transform(F.split(F.lower(_c(transfer_encoding)), ","), F.trim)
+    codings = F.transform(F.split(F.lower(_c(transfer_encoding)), ","), lambda x: F.trim(x))
     return F.coalesce(F.array_contains(codings, "chunked"), F.lit(False))
 
 

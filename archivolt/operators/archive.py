@@ -76,8 +76,10 @@ class Archive:
         if query and query.strip():
             out = out.where(F.lower("uri").contains(query.lower()))
         if content_type and content_type.strip():
-            ids = self.type_ids(content_type).agg(F.collect_list("content_type_id").alias("wanted"))  # one row
-            out = out.join(F.broadcast(ids)).where(F.arrays_overlap("content_type_ids", "wanted")).drop("wanted")
+            # the overlap of two sets as a semi join, so that neither the type ids nor a URI's set has to be bounded
+            pairs = out.select("id", F.explode(F.array_distinct("content_type_ids")).alias("content_type_id"))
+            hit = pairs.join(small(self.type_ids(content_type)), "content_type_id", "left_semi").select("id")
+            out = out.join(small(hit), "id", "left_semi")
         return out
 
     def _captures_of(self, page: DataFrame, content_type: str | None = None) -> DataFrame:
@@ -187,7 +189,7 @@ class Archive:
         """Captures of a list of ids with each id's place in the list; unknown ids have nulls, an empty list none."""
         wanted = self.spark.createDataFrame(list(enumerate(warc_custom_ids)), "ordinal int, warc_custom_id string")
         found = self.captures(["warc_custom_id", "response_id", "status", "uri"])
-        return F.broadcast(wanted).join(found, "warc_custom_id", "left") if not warc_custom_ids else found.join(F.broadcast(wanted), "warc_custom_id", "right")
+        return found.join(F.broadcast(wanted), "warc_custom_id", "right")
 
     # -- type sets ------------------------------------------------------------------
 
