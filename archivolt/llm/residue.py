@@ -102,7 +102,7 @@ def _residue_kind(text: str) -> str | None:
 
 def _case_bound(hole: str) -> bool:
     """Marks that count in capitals only, met in another case."""
-    return bool(re.fullmatch(r"%\w+%|\[[\w ]+\]|\w+_placeholder|__\w+__", hole, re.IGNORECASE)) and not _UPPER_ONLY.fullmatch(hole) and not hole.lower().startswith(("[insert", "[object"))
+    return bool(re.fullmatch(r"%\w+%|\[[\w ]+\]|\w+_placeholder|__\w+__", hole, re.IGNORECASE)) and not _UPPER_ONLY.fullmatch(hole) and not hole.lower().startswith(("[insert ", "[object"))
 
 
 def judge(main: list[Block], rest: list[Block], title: str) -> tuple[str, list[str]]:
