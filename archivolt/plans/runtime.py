@@ -49,3 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
 def micros(column) -> F.Column:
     """Microseconds since the epoch of a timestamp column (zoned, or naive and taken as UTC)."""
     return F.unix_micros(column.cast("timestamp"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan gives work to fewer than half of them, as small or unsplittable files do; for
+    a costly Python pass over it. Anything larger is left as it is read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
