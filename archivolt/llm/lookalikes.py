@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.plans.runtime import cut, spread
+
 #: Letters of other scripts, each with the Latin letter of its shape.
 GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C"}
 CYRILLIC = {"А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w"}
@@ -103,7 +105,7 @@ def form_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sql = f"""select id, unhex(md5(form)) look, unhex(md5(text)) raw from (select id, text, {form_sql('text')} form from part where text is not null)
         where regexp_matches(form, '[^\\s]')"""
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_in_duckdb(sql, ["id", "look", "raw"]), f"id {kind}, look binary, raw binary")
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(_in_duckdb(sql, ["id", "look", "raw"]), f"id {kind}, look binary, raw binary")
 
 
 def look_classes(keys: DataFrame) -> DataFrame:
@@ -117,9 +119,9 @@ def lookalike_pairs(keys: DataFrame) -> DataFrame:
 
     Pairs are formed between the distinct texts of a look, then expanded to the documents, so copies to the letter
     never meet. A look with one distinct text, however often it occurs, costs one row per task. Ids are taken as
-    unique; a null id is left out.
+    unique; a null id is left out. The keys, 40 bytes a text, are materialised, so that no text is read twice.
     """
-    keys = keys.where(F.col("id").isNotNull())
+    keys = cut(keys.where(F.col("id").isNotNull()))
     texts = keys.groupBy("look", "raw").agg(F.count("*").alias("n"))
     varied = texts.groupBy("look").agg(F.count("*").alias("texts")).where("texts > 1").select("look")
     members = keys.join(varied, "look", "left_semi")
