@@ -158,3 +158,10 @@ def byte_range(range_header, size) -> Column:
     answer = lambda s, a, b: F.struct(F.lit(s).alias("status"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end"))
     whole = answer(200, F.lit(0), n - 1)
     return F.when(~formed, whole).when(bad, answer(416, F.lit(None), F.lit(None))).otherwise(answer(206, start, end))
+
+
+def json_object(text) -> Column:
+    """A JSON object's members as text; what is no object is kept whole under ``raw``; null gives an empty map."""
+    held = F.from_json(_c(text), "map<string,string>")
+    whole = F.create_map(F.lit("raw"), _c(text))
+    return F.when(_c(text).isNull(), F.create_map().cast("map<string,string>")).when(held.isNull(), whole).otherwise(held)

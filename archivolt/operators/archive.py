@@ -185,6 +185,21 @@ class Archive:
         b = requests.select("record_id", F.col("method").alias("m2"))
         return out.join(a, "concurrent_to", "left").join(b, "record_id", "left").withColumn("method", F.coalesce("m1", "m2")).drop("m1", "m2", "concurrent_to")
 
+    def get(self, table_name: str, **natural) -> DataFrame:
+        """The rows of a table with a natural key, such as ``get("uris", uri="https://a.test/")``."""
+        rows = getattr(self, table_name)
+        for column, value in natural.items():
+            rows = rows.where(F.col(column).eqNullSafe(F.lit(value)))
+        return rows
+
+    def detail_chain(self, warc_custom_id: str, max_hops: int = 20) -> DataFrame:
+        """The redirect chain of a record whose response is a 3xx; none for any other."""
+        from archivolt.operators.redirects import redirect_paths
+
+        all_captures = self.captures()
+        start = all_captures.where((F.col("warc_custom_id") == warc_custom_id) & N.is_redirect("status"))
+        return redirect_paths(all_captures, start, max_hops)
+
     def batch(self, warc_custom_ids: list[str]) -> DataFrame:
         """Captures of a list of ids with each id's place in the list; unknown ids have nulls, an empty list none."""
         wanted = self.spark.createDataFrame(list(enumerate(warc_custom_ids)), "ordinal int, warc_custom_id string")

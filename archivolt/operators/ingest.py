@@ -80,3 +80,11 @@ def refreshed_headers(old: Column, new: Column) -> Column:
     """Headers of a repeated upsert: the old ones, with the new ones over them."""
     mine, theirs = F.coalesce(new, F.create_map().cast("map<string,string>")), F.coalesce(old, F.create_map().cast("map<string,string>"))
     return F.map_concat(F.map_filter(theirs, lambda k, v: ~F.map_contains_key(mine, k)), mine)
+
+
+def refreshed_responses(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Responses after a repeated upsert (both: record_id unique, status, headers, last_modified, content_type_id):
+    new values where there are any, headers merged, a null date keeps the old one."""
+    both = old.alias("o").join(new.alias("n"), "record_id", "full")
+    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
+    return both.select("record_id", pick("status"), refreshed_headers(F.col("o.headers"), F.col("n.headers")).alias("headers"), pick("last_modified"), pick("content_type_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from archivolt.functions import native as N
 from archivolt.functions import web
 from archivolt.operators import archive as A
-from archivolt.operators import closure, export, ingest, progress, redirects
+from archivolt.operators import closure, export, ingest, progress, redirects, view
 from archivolt.operators.archive import Archive
 from archivolt.plans.runtime import checkpoint_dir, micros, table
 from archivolt.sources import warc, warc_writer
@@ -610,7 +610,44 @@ def warc_gz_scan(s, d):
     return _warc_round_trip(s, d, True)
 
 
-for _name in ("warc_scan", "warc_gz_scan", "html_rewrite", "css_rewrite", "page_references", "dependency_closure", "entry_paths", "path_assignment", "path_collisions"):
+def download_ledger(s, d):
+    """Every bulk row requested in its batch's export, and every tenth id a second time under an unknown id."""
+    b = _bulk(s, d)
+    ends = b.where("payload_byte_offset is not null").groupBy("file_path").agg((F.max(F.col("payload_byte_offset") + F.col("payload_byte_length")) - 20000).alias("file_size"))
+    held = b.join(ends, "file_path", "left").select(F.col("row_id").alias("id"), F.col("payload_byte_offset").alias("byte_offset"), F.col("payload_byte_length").alias("byte_length"), "file_size")
+    asked = b.select(F.col("batch_id").alias("export_id"), F.col("row_id").alias("ordinal"), F.col("row_id").alias("id"))
+    unknown = asked.where("id % 10 = 0").select("export_id", "ordinal", (-F.col("id")).alias("id"))
+    return view.ledger(asked.where("id % 10 <> 0").unionByName(unknown), held, 25, 300_000)
+
+
+def view_documents(s, d):
+    pages = _pages(s, d).withColumn("body", F.col("body").cast("binary"))
+    return view.viewed(pages, API).select("id", "content_type", F.octet_length("body").alias("n_bytes"))
+
+
+def view_ranges(s, d):
+    pages = _pages(s, d).where("body is not null").withColumn("body", F.col("body").cast("binary"))
+    return view.ranged(pages, "bytes=100-299").select("id", "status", F.octet_length("part").alias("n_bytes"))
+
+
+def offline_bundle(s, d):
+    p = _pages(s, d).where("uri is not null").select("id", F.col("uri").alias("url"), "content_type", "status", F.col("warc_file").alias("archive"), "uuid", "body")
+    return view.bundle(p).select("path", F.octet_length("body").alias("n_bytes"))
+
+
+def json_headers(s, d):
+    v = table(s, d, "view_record").where(N.document_kind("content_type") == "other")
+    return v.select("view_id", F.size(N.json_object("payload")).alias("members"))
+
+
+for _name in ("download_ledger", "view_documents", "view_ranges", "offline_bundle", "json_headers", "warc_scan", "warc_gz_scan", "html_rewrite", "css_rewrite", "page_references", "dependency_closure", "entry_paths", "path_assignment", "path_collisions"):
     QUERIES[_name] = globals()[_name]
 SQL["warc_scan"] = SQL["warc_gz_scan"] = "select array_to_string(list_filter(regexp_split_to_array(url, '[ \\t\\r\\n]+'), lambda x: x <> ''), ' ') uri, coalesce(status, 200) status, lower(uuid) uuid, epoch_us(date_archived) archived_date_us, octet_length(encode(payload)) n_bytes from view_record where payload is not null and url is not null"
+SQL["download_ledger"] = """with b as (select * from warc_response_bulk_input), ends as (select file_path, max(payload_byte_offset + payload_byte_length) - 20000 file_size from b where payload_byte_offset is not null group by file_path),
+asked as (select batch_id export_id, row_id ordinal, case when row_id % 10 = 0 then -row_id else row_id end id, row_id from b),
+judged as (select a.*, payload_byte_length n, case when a.id < 0 then 'not-found' when payload_byte_offset is null or payload_byte_length is null then 'no-payload'
+  when greatest(0, least(payload_byte_length, coalesce(file_size, 0) - payload_byte_offset)) <> payload_byte_length then 'short-read' else 'stored' end status from asked a join b on b.row_id = a.row_id left join ends e on e.file_path = b.file_path),
+counted as (select *, sum(case when status = 'stored' then 1 else 0 end) over w k, sum(case when status = 'stored' then n else 0 end) over w total from judged window w as (partition by export_id order by ordinal rows unbounded preceding))
+select export_id, ordinal, id, case when status = 'stored' and (k > 25 or total > 300000) then 'over-budget' else status end status from counted"""
+SQL["view_ranges"] = "select view_id id, case when octet_length(encode(payload)) > 100 then 206 else 416 end status, case when octet_length(encode(payload)) > 100 then least(200, octet_length(encode(payload)) - 100) end n_bytes from view_record where payload is not null"
 SQL["path_collisions"] = "select id, path, count(*) over (partition by lower(path)) > 1 collides from (select id, regexp_replace(uri, '(?s)[?#].*$', '') path from uris)"

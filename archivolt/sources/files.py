@@ -230,3 +230,11 @@ def cdx_ranges(path: str) -> list[tuple[str, int, int]]:
         return [(e.name, e.start, e.size) for e in zip_entries(source) if e.name.startswith("indexes/") and ".cdx" in e.name and not e.method]
     finally:
         source.close()
+
+
+def folder_stats(spark, path: str):
+    """``files`` and ``total_bytes`` of the archive files below a folder, by a listing alone."""
+    from pyspark.sql import functions as F
+
+    listed = spark.createDataFrame(list_files(path), "file_path string, size bigint")
+    return listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"))
