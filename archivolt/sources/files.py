@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import glob
 import os
 import re
@@ -60,6 +61,12 @@ class Plain:
             self.block_at, self.block = at, self._raw(at, max(n, BLOCK))
         return self.block[at - self.block_at : at - self.block_at + n]
 
+    def window(self, at: int) -> bytes:
+        """What is in memory from ``at`` on, else the next block."""
+        if not (self.block_at <= at < self.block_at + len(self.block)):
+            self.block_at, self.block = at, self._raw(at, min(BLOCK, max(0, self.size - at)))
+        return self.block[at - self.block_at :]
+
     def _raw(self, at: int, n: int) -> bytes:
         self.raw.seek(self.start + at)
         return self.raw.read(min(n, self.size - at))
@@ -93,7 +100,7 @@ class Inflated:
                     return
                 self.members.append((self.at, self.begin + len(self.held)))
                 self.inflater = zlib.decompressobj(31)
-            data = self.source.read(self.at, BLOCK)
+            data = self.source.window(self.at)
             if not data:
                 self.done = True
                 return
@@ -120,10 +127,7 @@ class Inflated:
 
     def member_at(self, logical: int) -> tuple[int, int]:
         """(compressed offset, logical offset) of the member that holds a byte already read."""
-        import bisect
-
-        k = bisect.bisect_right([m[1] for m in self.members], logical) - 1
-        return self.members[k]
+        return self.members[bisect.bisect_right(self.members, logical, key=lambda m: m[1]) - 1]
 
     def close(self) -> None:
         self.source.close()
@@ -135,7 +139,7 @@ def member_index(source: Plain) -> Iterator[tuple[int, int, int, int]]:
     while source.read(at, 2) == GZIP:
         inflater, begin, n = zlib.decompressobj(31), at, 0
         while not inflater.eof:
-            data = source.read(at, BLOCK)
+            data = source.window(at)
             if not data:
                 raise ValueError(f"the gzip member at {begin} is cut off")
             n += len(inflater.decompress(data))
