@@ -19,7 +19,7 @@ from archivolt.llm import crf
 from archivolt.llm.pages import Block, blocks_of, kind_of
 
 #: Labelled pages in training at most, and characters of the longest one: the bound of what the driver reads.
-TRAIN_PAGES, TRAIN_CHARS = 600, 50_000
+TRAIN_PAGES, TRAIN_CHARS = 300, 50_000
 
 #: Words by which sites mark what is theirs, in the languages of the archive.
 LEXICON = {

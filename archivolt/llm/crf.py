@@ -41,38 +41,40 @@ class Model:
         return labels[::-1]
 
 
-def _likelihood(theta: np.ndarray, x: np.ndarray, rows: np.ndarray, mask: np.ndarray, gold: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
-    """Negative log-likelihood and gradient. ``x``: elements by features (dense 0/1); ``rows``: sequences by places,
-    the element's number; ``mask``: places that exist; ``gold``: their labels."""
+def _likelihood(theta: np.ndarray, x: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], l2: float) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood and gradient. ``x``: elements by features (dense 0/1). Each group holds sequences of
+    about one length, places first: the elements' numbers, the places that exist, the labels there."""
     k = x.shape[1]
     w, trans, start = theta[:k], theta[k : k + 4].reshape(2, 2), theta[k + 4 : k + 6]
-    s = np.where(mask, (x @ w)[rows], 0.0)
-    n, size = rows.shape
-    emit = np.stack([np.zeros_like(s), s], -1)
-    alpha = np.empty((n, size, 2))
-    alpha[:, 0] = start + emit[:, 0]
-    for j in range(1, size):
-        step = np.logaddexp(alpha[:, j - 1, 0, None] + trans[0], alpha[:, j - 1, 1, None] + trans[1]) + emit[:, j]
-        alpha[:, j] = np.where(mask[:, j, None], step, alpha[:, j - 1])
-    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-    beta = np.zeros((n, size, 2))
-    for j in range(size - 2, -1, -1):
-        ahead = emit[:, j + 1] + beta[:, j + 1]
-        step = np.logaddexp(trans[:, 0] + ahead[:, 0, None], trans[:, 1] + ahead[:, 1, None])
-        beta[:, j] = np.where(mask[:, j + 1, None], step, beta[:, j + 1])
-    marginal = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * mask
-    pair = np.exp(alpha[:, :-1, :, None] + trans + (emit + beta)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-    first = np.stack([1 - marginal[:, 0], marginal[:, 0]], -1)
-    real = gold * mask
-    score = (s * real).sum()
-    counts = np.zeros((2, 2))
-    both = mask[:, 1:]
-    np.add.at(counts, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    score += (counts * trans).sum() + start[gold[:, 0]].sum()
-    error = np.zeros(x.shape[0])
-    error[rows[mask]] = (marginal - real)[mask]
-    gradient = np.concatenate([x.T @ error, (pair.sum((0, 1)) - counts).ravel(), first.sum(0) - np.bincount(gold[:, 0], minlength=2)])
-    return z.sum() - score + l2 * (theta @ theta) / 2, gradient + l2 * theta
+    every = x @ w.astype(np.float32)
+    error = np.zeros(x.shape[0], np.float32)
+    moves, firsts, value = np.zeros((2, 2)), np.zeros(2), 0.0
+    for rows, mask, gold in groups:
+        size, n = rows.shape
+        s = np.where(mask, every[rows], 0.0)
+        a0, a1 = np.empty((size, n)), np.empty((size, n))
+        a0[0], a1[0] = start[0], start[1] + s[0]
+        for j in range(1, size):
+            p, q, m = a0[j - 1], a1[j - 1], mask[j]
+            a0[j] = np.where(m, np.logaddexp(p + trans[0, 0], q + trans[1, 0]), p)
+            a1[j] = np.where(m, np.logaddexp(p + trans[0, 1], q + trans[1, 1]) + s[j], q)
+        z = np.logaddexp(a0[-1], a1[-1])
+        b0, b1 = np.zeros((size, n)), np.zeros((size, n))
+        for j in range(size - 2, -1, -1):
+            p, q, m = b0[j + 1], b1[j + 1] + s[j + 1], mask[j + 1]
+            b0[j] = np.where(m, np.logaddexp(trans[0, 0] + p, trans[0, 1] + q), b0[j + 1])
+            b1[j] = np.where(m, np.logaddexp(trans[1, 0] + p, trans[1, 1] + q), b1[j + 1])
+        marginal = np.where(mask, np.exp(a1 + b1 - z), 0.0)
+        ahead, inside = (b0[1:] - z, b1[1:] + s[1:] - z), mask[1:]
+        for y, before in enumerate((a0[:-1], a1[:-1])):
+            for y2 in (0, 1):
+                moves[y, y2] += np.exp(np.where(inside, before + trans[y, y2] + ahead[y2], -np.inf)).sum() - (inside & (gold[:-1] == y) & (gold[1:] == y2)).sum()
+        firsts += (1 - marginal[0]).sum() - (gold[0] == 0).sum(), marginal[0].sum() - (gold[0] == 1).sum()
+        error[rows[mask]] = (marginal - gold)[mask]
+        score = (s * gold)[mask].sum() + start[gold[0]].sum()
+        value += z.sum() - score - sum(trans[y, y2] * (inside & (gold[:-1] == y) & (gold[1:] == y2)).sum() for y in (0, 1) for y2 in (0, 1))
+    gradient = np.concatenate([x.T @ error, moves.ravel(), firsts]).astype(np.float64)
+    return value + l2 * (theta @ theta) / 2, gradient + l2 * theta
 
 
 def train(sequences: list[list[set[str]]], labels: list[list[int]], l2: float = 1.0, rounds: int = 80, least: int = 3) -> Model:
@@ -87,16 +89,24 @@ def train(sequences: list[list[set[str]]], labels: list[list[int]], l2: float =
                 seen[f] = seen.get(f, 0) + 1
     names = sorted(f for f, n in seen.items() if n >= least)
     index = {f: i for i, f in enumerate(names)}
-    total, longest = sum(len(s) for s, _ in pairs), max(len(s) for s, _ in pairs)
-    x = np.zeros((total, len(names)), np.float32)
-    rows, mask, gold = np.zeros((len(pairs), longest), np.int64), np.zeros((len(pairs), longest), bool), np.zeros((len(pairs), longest), np.int64)
-    at = 0
-    for i, (s, y) in enumerate(pairs):
-        rows[i, : len(s)], mask[i, : len(s)], gold[i, : len(s)] = np.arange(at, at + len(s)), True, y
+    x = np.zeros((sum(len(s) for s, _ in pairs), len(names)), np.float32)
+    at, places = 0, []
+    for s, y in pairs:
+        places.append((at, np.array(y)))
         for element in s:
             x[at, [index[f] for f in element if f in index]] = 1
             at += 1
-    theta = _minimise(lambda t: _likelihood(t, x, rows, mask, gold, l2), np.zeros(len(names) + 6), rounds)
+    groups, order = [], sorted(range(len(pairs)), key=lambda i: len(places[i][1]))
+    while order:  # lengths within a group differ by less than half
+        longest = len(places[order[-1]][1])
+        own = [i for i in order if 2 * len(places[i][1]) > longest]
+        rows, mask, gold = np.zeros((longest, len(own)), np.int64), np.zeros((longest, len(own)), bool), np.zeros((longest, len(own)), np.int64)
+        for c, i in enumerate(own):
+            begin, y = places[i]
+            rows[: len(y), c], mask[: len(y), c], gold[: len(y), c] = np.arange(begin, begin + len(y)), True, y
+        groups.append((rows, mask, gold))
+        order = order[: len(order) - len(own)]
+    theta = _minimise(lambda t: _likelihood(t, x, groups, l2), np.zeros(len(names) + 6), rounds)
     k = len(names)
     return Model(dict(zip(names, theta[:k].tolist(), strict=True)), theta[k : k + 4].reshape(2, 2), theta[k + 4 :])
 

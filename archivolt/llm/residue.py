@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm import boilerplate, crf
 from archivolt.llm.pages import Block
-from archivolt.plans.runtime import cut
+from archivolt.plans.runtime import cut, spread
 
 #: Pages that must share a stretch before it counts as part of a template.
 SHARED_PAGES = 3
@@ -155,7 +155,7 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model) -> D
 
     kind = df.schema[id_col].dataType.simpleString()
     given = df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload")).where(F.col("payload").isNotNull())
-    return given.mapInArrow(run, f"id {kind}, lines array<int>, verdict string, stretches array<bigint>, words array<int>")
+    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, stretches array<bigint>, words array<int>")
 
 
 def unfit_pages(analysed: DataFrame, shared: int = SHARED_PAGES, own_words: int = OWN_WORDS) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.plans.runtime import spread
+
 #: The folder of tokenizer files; ``tokenizer_path`` parameters take precedence.
 TOKENIZER_DIR = "/opt/tokenizers"
 DEFAULT_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -76,4 +78,5 @@ def token_counts(df: DataFrame, text_col: str, keep: list[str], tokenizer_path:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], counts], names=[*keep, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text_col)).where(F.length(text_col) > 0).mapInArrow(run, f"{schema}, n_tokens bigint")
+    given = df.select(*keep, F.col(text_col)).where(F.length(text_col) > 0)
+    return spread(given).mapInArrow(run, f"{schema}, n_tokens bigint")
