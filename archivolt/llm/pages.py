@@ -78,8 +78,12 @@ def _html_blocks(payload: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal parts, lines, linked, buttons, bold, links
+        if not lines:
+            parts = []
+            linked = buttons = bold = links = 0
+            return
         raw = "".join(parts)
-        if not raw.isspace() and (text := " ".join(html.unescape(raw).split())):
+        if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
             own = next((t for t, _ in reversed(stack) if t not in INLINE), "root")
             chain = tuple(n for t, n in stack if t in GROUPING)
             out.append(Block(text, lines, own, tuple(t for t, _ in stack), linked, buttons, bold, links, chain))
@@ -95,15 +99,22 @@ def _html_blocks(payload: str) -> list[Block]:
             if token[0] == "<" and len(token) > 1:
                 line += token.count("\n")
                 continue
-            for k, piece in enumerate(token.split("\n")):
+            if token.isspace():
+                line += token.count("\n")
+                if parts:
+                    parts.append(" ")
+                continue
+            weight = 0
+            for k, piece in enumerate(token.split("\n") if "\n" in token else (token,)):
                 line += k > 0
                 if shown := piece.strip():
                     if not lines or lines[-1] != line:
                         lines.append(line)
-                    weight = len(shown)
-                    linked += weight * (inline.get("a", 0) > 0)
-                    buttons += weight * (inline.get("button", 0) > 0)
-                    bold += weight * (inline.get("b", 0) + inline.get("strong", 0) > 0)
+                    weight += len(shown)
+            if inline:
+                linked += weight * (inline.get("a", 0) > 0)
+                buttons += weight * (inline.get("button", 0) > 0)
+                bold += weight * (inline.get("b", 0) + inline.get("strong", 0) > 0)
             parts.append(token)
             continue
         line += token.count("\n")
