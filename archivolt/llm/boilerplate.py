@@ -28,12 +28,12 @@ LEXICON = {
     "share": r"^(?:share|partager|teilen|compartir)\b.{0,80}(?:print|imprimer|drucken|imprimir)",
     "pager": r"^(?:previous|précédent|zurück|anterior)\W+(?:next|suivant|weiter|siguiente)$",
     "related": r"^(?:related|most read|you may also|recent comments|tags|follow us|subscribe|see also|read (?:also|next)|more from|trending|à lire aussi|les plus lus|recevoir|suivez|mots.clés|derniers commentaires|ähnliche|meistgelesen|am meisten|rundbrief|schlagwörter|folgen sie|neueste kommentare|das könnte|páginas parecidas|lo más|síganos|suscr|boletín|etiquetas|comentarios recientes|también|recibir|te puede|sur le même)\b",
-    "crumb": r"^(?:you are here|vous êtes ici|sie sind hier|usted está aquí|está aquí|estás aquí)\b",
+    "crumb": r"^(?:you are here|vous êtes ici|sie sind hier|usted está|está usted|está aquí|estás aquí)\b",
     "skip": r"^(?:skip to|aller au|zum inhalt|saltar al|ir al contenido)",
     "button": r"\b(?:accept all|only necessary|got it|tout accepter|refuser|réglages|alle zulassen|nur notwendige|einstellungen|aceptar|ajustes|rechazar|solo lo necesario)\b",
     "script": r"(?:javascript|scripts?|skripte)\b",
     "menu": r"^[-*•] \S+(?: \S+){0,2}$",
-    "menuline": r"^\S+(?: \S+){0,2}(?: [>*|·/] \S+(?: \S+){0,2}){2,}$",
+    "menuline": r"^\S+(?: \S+){0,2}(?:(?: [>*|·/] |  +)\S+(?: \S+){0,2}){2,}$",
     "copyright": r"^(?:©|\(c\)|copyright)",
 }
 _LEXICON = {k: re.compile(v, re.IGNORECASE) for k, v in LEXICON.items()}
@@ -209,13 +209,14 @@ def _as_text(blocks: list[Block], labels: list[int], rng: random.Random) -> tupl
     """The page as plain text, in one of the ways in which pages are turned to text."""
     style = rng.choice(("bullets", "joined", "bare"))
     wrap, chrome, spaced = rng.random() < 0.4, rng.random() < 0.75, rng.random() < 0.7
+    point = rng.choice(("", "* ", "- "))
     lines: list[tuple[str, int] | None] = []
     menu: list[str] = []
     row: list[str] = []
 
     def flush_menu() -> None:
         if menu:
-            lines.extend([(rng.choice((" > ", " * ", " | ", " · ")).join(menu), 0)] if style == "joined" else [((rng.choice(("- ", "* ", "")) if style == "bullets" else "") + x, 0) for x in menu])
+            lines.extend([(rng.choice((" > ", " * ", " | ", " · ", "  ")).join(menu), 0)] if style == "joined" else [((rng.choice(("- ", "* ", "")) if style == "bullets" else "") + x, 0) for x in menu])
         menu.clear()
 
     foot: list[str] = []
@@ -247,7 +248,7 @@ def _as_text(blocks: list[Block], labels: list[int], rng: random.Random) -> tupl
                 lines.append((" ".join(row), 1))
                 row.clear()
             continue
-        text = b.text
+        text = point + b.text if y and b.tag == "li" else b.text
         if b.links > 1 and not y:
             words = text.split(" ")
             text = rng.choice((" | ", " ")).join(words) if len(words) <= 4 else text

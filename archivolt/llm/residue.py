@@ -9,6 +9,7 @@ nothing of its own beside it.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ OWN_WORDS = 5
 
 #: The ways in which templates mark their variables.
 PLACEHOLDER = re.compile(
-    r"\{\{\{?[^{}]*\}?\}\}|\{%.*?%\}|<[%?].*?[%?]>|\[%.*?%\]|\$\{[^}]*\}|#\{[^}]*\}|%%\w+%%|%[A-Z][A-Z_]*%|\[\[[^\]]*\]\]|##\w+##|\$\$\w+\$\$"
+    r"<!--.*?-->|\{\{\{?[^{}]*\}?\}\}|\{%.*?%\}|<[%?].*?[%?]>|\[%.*?%\]|\$\{[^}]*\}|#\{[^}]*\}|%%\w+%%|%[A-Z][A-Z_]*%|\[\[[^\]]*\]\]|##\w+##|\$\$\w+\$\$"
     r"|@[A-Z]\w*\.\w+|__[A-Z]\w*__|\b[A-Z]+_PLACEHOLDER\b|\{\d+\} (?:of|de|von|sur) \{\d+\}|\{\w*\}|\[[A-Z][A-Z_ ]+\]|\[insert [^\]]*\]|«(?:name|titre|titel|nombre|texte?)\b[^»]*»"
     r"|\[object Object\]|\bInvalid Date\b|\bundefined\b|\bNaN\b|^null$",
     re.IGNORECASE,
@@ -50,7 +51,7 @@ _ERROR = re.compile(
     r"|.{0,40}\b(?:leads nowhere|could not be found|could not finish your request|permission to (?:open|view|access) this|down for maintenance|did not answer in time|has been removed or its name was changed|connect to the database|slow down and retry)\b.{0,60}"
     r"|fatal error: .{0,160}|too many requests\..{0,60}|(?:please )?(?:check|verify) the address.{0,60}|try the search box.{0,40}|if this keeps happening.{0,60}|.{0,30}/\d[\d.]* at (?:\S+ )?port \d+"
     r"|la page demandée n.existe.{0,40}|une erreur est survenue.{0,40}|service momentanément indisponible\.?|retour à l.accueil\.?|vérifiez l.adresse\.?|die gesuchte seite gibt es nicht.{0,20}|der dienst ist vorübergehend.{0,40}|wegen wartungsarbeiten.{0,40}|zurück zur startseite\.?|bitte prüfen sie die adresse\.?"
-    r"|la página que busca no existe.{0,20}|servicio no disponible.{0,40}|volver al inicio\.?|revise la dirección\.?|se ha producido un error.{0,40}|ein fehler ist aufgetreten.{0,40})$",
+    r"|la página que busca no existe.{0,20}|servicio no disponible.{0,40}|volver al inicio\.?|revise la dirección\.?|se ha producido un error.{0,40}|(?:leider ist )?ein fehler (?:ist )?aufgetreten.{0,40})$",
     re.IGNORECASE,
 )
 _SCRIPTS = re.compile(
@@ -58,7 +59,7 @@ _SCRIPTS = re.compile(
     re.IGNORECASE,
 )
 _DUMMY = frozenset("bla blah foo bar baz qux qwer qwerty asdf test xxx xxxx xxxxx yyy zzz abc lala dummy".split())
-_TICKET = re.compile(r"(?:reference|référence|referenz|referencia|request id|ray id|incident)\b\W*\w+\.?$", re.IGNORECASE)
+_TICKET = re.compile(r"(?:reference|référence|referenz|referencia|vorgang|request id|ray id|incident)\b\W*\w+\.?$", re.IGNORECASE)
 _SPEECH = re.compile(r"\b(?:said|who|saw|went|had|turned|removed|was|were|wurde|sagte|a dit|dijo)\b", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -70,7 +71,7 @@ def residue_kind(text: str) -> str | None:
 
 @lru_cache(maxsize=50_000)
 def _residue_kind(text: str) -> str | None:
-    text = text.strip().lstrip("-*• ").strip()
+    text = html.unescape(text).strip().lstrip("-*• ").strip()
     words = _WORD.findall(text)
     if _DEFAULTS.match(text):
         return "filler"
@@ -82,7 +83,7 @@ def _residue_kind(text: str) -> str | None:
     if not words:
         return "filler" if re.fullmatch(r"[\d\W_]*\d[\d\W_]*", text) and len(set(re.findall(r"\d+", text))) == 1 and len(re.findall(r"\d+", text)) > 2 else None
     lower = [w.lower() for w in words]
-    if len(lower) >= 4 and sum(w in LATIN for w in lower) * 10 >= 6 * len(lower):
+    if len(lower) >= 4 and sum(w in LATIN for w in lower) * 10 >= 6 * len(lower) or len(lower) < 4 and LATIN.issuperset(lower) and any(len(w) > 4 for w in lower):
         return "filler"
     if len(lower) >= 3 and (len(set(lower)) == 1 or _DUMMY.issuperset(lower)):
         return "filler"
