@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +23,11 @@ def last_written(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 @dataclass
 class Archive:
-    """``records`` and ``responses`` hold one row per id, the one written last."""
+    """``records`` and ``responses`` hold one row per id, the one written last.
+
+    Tables as they were delivered repeat rows, so :meth:`read` has to aggregate them by id; over tables written by
+    :func:`compact` it need not (``unique=True``), and a lookup then reads only the row groups of its URI or time.
+    """
 
     content_types: DataFrame
     uris: DataFrame
@@ -33,15 +37,20 @@ class Archive:
     spark: SparkSession
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str) -> Archive:
-        return cls(
-            table(spark, folder, "content_types"),
-            table(spark, folder, "uris"),
-            table(spark, folder, "warc_files"),
-            last_written(table(spark, folder, "records"), "id", "created_at", "warc_custom_id"),
-            last_written(table(spark, folder, "responses"), "id", "created_at", "record_id"),
-            spark,
-        )
+    def read(cls, spark: SparkSession, folder: str, unique: bool = False) -> Archive:
+        records, responses = table(spark, folder, "records"), table(spark, folder, "responses")
+        if not unique:
+            records, responses = last_written(records, "id", "created_at", "warc_custom_id"), last_written(responses, "id", "created_at", "record_id")
+        return cls(table(spark, folder, "content_types"), table(spark, folder, "uris"), table(spark, folder, "warc_files"), records, responses, spark)
+
+    def uri_ids(self, uri: str) -> list[int]:
+        """The id of an exact URI, looked up first so that it reaches the scan of the records as a literal; a URI is
+        unique, so there is one at most."""
+        return [r["id"] for r in self.uris.where(F.col("uri") == uri.split("#", 1)[0]).select("id").collect()]
+
+    def of(self, uri_ids: list[int]) -> Archive:
+        """The archive with the records of these URIs only."""
+        return replace(self, records=self.records.where(F.col("uri_id").isin(uri_ids)))
 
     # -- views ------------------------------------------------------------------
 
@@ -140,15 +149,16 @@ class Archive:
 
     def near(self, uri: str, moment: str) -> DataFrame:
         """The capture of a URI nearest in time, either way; ties go to the older, then the smaller id."""
-        exact = self.captures().where(F.col("uri") == uri.split("#", 1)[0])
+        exact = self.of(self.uri_ids(uri)).captures()
         gap = F.abs(F.unix_micros("archived_date") - F.unix_micros(F.to_timestamp(F.lit(moment))))
         return exact.withColumn("gap_us", gap).orderBy("gap_us", "archived_date", "response_id").limit(1)
 
     def near_record(self, uri: str, moment: str) -> DataFrame:
         """The record of any type nearest in time."""
-        wanted = self.uris.where(F.col("uri") == uri.split("#", 1)[0]).select(F.col("id").alias("uri_id"), "uri")
+        ids = self.uri_ids(uri)
+        wanted = self.uris.where(F.col("id").isin(ids)).select(F.col("id").alias("uri_id"), "uri")
         gap = F.abs(F.unix_micros("archived_date") - F.unix_micros(F.to_timestamp(F.lit(moment))))
-        found = self.records.join(F.broadcast(wanted), "uri_id").withColumn("gap_us", gap)
+        found = self.of(ids).records.join(F.broadcast(wanted), "uri_id").withColumn("gap_us", gap)
         return found.orderBy("gap_us", "archived_date", "id").limit(1)
 
     def near_following(self, uri: str, moment: str) -> DataFrame:
@@ -160,18 +170,17 @@ class Archive:
     def history(self, uri: str | None) -> DataFrame:
         """Every capture of a URI, newest first; a blank URI has none."""
         wanted = (uri or "").strip().split("#", 1)[0]
-        rows = self.response_history().where((F.col("uri") == wanted) if wanted else F.lit(False))
+        rows = self.of(self.uri_ids(wanted) if wanted else []).response_history()
         return rows.orderBy(F.desc("archived_date"), F.desc("response_id"))
 
     def site_responses(self, uri: str | None = None, warc_custom_id: str | None = None) -> DataFrame:
         """All captures of a URI, or of the URI of a capture; the capture's id wins."""
         if not warc_custom_id and not uri:
             raise ValueError("site_responses needs a uri or a warc_custom_id")
-        rows = self.response_payloads()
         if warc_custom_id:
-            one = self.records.where(F.col("warc_custom_id") == warc_custom_id).select("uri_id").distinct()
-            return rows.join(F.broadcast(one), "uri_id", "left_semi")
-        return rows.where(F.col("uri") == uri.split("#", 1)[0])
+            one = self.records.where((F.col("warc_custom_id") == warc_custom_id) & F.col("uri_id").isNotNull()).select("uri_id")
+            return self.of([r["uri_id"] for r in one.limit(1).collect()]).response_payloads()  # an id is unique
+        return self.of(self.uri_ids(uri)).response_payloads()
 
     def detail(self, warc_custom_id: str, requests: DataFrame | None = None) -> DataFrame:
         """A record with its response, and its request by ``concurrent_to`` or else by record."""
@@ -219,6 +228,17 @@ class Archive:
         return stored.join(self.derived_type_sets(), "uri_id").where(F.size(missing) > 0).select("uri_id", F.size(missing).alias("missing_types"))
 
 
+def compact(spark: SparkSession, source: str, target: str) -> None:
+    """Delivered tables written once more with one row per id and in the order of the lookups: URIs by (recursion
+    level, URI), records by (URI, time), responses by record. Range partitioning keeps a hot URI in several files, and
+    each file's statistics let a scan skip it."""
+    raw = Archive.read(spark, source)
+    for name in ("content_types", "warc_files"):
+        table(spark, source, name).write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+    for name, df, order in (("uris", raw.uris, ["recursion_level", "uri"]), ("records", raw.records, ["uri_id", "archived_date", "id"]), ("responses", raw.responses, ["record_id", "id"])):
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+
+
 def merged_type_sets(stored: Column, derived: Column) -> Column:
     """The sorted union of two sets; the stored one stays where it already holds the other."""
     union = F.array_sort(F.array_distinct(F.concat(stored, derived)))

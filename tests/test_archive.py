@@ -195,3 +195,19 @@ def test_zip_has_the_size_that_was_computed(spark, tmp_path):
 def test_crc_is_the_usual_one(spark):
     (row,) = spark.sql("select crc32(cast('The quick brown fox jumps over the lazy dog' as binary)) c").collect()
     assert row["c"] == 0x414FA339
+
+
+def test_compact_gives_the_same_lookups_and_pushes_filters(spark, tmp_path):
+    import os
+
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("no test tables here")
+    A.compact(spark, source, str(tmp_path))
+    raw, packed = A.Archive.read(spark, source), A.Archive.read(spark, str(tmp_path), unique=True)
+    uri = raw.captures(["uri"]).groupBy("uri").count().orderBy(F.desc("count"), "uri").first()["uri"]
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(raw.history(uri).drop("headers"), packed.history(uri).drop("headers")) and same(raw.search("test"), packed.search("test"))
+    assert packed.records.count() == packed.records.select("id").distinct().count() == raw.records.count()
+    plan = packed.near(uri, "2024-01-10T00:00:00Z")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(uri_id" in plan or "In(uri_id" in plan
