@@ -180,7 +180,7 @@ LINK_ATTRIBUTES = frozenset(["src", "href", "poster", "data-src", "data-lazy-src
 LOADING = frozenset(["src", "poster", "data-src", "data-lazy-src", "background"])
 LOADED_RELS = frozenset("stylesheet icon apple-touch-icon mask-icon preload modulepreload manifest".split()) | {"shortcut icon"}
 
-_TAG = re.compile(r"<([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->", re.DOTALL)
+_TAG = re.compile(r"<([a-zA-Z][\w:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<!--.*?-->", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:@][\w:.@-]*)(\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.DOTALL)
 _RAW_TEXT = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "xmp")}
 _REFRESH = re.compile(r"^(\s*\d[\d.]*\s*[;,]\s*(?:url\s*=\s*)?)([\"']?)(.*?)\2\s*$", re.IGNORECASE | re.DOTALL)
