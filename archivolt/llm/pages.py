@@ -17,7 +17,7 @@ RAW = frozenset(["script", "style", "template"])
 #: Tags that an opening tag of the same group closes if it is still open.
 CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
 _TAGGED = re.compile(r"<!doctype html|<(?:html|head|body|title|div|p|main|article|section|header|nav|h[1-6]|ul|ol|li|table|tr|td|a|span|footer|aside|blockquote|pre|br)\b[^>]*>", re.IGNORECASE)
 
 
@@ -64,7 +64,7 @@ def blocks_of(payload: str, kind: str) -> list[Block]:
     """The page's leaf blocks in order; pages without tags give one block a line. Data gives none."""
     if kind == "text":
         return [Block(t, [i], "line", ()) for i, x in enumerate(payload.split("\n")) if (t := x.strip("﻿ \t\r"))]
-    return _html_blocks(payload) if kind == "html" else []
+    return _html_blocks(payload.replace("\ufeff", "")) if kind == "html" else []
 
 
 def _html_blocks(payload: str) -> list[Block]:
