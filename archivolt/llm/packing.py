@@ -21,7 +21,7 @@ from archivolt.llm.ordinals import prefix_sums
 from archivolt.plans.runtime import cut
 
 #: Buckets per capacity at most.
-BUCKETS = 96
+BUCKETS = 256
 
 
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -34,15 +34,7 @@ def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     best = sizes * count[1:] - mass[1:]  # one bucket over sizes[0..j]
     choice = np.zeros((buckets, n), np.int32)
     for k in range(1, buckets):
-        after = best.copy()
-        low = 0
-        for j in range(k, n):
-            # sizes[i..j] in one bucket behind the best cover of sizes[0..i-1]; the best i never falls as j grows
-            i = np.arange(max(k, low), j + 1)
-            cost = best[i - 1] + sizes[j] * (count[j + 1] - count[i]) - (mass[j + 1] - mass[i])
-            at = int(np.argmin(cost))
-            after[j], choice[k, j], low = cost[at], i[at], int(i[at])
-        best = after
+        best = _next_layer(best, k, sizes, count, mass, choice[k])
     bounds, j = [], n - 1
     for k in range(buckets - 1, -1, -1):
         bounds.append(sizes[j])
@@ -52,6 +44,29 @@ def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return np.array(bounds[::-1])
 
 
+def _next_layer(best: np.ndarray, k: int, sizes: np.ndarray, count: np.ndarray, mass: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """The least padding of sizes[0..j] in k + 1 buckets, given that in k; ``choice[j]`` gets where the last begins.
+    The best beginning never falls as j grows, so the middle of a range bounds those of its halves; all ranges of one
+    depth are worked out together."""
+    n = len(sizes)
+    after = best.copy()
+    jl, jr, il, ir = (np.array([v]) for v in (k, n - 1, k, n - 1))
+    while len(jl):
+        mid = (jl + jr) // 2
+        length = np.minimum(mid, ir) - il + 1
+        begin = np.cumsum(length) - length
+        i = np.arange(length.sum()) - np.repeat(begin - il, length)
+        m = np.repeat(mid, length)
+        cost = best[i - 1] + sizes[m] * (count[m + 1] - count[i]) - (mass[m + 1] - mass[i])
+        least = np.minimum.reduceat(cost, begin)
+        hits = np.flatnonzero(cost == np.repeat(least, length))
+        at = i[hits[np.searchsorted(hits, begin)]]
+        after[mid], choice[mid] = least, at
+        left, right = jl < mid, mid < jr
+        jl, jr, il, ir = np.r_[jl[left], mid[right] + 1], np.r_[mid[left] - 1, jr[right]], np.r_[il[left], at[right]], np.r_[at[left], ir[right]]
+    return after
+
+
 def batch_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Segments ``(bucket, first rank, first container, items per container, containers)`` and the containers' number.
 
