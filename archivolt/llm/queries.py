@@ -109,3 +109,29 @@ SQL = {
     "p1_found": _CANON + "select * from (select min(id) over (partition by canon) first_id, id copy_id from keyed) where first_id < copy_id",
     "p1_counts": _CANON + "select min(id) first_id, count(*) copies from keyed group by canon",
 }
+
+# the embedded expression itself, over whole tables; its meaning is checked against brute force in the tests
+_FORMS = f"with forms as (select doc_id, text, {lookalikes.form_sql('text')} form from documents where text is not null), shown as (select * from forms where regexp_matches(form, '[^\\s]'))"
+SQL["p10_found"] = f"{_FORMS} select a.doc_id doc_id_a, b.doc_id doc_id_b from shown a join shown b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"
+SQL["p10_classes"] = f"{_FORMS} select doc_id id, min(doc_id) over (partition by form) class_id, count(*) over (partition by form) copies from shown"
+SQL["p10_texts"] = f"select doc_id id, {lookalikes.form_sql('text')} \"text\" from documents"
+
+_BITS = "array_to_string(list_transform(string_split({value}, ''), lambda c: right(bin(strpos('{alphabet}', c) - 1 + {top}), {width})), '')"
+SQL["p4_found"] = rf"""
+with labelled as (
+  select row_id, regexp_extract(d, '^(?:urn:)?(sha-?1|sha-?256|sha-?512|md5)\s*[:=]\s*(.+)$', ['label', 'value']) parts, d
+  from (select row_id, lower(trim(payload_digest, E' "\t\r\n')) d from warc_response_bulk_input where payload_digest is not null)),
+digests as (
+  select row_id, case when parts.label = '' then 'sha1' else replace(parts.label, '-', '') end algorithm, case when parts.label = '' then d else trim(parts.value, E' "\t\r\n') end v from labelled),
+sized as (select *, case algorithm when 'md5' then 128 when 'sha1' then 160 when 'sha256' then 256 else 512 end bits_of from digests),
+read as (
+  select row_id, algorithm, case when length(v) * 4 = bits_of then {_BITS.format(value="v", alphabet="0123456789abcdef", top=16, width=4)}
+    when length(v) = ceil(bits_of / 5.0) then {_BITS.format(value="v", alphabet="abcdefghijklmnopqrstuvwxyz234567", top=32, width=5)} end bits from sized),
+places as (
+  select row_id, payload_byte_offset o, payload_byte_length n, regexp_replace(replace(trim(url_decode(regexp_replace(trim(file_path, E' \t\r\n'), '^(?i)file:(//)?', ''))), E'\\', '/'), '/(\./)+|/+', '/', 'g') p
+  from warc_response_bulk_input where payload_byte_offset is not null and payload_byte_length is not null and trim(file_path, E' \t\r\n') <> ''),
+evidence as (
+  select row_id, 'd' || algorithm || bits k from read where bits is not null
+  union all select row_id, 's' || o || '+' || n || lower(regexp_replace(regexp_replace(p, '/(\./)+|/+', '/', 'g'), '/[^/]+/\.\.(/\.)*/', '/', 'g')) from places),
+firsts as (select k, min(row_id) kept from evidence group by k)
+select min(kept) kept_id, row_id from evidence join firsts using (k) where kept < row_id group by row_id"""
