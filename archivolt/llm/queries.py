@@ -132,6 +132,6 @@ places as (
   from warc_response_bulk_input where payload_byte_offset is not null and payload_byte_length is not null and trim(file_path, E' \t\r\n') <> ''),
 evidence as (
   select row_id, 'd' || algorithm || bits k from read where bits is not null
-  union all select row_id, 's' || o || '+' || n || lower(regexp_replace(regexp_replace(p, '/(\./)+|/+', '/', 'g'), '/[^/]+/\.\.(/\.)*/', '/', 'g')) from places),
+  union all select row_id, 's' || o || '+' || n || lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '/(\./)+|/+', '/', 'g'), '/[^/]+/\.\.(/\.)*/', '/', 'g'), '/[^/]+/\.\.(/\.)*/', '/', 'g'), '/[^/]+/\.\.(/\.)*/', '/', 'g')) from places),
 firsts as (select k, min(row_id) kept from evidence group by k)
 select min(kept) kept_id, row_id from evidence join firsts using (k) where kept < row_id group by row_id"""
