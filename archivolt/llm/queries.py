@@ -24,12 +24,12 @@ def _page_model(pages: DataFrame):
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "view_record")
-    return residue.main_lines(pages, "view_id", "payload", _page_model(pages)).withColumnRenamed("id", "view_id")
+    return residue.main_lines(pages, "view_id", "payload", _page_model(pages), "url").withColumnRenamed("id", "view_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "view_record")
-    return residue.unfit(pages, "view_id", "payload", _page_model(pages)).withColumnRenamed("id", "view_id")
+    return residue.unfit(pages, "view_id", "payload", _page_model(pages), "url").withColumnRenamed("id", "view_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

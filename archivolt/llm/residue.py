@@ -2,9 +2,10 @@
 
 A page's main blocks (problem 3's field) are the slots of its template: what varies between the pages of a site. A slot
 is residue if it still holds variable names, defaults or blanks, filler text, an error message or a demand for scripts.
-Slots of other wording are aligned with all other pages by the hash of their text with digits masked: a stretch that
-several pages share is part of a whole-page template, not content of this page. A page is unfit if it has residue and
-nothing of its own beside it.
+Slots of other wording are aligned with all other pages by the hash of their text with digits masked: a stretch is part
+of a whole-page template, not content of this page, if several different pages have it beside the same residue and it
+is seldom met elsewhere. Captures of one page are one page, and so are equal payloads. A page is unfit if it has residue
+and nothing of its own beside it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from archivolt.llm import boilerplate, crf
 from archivolt.llm.pages import Block
 from archivolt.plans.runtime import cut, spread
 
-#: Pages that must share a stretch before it counts as part of a template.
+#: Different pages that must share a stretch and the residue beside it before it counts as part of a template.
 SHARED_PAGES = 3
+#: Part of all payloads with a stretch that must have that residue beside it. Pages share sentences by chance, the more
+#: the more pages there are; such sentences are mostly met without the residue.
+SHARED_PART = 0.5
 #: Words of its own, in stretches that no other page shares, from which on a page has content.
 OWN_WORDS = 5
 
@@ -106,9 +110,10 @@ def _case_bound(hole: str) -> bool:
     return bool(re.fullmatch(r"%\w+%|\[[\w ]+\]|\w+_placeholder|__\w+__", hole, re.IGNORECASE)) and not _UPPER_ONLY.fullmatch(hole) and not hole.lower().startswith(("[insert ", "[object"))
 
 
-def judge(main: list[Block], rest: list[Block], title: str) -> tuple[str, list[str]]:
+def judge(main: list[Block], rest: list[Block], title: str) -> tuple[str, list[str], list[str]]:
     """``unfit`` (residue and nothing else), ``sound`` (no residue) or ``open`` (residue beside other text), with the
-    masked stretches of that other text. Headings promise text but are none; code quotes anything and is no residue.
+    masked stretches of that other text and those of the residue. Headings promise text but are none; code quotes
+    anything and is no residue.
 
     A page without main blocks is unfit if one of its other blocks, outside ``noscript``, is residue, or if it shows
     nothing but residue in ``noscript``.
@@ -116,76 +121,93 @@ def judge(main: list[Block], rest: list[Block], title: str) -> tuple[str, list[s
     if not main:
         hit = any("noscript" not in b.path and b.tag != "noscript" and residue_kind(b.text) in ("error", "script", "placeholder", "filler") and len(b.text) > 12 for b in rest)
         hidden = rest and all("noscript" in b.path or b.tag == "noscript" for b in rest) and any(residue_kind(b.text) for b in rest)
-        return ("unfit" if hit or hidden else "sound"), []
+        return ("unfit" if hit or hidden else "sound"), [], []
     first = main[0]
-    own, residue = [], False
+    own, residue = [], set()
     for b in main:
         if b.tag in ("pre", "code"):
             continue
         if residue_kind(b.text) is not None:
-            residue = True
+            residue.add("ticket" if _TICKET.match(b.text) else re.sub(r"\d+", "0", b.text))
         elif b.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and not (len(b.text) > 7 and title.startswith(b.text)) and not (b is first and b.tag == "line"):
             own.append(re.sub(r"\d+", "0", b.text))
     if not residue:
-        return "sound", own
-    return ("open" if own else "unfit"), own
+        return "sound", own, []
+    return ("open" if own else "unfit"), own, sorted(residue)
 
 
-def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model) -> DataFrame:
+def address(url: str | None) -> str | None:
+    """What tells a page from others whatever way it is reached: the last part of its path, or else its host, without
+    file ending and query, so that mirrors, print views and tracking fields make no other page."""
+    parts = [x for x in re.split(r"[?#]", re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", (url or "").strip().lower()), maxsplit=1)[0].split("/") if x]
+    return (re.sub(r"\.[a-z0-9]{1,5}$", "", parts[-1]) if len(parts) > 1 else parts[0]) if parts else None
+
+
+def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:
     """One narrow pass: ``id``, ``lines`` (of the page's own text), ``verdict``, ``stretches`` (64-bit hashes of the
-    masked main stretches that are not residue) and ``words`` (of each). Null, blank, style, script and data payloads
-    have no lines and are sound."""
+    masked main stretches that are not residue), ``words`` (of each), and hashes of the ``residue``, the ``document``
+    (the whole payload) and the ``page`` (its address; the payload where there is none). Null, blank, style, script and
+    data payloads have no lines and are sound."""
     import xxhash
 
     weights = model
 
+    def hashed(text: str) -> int:
+        return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, verdicts, stretches, words = [], [], [], []
-            for payload in batch.column(1).to_pylist():
+            lines, verdicts, stretches, words, residues, documents, places = [], [], [], [], [], [], []
+            for payload, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own, rest, title = boilerplate.read_page(payload, weights)
-                verdict, texts = judge(own, rest, title)
+                verdict, texts, residue = judge(own, rest, title)
                 lines.append(sorted({n for b in own for n in b.lines}))
                 verdicts.append(verdict)
-                stretches.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts])
+                stretches.append([hashed(t) for t in texts])
                 words.append([len(_WORD.findall(t)) for t in texts])
+                residues.append(hashed("\n".join(residue)))
+                documents.append(hashed(payload))
+                places.append(hashed(place) if (place := address(url)) else documents[-1])
+            ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), pa.array(stretches, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))],
-                names=["id", "lines", "verdict", "stretches", "words"],
+                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), pa.array(stretches, ints), pa.array(words, pa.list_(pa.int32())), *(pa.array(x, pa.int64()) for x in (residues, documents, places))],
+                names=["id", "lines", "verdict", "stretches", "words", "residue", "document", "page"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    given = df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload")).where(F.col("payload").isNotNull())
-    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, stretches array<bigint>, words array<int>")
+    url = F.col(url_col) if url_col else F.lit(None)
+    given = df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload"), url.cast("string").alias("url")).where(F.col("payload").isNotNull())
+    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, stretches array<bigint>, words array<int>, residue bigint, document bigint, page bigint")
 
 
-def unfit_pages(analysed: DataFrame, shared: int = SHARED_PAGES, own_words: int = OWN_WORDS) -> DataFrame:
+def unfit_pages(analysed: DataFrame, shared: int = SHARED_PAGES, own_words: int = OWN_WORDS, part: float = SHARED_PART) -> DataFrame:
     """``id`` of the pages without content of their own. ``analysed`` must be materialised.
 
     Stretch counts cover all pages; they combine map-side, so a stretch on a third of all pages costs one row per
-    task. Repeated rows of one id count once for a stretch.
+    task. Equal payloads count once for a stretch, whatever their ids and addresses, and so do the captures of an address.
     """
-    each = analysed.select("id", "verdict", F.explode(F.arrays_zip("stretches", "words")).alias("s")).select("id", "verdict", F.col("s.stretches").alias("stretch"), F.col("s.words").alias("n"))
+    each = analysed.select("id", "verdict", "residue", "document", "page", F.explode(F.arrays_zip("stretches", "words")).alias("s")).select("id", "verdict", "residue", "document", "page", F.col("s.stretches").alias("stretch"), F.col("s.words").alias("n"))
     open_rows = each.where("verdict = 'open'")
-    wanted = open_rows.select("stretch").distinct()
-    counts = each.select("id", "stretch").distinct().groupBy("stretch").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared)
-    explained = wanted.join(counts, "stretch")
-    own = open_rows.join(explained, "stretch", "left").groupBy("id").agg(F.sum(F.when(F.col("pages").isNull(), F.col("n")).otherwise(0)).alias("own"))
+    once = open_rows.groupBy("stretch", "residue", "document").agg(F.min("page").alias("page"))
+    beside = once.groupBy("stretch", "residue").agg(F.count("*").alias("documents"), F.count_distinct("page").alias("pages")).where(F.col("pages") >= shared)
+    counts = each.select("document", "stretch").distinct().groupBy("stretch").agg(F.count("*").alias("everywhere"))
+    explained = beside.join(counts, "stretch").where(F.col("documents") >= part * F.col("everywhere")).select("stretch", "residue", F.lit(True).alias("template"))
+    own = open_rows.join(explained, ["stretch", "residue"], "left").groupBy("id").agg(F.sum(F.when(F.col("template").isNull(), F.col("n")).otherwise(0)).alias("own"))
     return analysed.where("verdict = 'unfit'").select("id").unionByName(own.where(F.col("own") < own_words).select("id")).distinct()
 
 
-def unfit(df: DataFrame, id_col: str, payload_col: str, model: crf.Model) -> DataFrame:
+def unfit(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:
     """``id`` of the unfit pages of ``df``; null ids are left out."""
-    return unfit_pages(cut(analyse(df, id_col, payload_col, model))).where(F.col("id").isNotNull())
+    return unfit_pages(cut(analyse(df, id_col, payload_col, model, url_col))).where(F.col("id").isNotNull())
 
 
-def main_lines(df: DataFrame, id_col: str, payload_col: str, model: crf.Model) -> DataFrame:
+def main_lines(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:
     """``id``, ``line_no`` (from 0, lines split at ``\\n``): the lines that hold text of the page's own.
 
     Null, empty and blank payloads, stylesheets, scripts, data (JSON, XML) and unfit pages have none. A page without
     any markup is read line by line. A very long page is one sequence like any other; repeated rows give each line
     once; a null id is carried through.
     """
-    analysed = cut(analyse(df, id_col, payload_col, model))
+    analysed = cut(analyse(df, id_col, payload_col, model, url_col))
     kept = analysed.join(unfit_pages(analysed), "id", "left_anti")
     return kept.select("id", F.explode("lines").alias("line_no")).distinct()

@@ -134,6 +134,29 @@ def test_main_lines_and_unfit_pages(spark, model):
     assert residue.unfit(df.limit(0), "view_id", "payload", model).collect() == [] and residue.main_lines(df.limit(0), "view_id", "payload", model).collect() == []
 
 
+def test_captures_of_one_stray_page_explain_nothing(spark, model):
+    rng = random.Random(11)
+    text = [f"<h1>{sentence(rng)}</h1>\n", f"<p>{sentence(rng)} {sentence(rng)}</p>\n"]
+    stray = page(rng, "".join(text) + "<p>{{ user.name }}</p>\n")
+    again = [page(rng, "".join(text) + "<p>{{ user.name }}</p>\n") for _ in range(4)]  # other boxes around the same text
+    chance = [sentence(rng) for _ in range(3)]
+    meet = [page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{x}</p>\n<p>{sentence(rng)}</p>\n") for x in chance for _ in range(9)]
+    by_chance = [page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{x}</p>\n<p>{{{{ user.name }}}}</p>\n") for x in chance for _ in range(3)]
+    error = [page(rng, "<h1>Error 404</h1>\n<p>Page not found</p>\n<p>Zorp blick frain glim dorn wesp.</p>\n") for _ in range(3)]
+    rows = [*[(i, f"http://a.test/{i}", stray) for i in range(5)], *[(10 + i, f"HTTP://a.test/x/river.html?from={i}", p) for i, p in enumerate(again)]]
+    rows += [(100 + i, f"http://b.test/{i}/s{i}", p) for i, p in enumerate(meet + by_chance)] + [(200 + i, f"http://c.test/e{i}", p) for i, p in enumerate(error)]
+    df = spark.createDataFrame(rows, "view_id bigint, url string, payload string")
+    assert {r["id"] for r in residue.unfit(df, "view_id", "payload", model, "url").collect()} == {200, 201, 202}
+    assert {r["id"] for r in residue.main_lines(df, "view_id", "payload", model, "url").select("id").distinct().collect()} == {r[0] for r in rows if r[0] < 200}
+    copies = df.where("view_id < 5")
+    assert residue.unfit(copies, "view_id", "payload", model).collect() == []
+
+
+def test_address():
+    urls = {"HTTP://a.test/x/River.html?from=r7": "river", "https://www.b.test/print/river/#top": "river", "http://a.test/": "a.test", "a.test": "a.test", " ": None, "": None, None: None}
+    assert {u: residue.address(u) for u in urls} == urls
+
+
 def test_training_pages_are_bounded_and_repeatable(spark):
     rng = random.Random(7)
     df = spark.createDataFrame([(page(rng),) for _ in range(20)] + [("plain",), (None,)], "payload string")
