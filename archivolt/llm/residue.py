@@ -5,7 +5,8 @@ is residue if it still holds variable names, defaults or blanks, filler text, an
 Slots of other wording are aligned with all other pages by the hash of their text with digits masked: a stretch is part
 of a whole-page template, not content of this page, if several different pages have it beside the same residue and it
 is seldom met elsewhere. Captures of one page are one page, and so are equal payloads. A page is unfit if it has residue
-and nothing of its own beside it.
+and nothing of its own beside it, or if its whole main text, digits masked, stands at several addresses: then the page
+is a template that no address fills, whatever its wording.
 """
 
 from __future__ import annotations
@@ -110,6 +111,10 @@ def _case_bound(hole: str) -> bool:
     return bool(re.fullmatch(r"%\w+%|\[[\w ]+\]|\w+_placeholder|__\w+__", hole, re.IGNORECASE)) and not _UPPER_ONLY.fullmatch(hole) and not hole.lower().startswith(("[insert ", "[object"))
 
 
+def _masked(text: str) -> str:
+    return "ticket" if _TICKET.match(text) else re.sub(r"\d+", "0", text)
+
+
 def judge(main: list[Block], rest: list[Block], title: str) -> tuple[str, list[str], list[str]]:
     """``unfit`` (residue and nothing else), ``sound`` (no residue) or ``open`` (residue beside other text), with the
     masked stretches of that other text and those of the residue. Headings promise text but are none; code quotes
@@ -128,9 +133,9 @@ def judge(main: list[Block], rest: list[Block], title: str) -> tuple[str, list[s
         if b.tag in ("pre", "code"):
             continue
         if residue_kind(b.text) is not None:
-            residue.add("ticket" if _TICKET.match(b.text) else re.sub(r"\d+", "0", b.text))
+            residue.add(_masked(b.text))
         elif b.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and not (len(b.text) > 7 and title.startswith(b.text)) and not (b is first and b.tag == "line"):
-            own.append(re.sub(r"\d+", "0", b.text))
+            own.append(_masked(b.text))
     if not residue:
         return "sound", own, []
     return ("open" if own else "unfit"), own, sorted(residue)
@@ -146,8 +151,8 @@ def address(url: str | None) -> str | None:
 def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:
     """One narrow pass: ``id``, ``lines`` (of the page's own text), ``verdict``, ``stretches`` (64-bit hashes of the
     masked main stretches that are not residue), ``words`` (of each), and hashes of the ``residue``, the ``document``
-    (the whole payload) and the ``page`` (its address; the payload where there is none). Null, blank, style, script and
-    data payloads have no lines and are sound."""
+    (the whole payload), the ``page`` (its address, or null) and the ``main`` text (masked; null without any word).
+    Null, blank, style, script and data payloads have no lines and are sound."""
     import xxhash
 
     weights = model
@@ -157,7 +162,7 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, verdicts, stretches, words, residues, documents, places = [], [], [], [], [], [], []
+            lines, verdicts, stretches, words, residues, documents, places, mains = [], [], [], [], [], [], [], []
             for payload, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own, rest, title = boilerplate.read_page(payload, weights)
                 verdict, texts, residue = judge(own, rest, title)
@@ -167,17 +172,19 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_
                 words.append([len(_WORD.findall(t)) for t in texts])
                 residues.append(hashed("\n".join(residue)))
                 documents.append(hashed(payload))
-                places.append(hashed(place) if (place := address(url)) else documents[-1])
+                places.append(hashed(place) if (place := address(url)) else None)
+                whole = "\n".join(_masked(b.text) for b in own)
+                mains.append(hashed(whole) if _WORD.search(whole) else None)
             ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), pa.array(stretches, ints), pa.array(words, pa.list_(pa.int32())), *(pa.array(x, pa.int64()) for x in (residues, documents, places))],
-                names=["id", "lines", "verdict", "stretches", "words", "residue", "document", "page"],
+                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), pa.array(stretches, ints), pa.array(words, pa.list_(pa.int32())), *(pa.array(x, pa.int64()) for x in (residues, documents, places, mains))],
+                names=["id", "lines", "verdict", "stretches", "words", "residue", "document", "page", "main"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     url = F.col(url_col) if url_col else F.lit(None)
     given = df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload"), url.cast("string").alias("url")).where(F.col("payload").isNotNull())
-    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, stretches array<bigint>, words array<int>, residue bigint, document bigint, page bigint")
+    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, stretches array<bigint>, words array<int>, residue bigint, document bigint, page bigint, main bigint")
 
 
 def unfit_pages(analysed: DataFrame, shared: int = SHARED_PAGES, own_words: int = OWN_WORDS, part: float = SHARED_PART) -> DataFrame:
@@ -186,14 +193,25 @@ def unfit_pages(analysed: DataFrame, shared: int = SHARED_PAGES, own_words: int
     Stretch counts cover all pages; they combine map-side, so a stretch on a third of all pages costs one row per
     task. Equal payloads count once for a stretch, whatever their ids and addresses, and so do the captures of an address.
     """
-    each = analysed.select("id", "verdict", "residue", "document", "page", F.explode(F.arrays_zip("stretches", "words")).alias("s")).select("id", "verdict", "residue", "document", "page", F.col("s.stretches").alias("stretch"), F.col("s.words").alias("n"))
+    each = analysed.select("id", "verdict", "residue", "document", F.coalesce("page", "document").alias("page"), F.explode(F.arrays_zip("stretches", "words")).alias("s")).select("id", "verdict", "residue", "document", "page", F.col("s.stretches").alias("stretch"), F.col("s.words").alias("n"))
     open_rows = each.where("verdict = 'open'")
     once = open_rows.groupBy("stretch", "residue", "document").agg(F.min("page").alias("page"))
     beside = once.groupBy("stretch", "residue").agg(F.count("*").alias("documents"), F.count_distinct("page").alias("pages")).where(F.col("pages") >= shared)
     counts = each.select("document", "stretch").distinct().groupBy("stretch").agg(F.count("*").alias("everywhere"))
     explained = beside.join(counts, "stretch").where(F.col("documents") >= part * F.col("everywhere")).select("stretch", "residue", F.lit(True).alias("template"))
     own = open_rows.join(explained, ["stretch", "residue"], "left").groupBy("id").agg(F.sum(F.when(F.col("template").isNull(), F.col("n")).otherwise(0)).alias("own"))
-    return analysed.where("verdict = 'unfit'").select("id").unionByName(own.where(F.col("own") < own_words).select("id")).distinct()
+    repeated = whole_page_templates(analysed, shared).select("id")
+    return analysed.where("verdict = 'unfit'").select("id").unionByName(repeated).unionByName(own.where(F.col("own") < own_words).select("id")).distinct()
+
+
+def whole_page_templates(analysed: DataFrame, shared: int = SHARED_PAGES) -> DataFrame:
+    """The rows of ``analysed`` whose whole main text stands at ``shared`` addresses or more, whatever its wording.
+
+    Pages with unknown address count for none. One row for each text and address is shuffled, so a text on a third of
+    all pages is no larger than its addresses are many.
+    """
+    texts = analysed.where("main is not null and page is not null").select("main", "page").distinct().groupBy("main").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared)
+    return analysed.join(texts.select("main"), "main", "left_semi")
 
 
 def unfit(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:

@@ -143,7 +143,7 @@ def test_captures_of_one_stray_page_explain_nothing(spark, model):
     meet = [page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{x}</p>\n<p>{sentence(rng)}</p>\n") for x in chance for _ in range(9)]
     by_chance = [page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{x}</p>\n<p>{{{{ user.name }}}}</p>\n") for x in chance for _ in range(3)]
     error = [page(rng, "<h1>Error 404</h1>\n<p>Page not found</p>\n<p>Zorp blick frain glim dorn wesp.</p>\n") for _ in range(3)]
-    rows = [*[(i, f"http://a.test/{i}", stray) for i in range(5)], *[(10 + i, f"HTTP://a.test/x/river.html?from={i}", p) for i, p in enumerate(again)]]
+    rows = [*[(i, "http://a.test/x/river", stray) for i in range(5)], *[(10 + i, f"HTTP://a.test/x/river.html?from={i}", p) for i, p in enumerate(again)]]
     rows += [(100 + i, f"http://b.test/{i}/s{i}", p) for i, p in enumerate(meet + by_chance)] + [(200 + i, f"http://c.test/e{i}", p) for i, p in enumerate(error)]
     df = spark.createDataFrame(rows, "view_id bigint, url string, payload string")
     assert {r["id"] for r in residue.unfit(df, "view_id", "payload", model, "url").collect()} == {200, 201, 202}
@@ -152,6 +152,18 @@ def test_captures_of_one_stray_page_explain_nothing(spark, model):
     assert residue.unfit(copies, "view_id", "payload", model).collect() == []
 
 
+def test_whole_pages_repeated_over_addresses_are_templates(spark, model):
+    rng = random.Random(13)
+    closed = "<h1>Glim dorn wesp 7</h1>\n<p>Zorp blick frain ulm keb dasto vrin 12 mel.</p>\n<p>Hestra kolm enti vrasko pel dorune.</p>\n"
+    text = f"<h1>{sentence(rng)}</h1>\n<p>{sentence(rng)} {sentence(rng)}</p>\n"
+    rows = [(i, f"http://a.test/x/{w}", page(rng, closed.replace("12", str(i)))) for i, w in enumerate(WORDS)]
+    rows += [(100 + i, u, page(rng, text)) for i, u in enumerate(("http://b.test/a/stone.html", "https://b.test/print/stone", "http://b.test/amp/stone/?from=r1", "http://c.test/Stone", None))]
+    rows += [(200 + i, f"http://d.test/{w}", page(rng)) for i, w in enumerate(WORDS)]
+    df = spark.createDataFrame(rows, "view_id bigint, url string, payload string")
+    assert {r["id"] for r in residue.unfit(df, "view_id", "payload", model, "url").collect()} == set(range(len(WORDS)))
+    assert {r["id"] for r in residue.main_lines(df, "view_id", "payload", model, "url").select("id").distinct().collect()} == {r[0] for r in rows if r[0] >= 100}
+
+
 def test_address():
     urls = {"HTTP://a.test/x/River.html?from=r7": "river", "https://www.b.test/print/river/#top": "river", "http://a.test/": "a.test", "a.test": "a.test", " ": None, "": None, None: None}
     assert {u: residue.address(u) for u in urls} == urls
