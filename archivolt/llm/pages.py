@@ -6,6 +6,7 @@ import html
 import json
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 #: Tags that do not end a stretch of text.
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em i img ins kbd mark q s samp small span strike strong sub sup time tt u var button label input svg path wbr".split())
@@ -19,6 +20,9 @@ CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
 _TAGGED = re.compile(r"<!doctype html|<(?:html|head|body|title|div|p|main|article|section|header|nav|h[1-6]|ul|ol|li|table|tr|td|a|span|footer|aside|blockquote|pre|br)\b[^>]*>", re.IGNORECASE)
+#: What may precede the first element of a document: blanks, instructions, comments, the document type.
+_PROLOG = re.compile(r"(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>\"']|\"[^\"]*\"|'[^']*'|\[.*?\]\s*(?=>))*>)*+", re.IGNORECASE | re.DOTALL)
+_UNSEEN = re.compile(r"<(script|style)\b.*?</\1\s*>", re.IGNORECASE | re.DOTALL)
 
 
 @dataclass(slots=True)
@@ -41,7 +45,7 @@ def kind_of(payload: str | None) -> str:
     if payload is None or not (body := payload.strip("﻿ \t\r\n")):
         return "none"
     head = body[:2000]
-    if head[:5].lower() == "<?xml" and not re.search(r"<html\b", head, re.IGNORECASE):
+    if head[:5].lower() == "<?xml" and not re.search(r"<html\b", head, re.IGNORECASE) and not re.match(r"<html\b", body[_PROLOG.match(body).end() :][:6], re.IGNORECASE):
         return "xml"
     if body[0] in "{[" and body[-1] in "}]":
         try:
@@ -52,12 +56,13 @@ def kind_of(payload: str | None) -> str:
                 return "json"
     if body[0] == "<" or len(_TAGGED.findall(head)) >= 3:
         return "html"
-    lines = [x.strip() for x in body.splitlines() if x.strip()]
+    tagged = len(list(islice(_TAGGED.finditer(body), 3))) == 3  # a script or stylesheet may name tags, too
+    lines = [x.strip() for x in (_UNSEEN.sub("", body) if tagged else body).splitlines() if x.strip()]
     css = sum(bool(re.match(r"[^{}]*\{[^{}]*:[^{}]*\}$|[.#@]?[\w\-.#: ,>*]+\{$|[\w-]+\s*:\s*[^;]+;$|\}$|/\*|\*/", x)) for x in lines)
     if 2 * css > len(lines) and "{" in body and ":" in body:
         return "css"
     code = sum(bool(re.match(r"(?:export |async )?function\b.*[({]|(?:var|let|const)\s+[\w{\[].*[=;]|(?:if|for|while|return|import|export|window|document|module)\b.*[;{(]|[})\];]+$|//|/\*|\*", x)) for x in lines)
-    return "script" if 2 * code > len(lines) else "text"
+    return "script" if 2 * code > len(lines) else "html" if tagged else "text"
 
 
 def blocks_of(payload: str, kind: str) -> list[Block]:

@@ -85,6 +85,15 @@ def test_kinds():
     assert {k: pages.kind_of(k) for k in kinds} == kinds
 
 
+def test_kinds_of_pages_whose_tags_come_late():
+    words, code = "plain words and more of them\n" * 100, "var a = 1;\n" * 300
+    assert pages.kind_of(words + "<div><p>x</p></div><p>y</p>") == "html" and pages.kind_of(words) == "text"
+    assert pages.kind_of(words + f"<script>{code}</script><div><p>x</p></div><p>y</p>") == "html"
+    assert pages.kind_of(code + "var b = '<div><p>x</p></div><p>';\n") == "script"
+    note = "<?xml version='1.0'?>\n<!-- " + "long " * 500 + "-->\n<!DOCTYPE html [<!ENTITY a '>'>]>\n"
+    assert pages.kind_of(note + "<html><p>x</p></html>") == "html" and pages.kind_of(note + "<feed><html/></feed>") == "xml"
+
+
 def test_blocks_know_their_lines():
     blocks = pages.blocks_of("<div><p>one\ntwo <b>three</b></p>\n<ul><li>a<li>b</ul>x<br>y</div><!-- no\n --><p>z &amp; &eacute;", "html")
     assert [(b.text, b.lines, b.tag) for b in blocks] == [("one two three", [0, 1], "p"), ("a", [2], "li"), ("b", [2], "li"), ("x", [2], "div"), ("y", [2], "div"), ("z & é", [3], "p")]
