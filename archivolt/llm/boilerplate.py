@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import random
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +38,20 @@ LEXICON = {
     "copyright": r"^(?:©|\(c\)|copyright)",
 }
 _LEXICON = {k: re.compile(v, re.IGNORECASE) for k, v in LEXICON.items()}
-_ANY = re.compile("|".join(f"(?:{v})" for v in LEXICON.values()), re.IGNORECASE)
+#: Literals of which every match of a pattern that may stand anywhere holds one.
+_HINTS = (
+    "cookie", "consent", "privacy", "small files", "gespeichert", "données", "datos", "vie privée", "privacidad", "©", "(c)", "all rights", "terms of", "imprint", "accessibility", "made with care",
+    "mentions légales", "tous droits", "plan du site", "impressum", "datenschutz", "nutzungsbedingungen", "alle rechte", "aviso legal", "todos los derechos", "mapa del sitio", "condiciones", "conditions d",
+    "accept all", "only necessary", "got it", "accepter", "refuser", "réglages", "alle zulassen", "nur notwendige", "einstellungen", "aceptar", "ajustes", "rechazar", "solo lo necesario", "script", "skripte",
+)
+#: The patterns that hold at the start of a block only.
+_AT_START = re.compile("|".join(f"(?:{v})" for v in LEXICON.values() if v.startswith("^")), re.IGNORECASE)
 _PARTS = ("nav", "header", "footer", "aside", "main", "article", "noscript", "form", "head", "table", "ul", "ol", "section")
 _NEAR = ("related", "legal", "cookie", "share", "pager", "crumb", "menu", "menuline", "button", "copyright")
 
 
 def _bin(n: float, edges: tuple[float, ...]) -> int:
-    return sum(n > e for e in edges)
+    return bisect_left(edges, n)
 
 
 def groups(blocks: list[Block], kind: str) -> list[int]:
@@ -71,94 +79,164 @@ def body(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if b.tag != "title" and "head" not in b.path]
 
 
-@lru_cache(maxsize=50_000)
-def text_features(text: str) -> frozenset[str]:
+@cache
+def _hints():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for hint in _HINTS:
+        automaton.add_word(hint, True)
+    automaton.make_automaton()
+    return automaton
+
+
+def text_features(text: str) -> set[str]:
     """The observations that a block's text alone gives."""
     n = len(text)
     f = {f"len={_bin(n, (12, 30, 60, 120, 240))}", f"words={_bin(text.count(' ') + 1, (1, 3, 7, 15))}", f"end={text[-1] if text[-1] in '.!?:,;' else '-'}"}
-    if _ANY.search(text):
+    if _AT_START.match(text) or next(_hints().iter(text.lower()), None):
         f.update(f"word={k}" for k, rx in _LEXICON.items() if rx.search(text))
     if text[0] in "-*•":
         f.add("bullet")
     if text[0].islower():
         f.add("lower")
-    return frozenset(f)
+    return f
 
 
-def _seen_from_beside(own: set[str]) -> list[str]:
-    return [x for x in own if x.startswith(("tag=", "link=", "len=")) or x.startswith("word=") and x[5:] in _NEAR]
+@lru_cache(maxsize=10_000)
+def _parts_in(path: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(f"in={t}" for t in _PARTS if t in path)
 
 
-def features(blocks: list[Block], kind: str, title: str = "") -> list[set[str]]:
-    """The observations of each block: tags, text, neighbourhood, and what its neighbours look like."""
-    group = groups(blocks, kind)
-    members: dict[int, list[int]] = {}
-    for i, g in enumerate(group):
-        members.setdefault(g, []).append(i)
-    own: list[set[str]] = []
-    for b in blocks:
-        n = len(b.text)
-        f = set(text_features(b.text) if n <= 400 else text_features.__wrapped__(b.text))
+@lru_cache(maxsize=10_000)
+def _seen_from_beside(names: frozenset[str]) -> tuple[str, ...]:
+    return tuple(sorted(x for x in names if x.startswith(("tag=", "link=", "len=")) or x.startswith("word=") and x[5:] in _NEAR))
+
+
+class Own:
+    """What a block shows by itself: the names of its observations, those that its neighbours see, and marks that
+    its neighbourhood looks for."""
+
+    __slots__ = ("names", "beside", "related", "small", "copyright", "buttons", "linked", "furniture")
+
+    def __init__(self, b: Block) -> None:
+        n, f = len(b.text), text_features(b.text)
         f.update((f"tag={b.tag}", f"link={0 if not b.linked else _bin(b.linked / n, (0.5, 0.9)) + 1}", f"links={_bin(b.links, (0, 1))}"))
-        f.update(f"in={t}" for t in _PARTS if t in b.path)
+        f.update(_parts_in(b.path))
         if b.buttons:
             f.add("buttons")
         if b.bold * 10 > n * 9:
             f.add("bold")
-        own.append(f)
+        self.names = frozenset(f)
+        self.beside = _seen_from_beside(self.names)
+        self.related, self.small, self.copyright = "word=related" in f, not f.isdisjoint(("tag=h3", "tag=h4", "bold")), "word=copyright" in f
+        self.buttons, self.linked = not f.isdisjoint(("buttons", "word=button")), not f.isdisjoint(("link=3", "word=menu"))
+        self.furniture = not f.isdisjoint(("word=cookie", "word=crumb", "word=menuline", "word=legal"))
+
+
+#: Blocks remembered at most, and characters of the longest remembered: sites repeat their furniture on every page.
+REMEMBERED, REMEMBERED_CHARS = 50_000, 200
+
+
+class Memory(dict):
+    """A cache that starts anew when it is full."""
+
+    def keep(self, key, value):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = value
+        return value
+
+
+_OWN = Memory()
+
+
+def _own(b: Block) -> Own:
+    if len(b.text) > REMEMBERED_CHARS:
+        return Own(b)
+    key = (b.text, b.tag, b.path, b.linked, b.links, b.buttons > 0, b.bold)
+    return _OWN.get(key) or _OWN.keep(key, Own(b))
+
+
+def observe(blocks: list[Block], kind: str, title: str = "") -> list[tuple]:
+    """Each block as five atoms: itself, its neighbourhood, its place, and what stands before and behind it. An
+    atom's observations are named by :func:`names_of`; atoms recur, so a model scores each of them once."""
+    group = groups(blocks, kind)
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(group):
+        members.setdefault(g, []).append(i)
+    own = [_own(b) for b in blocks]
     headings = [i for i, b in enumerate(blocks) if b.tag == "h1"] or [i for i, b in enumerate(blocks) if len(b.text) > 7 and title.startswith(b.text)]
     heading_set = set(headings)
-    shared: dict[int, set[str]] = {}
+    shared: dict[int, tuple] = {}
     for g, mates in members.items():
-        lead, f = own[mates[0]], {"bias", f"kind={kind}", f"mates={_bin(len(mates), (1, 2, 5))}"}
-        if "word=related" in lead:
-            f.add("led=related")
-        if "tag=h3" in lead or "bold" in lead or "tag=h4" in lead:
-            f.add("led=small")
-        if mates[0] in heading_set:
-            f.add("led=h1")
-        if any("word=copyright" in own[j] for j in mates):
-            f.add("with copyright")
-        if any(j in heading_set for j in mates):
-            f.add("with h1")
-        if any("buttons" in own[j] or "word=button" in own[j] for j in mates):
-            f.add("with buttons")
-        if all("link=3" in own[j] or "word=menu" in own[j] for j in mates):
-            f.add("all links")
-        shared[g] = f
-    beside = [_seen_from_beside(f) for f in own]
-    out = []
+        lead = own[mates[0]]
+        shared[g] = (
+            kind, _bin(len(mates), (1, 2, 5)), lead.related, lead.small, mates[0] in heading_set, any(own[j].copyright for j in mates),
+            not heading_set.isdisjoint(mates), any(own[j].buttons for j in mates), all(own[j].linked for j in mates),
+        )
     last = len(blocks) - 1
-    titled = any(len(b.text) > 40 and b.tag == "line" for b in blocks)
-    first_text = next((i for i, b in enumerate(blocks) if len(b.text) > 40 and not own[i] & {"word=cookie", "word=crumb", "word=menuline", "word=legal"}), last + 1)
+    titled = any(b.tag == "line" and len(b.text) > 40 for b in blocks)
+    first_text = next((i for i, b in enumerate(blocks) if len(b.text) > 40 and not own[i].furniture), last + 1)
     after_related = False
+    out = []
     for i, b in enumerate(blocks):
-        f = own[i] | shared[group[i]]
-        after_related = after_related or kind == "text" and "led=related" in f
-        if after_related:
-            f.add("behind related")
-        f.add("no h1" if not headings else "at h1" if i in heading_set else "before h1" if i < headings[0] else "after h1")
+        g, text, gap = group[i], "", ""
         if kind == "text":
-            f.add("before text" if i < first_text else "at text" if i == first_text else "after text")
-            f.add(f"gap={int(i > 0 and group[i] != group[i - 1])}{int(i < last and group[i] != group[i + 1])}")
-        if i < 3:
-            f.add(f"first={i}")
-        if last - i < 3:
-            f.add(f"last={last - i}")
-        for side, j in (("prev:", i - 1), ("next:", i + 1)):
-            if 0 <= j <= last:
-                f.update([side + x for x in beside[j]])
-                f.add(side + ("same" if group[j] == group[i] else "other"))
-            else:
-                f.add(side + "none")
-        if titled:
-            f.add("long lines")
-        if i in heading_set and b.tag != "h1":
-            f.add("title text")
-        out.append(f)
+            after_related = after_related or shared[g][2]
+            text = "before text" if i < first_text else "at text" if i == first_text else "after text"
+            gap = f"gap={int(i > 0 and g != group[i - 1])}{int(i < last and g != group[i + 1])}"
+        head = "no h1" if not headings else "at h1" if i in heading_set else "before h1" if i < headings[0] else "after h1"
+        place = (after_related, head, text, gap, min(i, 3), min(last - i, 3), titled, head == "at h1" and b.tag != "h1")
+        out.append((
+            own[i], shared[g], place,
+            ("prev:", own[i - 1].beside, group[i - 1] == g) if i else ("prev:", None, False),
+            ("next:", own[i + 1].beside, group[i + 1] == g) if i < last else ("next:", None, False),
+        ))
     return out
 
 
+_SHARED = ("led=related", "led=small", "led=h1", "with copyright", "with h1", "with buttons", "all links")
+
+
+def names_of(atom) -> list[str]:
+    """The names of an atom's observations."""
+    if isinstance(atom, Own):
+        return list(atom.names)
+    if len(atom) == 3:
+        side, beside, same = atom
+        return [side + "none"] if beside is None else [*(side + x for x in beside), side + ("same" if same else "other")]
+    if len(atom) == 9:
+        return ["bias", f"kind={atom[0]}", f"mates={atom[1]}", *(n for n, held in zip(_SHARED, atom[2:], strict=True) if held)]
+    after_related, head, text, gap, first, last, titled, title_text = atom
+    marks = (("behind related", after_related), (text, text), (gap, gap), (f"first={first}", first < 3), (f"last={last}", last < 3), ("long lines", titled), ("title text", title_text))
+    return [head, *(n for n, held in marks if held)]
+
+
+def features(blocks: list[Block], kind: str, title: str = "") -> list[set[str]]:
+    """The observations of each block: tags, text, neighbourhood, and what its neighbours look like."""
+    return [{n for atom in atoms for n in names_of(atom)} for atoms in observe(blocks, kind, title)]
+
+
+class Reader:
+    """A model with the scores of the atoms met so far."""
+
+    def __init__(self, model: crf.Model) -> None:
+        self.model, self.scores = model, Memory()
+
+    def labels(self, blocks: list[Block], kind: str, title: str) -> list[int]:
+        scores, weights, totals = self.scores, self.model.weights, []
+        for atoms in observe(blocks, kind, title):
+            total = 0.0
+            for atom in atoms:
+                score = scores.get(atom)
+                if score is None:
+                    score = scores.keep(atom, sum([weights[n] for n in names_of(atom) if n in weights]))
+                total += score
+            totals.append(total)
+        return self.model.best_path(totals)
+
+
 def labelled(payload: str) -> tuple[list[Block], list[int]] | None:
     """The blocks and labels of a page whose markup names its parts; None for any other page."""
     if kind_of(payload) != "html":
@@ -281,11 +359,13 @@ def _as_text(blocks: list[Block], labels: list[int], rng: random.Random) -> tupl
 
 
 def training_pages(df: DataFrame, payload_col: str, pages: int = TRAIN_PAGES) -> list[str]:
-    """The labelled pages to learn from: those with the smallest payload hashes, each payload once."""
-    has_parts = F.lower(F.col(payload_col)).rlike("<(?:main|article)\\b")
-    chosen = df.where(has_parts & (F.length(payload_col) <= TRAIN_CHARS)).select(F.xxhash64(payload_col).alias("h"), F.col(payload_col).alias("p"))
-    picked = chosen.dropDuplicates(["h"]).orderBy("h").limit(pages)
-    return [r["p"] for r in picked.collect()]
+    """The labelled pages to learn from: those with the smallest payload hashes, each payload once. Only hashes are
+    sorted and shuffled; the chosen payloads are fetched by them."""
+    hashed = df.select(F.col(payload_col).alias("p"), F.xxhash64(payload_col).alias("h"))
+    labelled_pages = hashed.where(F.col("p").rlike("(?i)<(?:main|article)\\b") & (F.length("p") <= TRAIN_CHARS))
+    chosen = [r["h"] for r in labelled_pages.select("h").distinct().orderBy("h").limit(pages).collect()]
+    fetched = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("p").alias("p"))
+    return [r["p"] for r in sorted(fetched.collect(), key=lambda r: r["h"])]
 
 
 def fit(payloads: list[str], seed: int = 7) -> crf.Model:
@@ -310,13 +390,13 @@ def fit(payloads: list[str], seed: int = 7) -> crf.Model:
 
 def main_blocks(payload: str, model: crf.Model) -> list[Block]:
     """The blocks of the page's own text."""
-    return read_page(payload, model)[0]
+    return read_page(payload, Reader(model))[0]
 
 
-def read_page(payload: str, model: crf.Model) -> tuple[list[Block], list[Block], str]:
+def read_page(payload: str, reader: Reader) -> tuple[list[Block], list[Block], str]:
     """The blocks of the page's own text, the other blocks of its body, and its title."""
     kind = kind_of(payload)
     blocks = blocks_of(payload, kind)
     title, blocks = page_title(blocks), body(blocks)
-    labels = model.decode(features(blocks, kind, title))
+    labels = reader.labels(blocks, kind, title)
     return [b for b, y in zip(blocks, labels, strict=True) if y], [b for b, y in zip(blocks, labels, strict=True) if not y], title

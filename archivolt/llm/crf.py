@@ -25,10 +25,12 @@ class Model:
 
     def decode(self, elements: list[set[str]]) -> list[int]:
         """The likeliest labels (Viterbi); ties go to label 0."""
-        if not elements:
+        return self.best_path(self.scores(elements))
+
+    def best_path(self, scores: list[float]) -> list[int]:
+        if not scores:
             return []
         (t00, t01), (t10, t11) = self.transitions.tolist()
-        scores = self.scores(elements)
         zero, one = float(self.start[0]), float(self.start[1]) + scores[0]
         back: list[tuple[bool, bool]] = []
         for s in scores[1:]:

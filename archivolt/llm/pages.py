@@ -18,7 +18,11 @@ RAW = frozenset(["script", "style", "template"])
 #: Tags that an opening tag of the same group closes if it is still open.
 CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+_ATTRIBUTES = r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*"
+_TOKEN = re.compile(
+    rf"(?P<text>[^<]+)|<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template)(?![\w:-]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<shut>/?)(?P<name>[a-z][\w:-]*){_ATTRIBUTES}>|<[!?][^>]*>|(?P<stray><)",
+    re.DOTALL | re.IGNORECASE,
+)
 _TAGGED = re.compile(r"<!doctype html|<(?:html|head|body|title|div|p|main|article|section|header|nav|h[1-6]|ul|ol|li|table|tr|td|a|span|footer|aside|blockquote|pre|br)\b[^>]*>", re.IGNORECASE)
 #: What may precede the first element of a document: blanks, instructions, comments, the document type.
 _PROLOG = re.compile(r"(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>\"']|\"[^\"]*\"|'[^']*'|\[.*?\]\s*(?=>))*>)*+", re.IGNORECASE | re.DOTALL)
@@ -44,8 +48,7 @@ def kind_of(payload: str | None) -> str:
     """``none`` (null or blank), ``html``, ``text``, or one of ``json``, ``xml``, ``css``, ``script``."""
     if payload is None or not (body := payload.strip("﻿ \t\r\n")):
         return "none"
-    head = body[:2000]
-    if head[:5].lower() == "<?xml" and not re.search(r"<html\b", head, re.IGNORECASE) and not re.match(r"<html\b", body[_PROLOG.match(body).end() :][:6], re.IGNORECASE):
+    if body[:5].lower() == "<?xml" and not re.match(r"<html\b", body[_PROLOG.match(body).end() :][:6], re.IGNORECASE):
         return "xml"
     if body[0] in "{[" and body[-1] in "}]":
         try:
@@ -54,9 +57,9 @@ def kind_of(payload: str | None) -> str:
         except ValueError:
             if re.match(r"[{\[]\s*\"[^\"]*\"\s*:", body):
                 return "json"
-    if body[0] == "<" or len(_TAGGED.findall(head)) >= 3:
+    if body[0] == "<":
         return "html"
-    tagged = len(list(islice(_TAGGED.finditer(body), 3))) == 3  # a script or stylesheet may name tags, too
+    tagged = "<" in body and len(list(islice(_TAGGED.finditer(body), 3))) == 3  # a script or stylesheet may name tags, too
     lines = [x.strip() for x in (_UNSEEN.sub("", body) if tagged else body).splitlines() if x.strip()]
     css = sum(bool(re.match(r"[^{}]*\{[^{}]*:[^{}]*\}$|[.#@]?[\w\-.#: ,>*]+\{$|[\w-]+\s*:\s*[^;]+;$|\}$|/\*|\*/", x)) for x in lines)
     if 2 * css > len(lines) and "{" in body and ":" in body:
@@ -72,64 +75,61 @@ def blocks_of(payload: str, kind: str) -> list[Block]:
     return _html_blocks(payload.replace("\ufeff", "")) if kind == "html" else []
 
 
+class _Open:
+    """An open element: its tag, and what a block inside it needs to know of its place."""
+
+    __slots__ = ("tag", "path", "chain", "own")
+
+    def __init__(self, tag: str, within: _Open | None, number: int) -> None:
+        path, chain, own = (within.path, within.chain, within.own) if within else ((), (), "root")
+        self.tag, self.path = tag, (*path, tag)
+        self.chain = (*chain, number) if tag in GROUPING else chain
+        self.own = own if tag in INLINE else tag
+
+
+_ROOT = _Open("root", None, 0)
+_ROOT.path, _ROOT.chain = (), ()
+
+
 def _html_blocks(payload: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[_Open] = []
     number = line = 0
     parts: list[str] = []
     lines: list[int] = []
     linked = buttons = bold = links = 0
     inline: dict[str, int] = {}
-
-    def flush() -> None:
-        nonlocal parts, lines, linked, buttons, bold, links
-        if not lines:
-            parts = []
-            linked = buttons = bold = links = 0
-            return
-        raw = "".join(parts)
-        if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
-            own = next((t for t, _ in reversed(stack) if t not in INLINE), "root")
-            chain = tuple(n for t, n in stack if t in GROUPING)
-            out.append(Block(text, lines, own, tuple(t for t, _ in stack), linked, buttons, bold, links, chain))
-        parts, lines = [], []
-        linked = buttons = bold = links = 0
-
-    position, size = 0, len(payload)
-    while position < size:
-        m = _TOKEN.match(payload, position)
-        token, position = m[0], m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if token[0] == "<" and len(token) > 1:
-                line += token.count("\n")
-                continue
+    for m in _TOKEN.finditer(payload):
+        kind = m.lastgroup
+        if kind == "text" or kind == "stray":
+            token = m[0]
             if token.isspace():
                 line += token.count("\n")
                 if parts:
                     parts.append(" ")
                 continue
-            weight = 0
-            for k, piece in enumerate(token.split("\n") if "\n" in token else (token,)):
-                line += k > 0
-                if shown := piece.strip():
-                    if not lines or lines[-1] != line:
-                        lines.append(line)
-                    weight += len(shown)
+            if "\n" in token:
+                weight = 0
+                for k, piece in enumerate(token.split("\n")):
+                    line += k > 0
+                    if shown := piece.strip():
+                        if not lines or lines[-1] != line:
+                            lines.append(line)
+                        weight += len(shown)
+            else:
+                if not lines or lines[-1] != line:
+                    lines.append(line)
+                weight = len(token.strip())
             if inline:
                 linked += weight * (inline.get("a", 0) > 0)
                 buttons += weight * (inline.get("button", 0) > 0)
                 bold += weight * (inline.get("b", 0) + inline.get("strong", 0) > 0)
             parts.append(token)
             continue
-        line += token.count("\n")
-        closing = bool(m[1])
-        if name in RAW and not closing:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(payload, position)
-            stop = end.end() if end else size
-            line += payload.count("\n", position, stop)
-            position = stop
-            continue
+        line += payload.count("\n", m.start(), m.end())
+        if kind != "name":
+            continue  # comments, instructions, and elements whose content is not text
+        name, closing = m["name"].lower(), bool(m["shut"])
         if name in INLINE:
             if closing:
                 inline[name] = max(0, inline.get(name, 0) - 1)
@@ -138,23 +138,35 @@ def _html_blocks(payload: str) -> list[Block]:
                 links += name == "a"
             parts.append(" " if name in ("button", "input", "img") else "")
             continue
-        flush()
+        if lines:
+            raw = "".join(parts)
+            if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
+                place = stack[-1] if stack else _ROOT
+                out.append(Block(text, lines, place.own, place.path, linked, buttons, bold, links, place.chain))
+            lines = []
+        parts = []
+        linked = buttons = bold = links = 0
         if name == "br":
             continue
         if closing:
-            if any(t == name for t, _ in stack):
-                while stack and stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
+            at = len(stack) - 1
+            while at >= 0 and stack[at].tag != name:
+                at -= 1
+            if at >= 0:
+                del stack[at:]
             inline.clear()
         elif name not in VOID:
-            if stack and stack[-1][0] == "p":
+            if stack and stack[-1].tag == "p":
                 stack.pop()
             shut = CLOSES.get(name)
-            while shut and stack and stack[-1][0] in shut:
+            while shut and stack and stack[-1].tag in shut:
                 stack.pop()
             number += 1
-            stack.append((name, number))
+            stack.append(_Open(name, stack[-1] if stack else None, number))
             inline.clear()
-    flush()
+    if lines:
+        raw = "".join(parts)
+        if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
+            place = stack[-1] if stack else _ROOT
+            out.append(Block(text, lines, place.own, place.path, linked, buttons, bold, links, place.chain))
     return out

@@ -155,16 +155,17 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_
     Null, blank, style, script and data payloads have no lines and are sound."""
     import xxhash
 
-    weights = model
+    weights = model  # a reader of its own for each task
 
     def hashed(text: str) -> int:
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = boilerplate.Reader(weights)
         for batch in batches:
             lines, verdicts, stretches, words, residues, documents, places, mains = [], [], [], [], [], [], [], []
             for payload, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own, rest, title = boilerplate.read_page(payload, weights)
+                own, rest, title = boilerplate.read_page(payload, reader)
                 verdict, texts, residue = judge(own, rest, title)
                 lines.append(sorted({n for b in own for n in b.lines}))
                 verdicts.append(verdict)

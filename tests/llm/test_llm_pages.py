@@ -184,3 +184,12 @@ def test_training_pages_are_bounded_and_repeatable(spark):
     first = boilerplate.training_pages(df.repartition(5), "payload", 8)
     assert len(first) == 8 and first == boilerplate.training_pages(df, "payload", 8)
     assert boilerplate.fit([]).decode([{"x"}]) == [0]
+
+
+def test_reader_scores_what_the_features_say(model):
+    rng = random.Random(17)
+    reader = boilerplate.Reader(model)
+    for text in [page(rng) for _ in range(20)] + ["one line\n\n- Home\n- News\n\nA longer line of text that says something of its own.", ""]:
+        kind = pages.kind_of(text)
+        blocks = boilerplate.body(pages.blocks_of(text, kind))
+        assert reader.labels(blocks, kind, "One") == model.decode(boilerplate.features(blocks, kind, "One"))
