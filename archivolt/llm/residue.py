@@ -1,12 +1,17 @@
 """Template residue and error-page text (problem 7), and the page analysis it shares with problem 3.
 
-A page's main blocks (problem 3's field) are the slots of its template: what varies between the pages of a site. A slot
-is residue if it still holds variable names, defaults or blanks, filler text, an error message or a demand for scripts.
-Slots of other wording are aligned with all other pages by the hash of their text with digits masked: a stretch is part
-of a whole-page template, not content of this page, if several different pages have it beside the same residue and it
-is seldom met elsewhere. Captures of one page are one page, and so are equal payloads. A page is unfit if it has residue
-and nothing of its own beside it, or if its whole main text, digits masked, stands at several addresses: then the page
-is a template that no address fills, whatever its wording.
+Pages of one site are aligned by position, the path of tags that leads to a block. What stands at one position of most
+of a site's addresses is the template itself; what is left of a page's main blocks (problem 3's field) are the values
+of its slots. A value is residue
+
+* by form: it keeps variable names, blanks or dummy text;
+* by repetition: it recurs as a *default*, on several different main texts of which nearly all hold nothing else of
+  their own, whereas a sentence that articles share by chance has rare text beside it. So error messages, demands for
+  scripts and shipped samples are found whatever their wording or language; no list of phrases is used.
+
+A page is unfit if its slots hold residue and fewer than :data:`OWN_WORDS` other words, or if its whole main text,
+numbers masked, stands at several addresses of its site: then it is a whole-page template that no address fills.
+Captures of one address are one page, equal main texts of a site are one text, and numbers never tell texts apart.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,121 +29,89 @@ from archivolt.llm import boilerplate, crf
 from archivolt.llm.pages import Block
 from archivolt.plans.runtime import cut, spread
 
-#: Different pages that must share a stretch and the residue beside it before it counts as part of a template.
-SHARED_PAGES = 3
-#: Part of all payloads with a stretch that must have that residue beside it. Pages share sentences by chance, the more
-#: the more pages there are; such sentences are mostly met without the residue.
-SHARED_PART = 0.5
-#: Words of its own, in stretches that no other page shares, from which on a page has content.
+#: Different main texts (for a value), or addresses of a site (for a whole main text or a constant), from which on
+#: something is repeated.
+SHARED = 3
+#: Part of the main texts with a repeated value that must have nothing of their own for the value to be a default.
+BARE_PART = 0.8
+#: Part of a site's addresses that must have a value at a position for it to be the template's own text.
+CONSTANT_PART = 0.5
+#: Words outside residue, headings and constants from which on a page has content of its own.
 OWN_WORDS = 5
+#: Words of label that one variable or blank may have beside it and still be what its slot is about.
+LABEL_WORDS = 3
 
-#: The ways in which templates mark their variables.
-PLACEHOLDER = re.compile(
+#: The ways in which templates mark their variables, print missing ones, and leave blanks.
+VARIABLE = re.compile(
     r"<!--.*?-->|\{\{\{?[^{}]*\}?\}\}|\{%.*?%\}|<[%?].*?[%?]>|\[%.*?%\]|\$\{[^}]*\}|#\{[^}]*\}|%%\w+%%|%[A-Z][A-Z_]*%|\[\[[^\]]*\]\]|##\w+##|\$\$\w+\$\$"
     r"|@[A-Z]\w*\.\w+|__[A-Z]\w*__|\b[A-Z]+_PLACEHOLDER\b|\{\d+\} (?:of|de|von|sur) \{\d+\}|\{\w*\}|\[[A-Z][A-Z_ ]+\]|\[insert [^\]]*\]|«(?:name|titre|titel|nombre|texte?)\b[^»]*»"
-    r"|\[object Object\]|\bInvalid Date\b|\bundefined\b|\bNaN\b|^null$",
+    r"|\[object Object\]|\bInvalid Date\b|\bundefined\b|\bNaN\b|^null$|_{3,}|(?:\.{4,}|…{2,})\s*$",
     re.IGNORECASE,
 )
+_MAY_HOLD_VARIABLE = re.compile(r"[{}%<\[#$@_«]|\.{4}|…|undefined|invalid|nan\b|null", re.IGNORECASE)
+_CASE_BOUND = re.compile(r"%\w+%|\[(?!insert |object)[\w ]+\]|\w+_placeholder|__[^\W_]\w*__", re.IGNORECASE)
 _UPPER_ONLY = re.compile(r"%[A-Z][A-Z_]*%|\[[A-Z][A-Z_ ]+\]|\b[A-Z]+_PLACEHOLDER\b|__[A-Z]\w*__")
-#: Stems of the usual dummy Latin.
+#: Stems of the usual dummy Latin, and what is typed to fill a field.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum mauris vivamus vestibulum curabitur pellentesque phasellus fusce praesent maecenas aenean donec nullam quisque cras proin integer morbi suspendisse nam augue sodales ligula tempus rutrum porta sagittis massa pharetra congue viverra quam lectus fringilla tetur sagit vestib fringil felis erat ornare blandit consec sem nibh eget nec vel ante arcu diam dui eros facilisis faucibus hendrerit iaculis imperdiet justo lacinia lacus leo libero lobortis luctus mattis nisl nunc odio orci placerat posuere pretium purus rhoncus risus semper sollicitudin tellus tincidunt tortor tristique turpis ullamcorper ultrices ultricies urna varius vehicula volutpat vulputate".split()
 )
-_DEFAULTS = re.compile(
-    r"(?:headline goes here|page title|your (?:text|title|headline) (?:goes )?here|untitled(?: document| page)?|neue seite|new page|nouvelle page|página nueva|section one|demo|todo\b.{0,40}|lead paragraph tbd|tbd|tba|example page created by the installer\.?"
-    r"|this is a demo entry.{0,60}|(?:replace|overwrite|edit) this (?:paragraph|text).{0,80}|(?:sample|placeholder|dummy) (?:text|copy).{0,60}|text(?: text)+|muster(?:,? muster)*|blindtext(?: blindtext)*|texte d.exemple|texto de (?:ejemplo|relleno|muestra)|beispieltext|mustertext|insert (?:text|title) here|title|hello world!?)[.!]?$",
-    re.IGNORECASE,
-)
-#: What error pages say, as whole stretches.
-_ERROR = re.compile(
-    r"^(?:(?:error|erreur|fehler) \d{3}\b.{0,40}|\d{3}\b[ :-]*(?:[-–:] )?(?:forbidden|gone|not found|internal server error|bad gateway|service unavailable|gateway time-?out|unauthorized|bad request|too many requests|moved.{0,20}|error)"
-    r"|(?:page |document )?not found\.?|page introuvable\.?|(?:seite )?nicht gefunden\.?|(?:página )?no encontrad[ao]\.?|access denied|accès refusé|zugriff verweigert|acceso denegado|service unavailable|gateway time-?out|error interno.{0,40}|internal server error|server error|interner (?:server)?fehler.{0,20}|something went wrong.{0,60}|oops!?.{0,40}"
-    r"|.{0,40}\b(?:leads nowhere|could not be found|could not finish your request|permission to (?:open|view|access) this|down for maintenance|did not answer in time|has been removed or its name was changed|connect to the database|slow down and retry)\b.{0,60}"
-    r"|fatal error: .{0,160}|too many requests\..{0,60}|(?:please )?(?:check|verify) the address.{0,60}|try the search box.{0,40}|if this keeps happening.{0,60}|.{0,30}/\d[\d.]* at (?:\S+ )?port \d+"
-    r"|la page demandée n.existe.{0,40}|une erreur est survenue.{0,40}|service momentanément indisponible\.?|retour à l.accueil\.?|vérifiez l.adresse\.?|die gesuchte seite gibt es nicht.{0,20}|der dienst ist vorübergehend.{0,40}|wegen wartungsarbeiten.{0,40}|zurück zur startseite\.?|bitte prüfen sie die adresse\.?"
-    r"|la página que busca no existe.{0,20}|servicio no disponible.{0,40}|volver al inicio\.?|revise la dirección\.?|se ha producido un error.{0,40}|(?:leider ist )?ein fehler (?:ist )?aufgetreten.{0,40})$",
-    re.IGNORECASE,
-)
-_SCRIPTS = re.compile(
-    r"^(?=.{0,140}$)(?:(?=.*\b(?:javascript|scripts?|skripte)\b)(?=.*(?:\benable\b|\brequired\b|\bmust be\b|\bcannot start\b|does not run|switched on|\bturn it on\b|doit être|activer|activez|aktivieren|eingeschaltet|erlauben|activar|active\b|\bsans\b|\bohne\b|\bsin\b|necesita|se requiere|nécessaire)).*)|^(?:loading application, please wait|wird geladen|chargement en cours|cargando)\b.{0,20}$",
-    re.IGNORECASE,
-)
 _DUMMY = frozenset("bla blah foo bar baz qux qwer qwerty asdf test xxx xxxx xxxxx yyy zzz abc lala dummy".split())
-_TICKET = re.compile(r"(?:reference|référence|referenz|referencia|vorgang|request id|ray id|incident)\b\W*\w+\.?$", re.IGNORECASE)
-_SPEECH = re.compile(r"\b(?:said|who|saw|went|had|turned|removed|was|were|wurde|sagte|a dit|dijo)\b", re.IGNORECASE)
+#: Part of a stretch's words that must be dummy Latin.
+LATIN_PART = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_NUMBERED = re.compile(r"\w*\d\w*")
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def residue_kind(text: str) -> str | None:
-    """``placeholder``, ``filler``, ``error``, ``script`` or None for a stretch that says something of its own."""
-    return _residue_kind(text) if len(text) <= 400 else _residue_kind.__wrapped__(text)
+    """``placeholder`` (variables and blanks), ``filler`` (dummy text, one thing over and over) or None: what a stretch
+    shows by its form alone."""
+    return _residue_kind(text) if len(text) <= boilerplate.REMEMBERED_CHARS else _residue_kind.__wrapped__(text)
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=boilerplate.REMEMBERED)
 def _residue_kind(text: str) -> str | None:
-    text = html.unescape(text).strip().lstrip("-*• ").strip()
+    text = (html.unescape(text) if "&" in text else text).strip().lstrip("-*• ").strip()
     words = _WORD.findall(text)
-    if _DEFAULTS.match(text):
-        return "filler"
-    holes = [m for m in PLACEHOLDER.finditer(text) if not _case_bound(m[0])]
-    if holes:
-        rest = _WORD.findall(PLACEHOLDER.sub(" ", text))
-        if len(rest) <= max(4, len(holes) * 3) or sum(len(m[0]) for m in holes) * 2 >= len(text):
+    if _MAY_HOLD_VARIABLE.search(text):
+        holes = [m[0] for m in VARIABLE.finditer(text) if not _CASE_BOUND.fullmatch(m[0]) or _UPPER_ONLY.fullmatch(m[0])]
+        if holes and (len(_WORD.findall(VARIABLE.sub(" ", text))) <= max(4, len(holes) * LABEL_WORDS) or sum(map(len, holes)) * 2 >= len(text)):
             return "placeholder"
     if not words:
-        return "filler" if re.fullmatch(r"[\d\W_]*\d[\d\W_]*", text) and len(set(re.findall(r"\d+", text))) == 1 and len(re.findall(r"\d+", text)) > 2 else None
+        numbers = re.findall(r"\d+", text)
+        return "filler" if len(numbers) > 2 and len(set(numbers)) == 1 and text[0].isdigit() else None
     lower = [w.lower() for w in words]
-    if len(lower) >= 4 and sum(w in LATIN for w in lower) * 10 >= 6 * len(lower) or len(lower) < 4 and LATIN.issuperset(lower) and any(len(w) > 4 for w in lower):
+    latin = sum(map(LATIN.__contains__, lower))
+    if latin and (latin >= LATIN_PART * len(lower) if len(lower) >= 4 else latin == len(lower) and any(len(w) > 4 for w in lower)):
         return "filler"
     if len(lower) >= 3 and (len(set(lower)) == 1 or _DUMMY.issuperset(lower)):
         return "filler"
-    if _TICKET.match(text):
-        return "error"
-    sentences = [x for x in re.split(r"(?<=[.!?])\s+", text) if x]
-    if len(sentences) > 1 and len(set(sentences)) == 1:
-        return "filler"
-    if all(_DEFAULTS.match(x) for x in sentences):
-        return "filler"
-    if _ERROR.match(text) or len(sentences) > 1 and all(_ERROR.match(x) for x in sentences):
-        return "error"
-    if not _SPEECH.search(text) and (_SCRIPTS.match(text) or len(sentences) > 1 and any(_SCRIPTS.match(x) for x in sentences) and len(words) <= 24):
-        return "script"
-    return None
+    sentences = _SENTENCE.split(text)
+    return "filler" if len(sentences) > 1 and len(set(sentences)) == 1 else None
 
 
-def _case_bound(hole: str) -> bool:
-    """Marks that count in capitals only, met in another case."""
-    return bool(re.fullmatch(r"%\w+%|\[[\w ]+\]|\w+_placeholder|__\w+__", hole, re.IGNORECASE)) and not _UPPER_ONLY.fullmatch(hole) and not hole.lower().startswith(("[insert ", "[object"))
+def masked(text: str) -> str:
+    """``text`` with every word that holds a digit made one and the same."""
+    return _NUMBERED.sub("0", text)
 
 
-def _masked(text: str) -> str:
-    return "ticket" if _TICKET.match(text) else re.sub(r"\d+", "0", text)
+def _is_heading(b: Block, first: bool, title: str) -> bool:
+    """Headings promise text but are none: heading tags, what the title begins with, the first line of plain text."""
+    return b.tag in _HEADINGS or first and b.tag == "line" or title.startswith(b.text) and not re.match(r"\s*[\w,;]", title[len(b.text) :])
 
 
-def judge(main: list[Block], rest: list[Block], title: str) -> tuple[str, list[str], list[str]]:
-    """``unfit`` (residue and nothing else), ``sound`` (no residue) or ``open`` (residue beside other text), with the
-    masked stretches of that other text and those of the residue. Headings promise text but are none; code quotes
-    anything and is no residue.
+def slot_values(own: list[Block], rest: list[Block], title: str) -> tuple[str, list[tuple[Block, bool, bool]]]:
+    """A page's verdict so far, and its slots' values as (block, is a heading, is residue by form).
 
-    A page without main blocks is unfit if one of its other blocks, outside ``noscript``, is residue, or if it shows
-    nothing but residue in ``noscript``.
+    ``hidden``: nothing is shown but what stands in ``noscript``, a demand for scripts by place. ``empty``: no main
+    block; the values are those of all its blocks outside ``noscript``. ``open``: to be judged by its values. Code
+    quotes anything and is left out.
     """
-    if not main:
-        hit = any("noscript" not in b.path and b.tag != "noscript" and residue_kind(b.text) in ("error", "script", "placeholder", "filler") and len(b.text) > 12 for b in rest)
-        hidden = rest and all("noscript" in b.path or b.tag == "noscript" for b in rest) and any(residue_kind(b.text) for b in rest)
-        return ("unfit" if hit or hidden else "sound"), [], []
-    first = main[0]
-    own, residue = [], set()
-    for b in main:
-        if b.tag in ("pre", "code"):
-            continue
-        if residue_kind(b.text) is not None:
-            residue.add(_masked(b.text))
-        elif b.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and not (len(b.text) > 7 and title.startswith(b.text)) and not (b is first and b.tag == "line"):
-            own.append(_masked(b.text))
-    if not residue:
-        return "sound", own, []
-    return ("open" if own else "unfit"), own, sorted(residue)
+    if own:
+        return "open", [(b, _is_heading(b, i == 0, title), residue_kind(b.text) is not None) for i, b in enumerate(own) if b.tag not in ("pre", "code")]
+    shown = [b for b in rest if b.tag != "noscript" and "noscript" not in b.path]
+    return ("hidden" if rest and not shown else "empty"), [(b, False, residue_kind(b.text) is not None) for b in shown]
 
 
 def address(url: str | None) -> str | None:
@@ -148,11 +121,20 @@ def address(url: str | None) -> str | None:
     return (re.sub(r"\.[a-z0-9]{1,5}$", "", parts[-1]) if len(parts) > 1 else parts[0]) if parts else None
 
 
+def site(url: str | None) -> str | None:
+    """The host of a URL, without user, port and ``www``."""
+    host = re.split(r"[/?#]", re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", (url or "").strip().lower()), maxsplit=1)[0].rpartition("@")[2].partition(":")[0]
+    return host.removeprefix("www.") or None
+
+
+SLOTS = "array<struct<position: bigint, value: bigint, words: int, heading: boolean, residue: boolean>>"
+
+
 def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:
-    """One narrow pass: ``id``, ``lines`` (of the page's own text), ``verdict``, ``stretches`` (64-bit hashes of the
-    masked main stretches that are not residue), ``words`` (of each), and hashes of the ``residue``, the ``document``
-    (the whole payload), the ``page`` (its address, or null) and the ``main`` text (masked; null without any word).
-    Null, blank, style, script and data payloads have no lines and are sound."""
+    """One narrow pass: ``id``, ``lines`` (of the page's own text), ``verdict`` and ``slots`` (see :func:`slot_values`;
+    positions and values as 64-bit hashes), and hashes of the ``page`` (its address, or the whole payload), its
+    ``site`` (0 if unknown) and its ``main`` text (masked; null without any main block).
+    Null, blank, style, script and data payloads have no lines and no slots."""
     import xxhash
 
     weights = model  # a reader of its own for each task
@@ -160,59 +142,100 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_
     def hashed(text: str) -> int:
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
+    slot = pa.struct([("position", pa.int64()), ("value", pa.int64()), ("words", pa.int32()), ("heading", pa.bool_()), ("residue", pa.bool_())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = boilerplate.Reader(weights)
+        position = cache(lambda path: hashed("/".join(path)))
         for batch in batches:
-            lines, verdicts, stretches, words, residues, documents, places, mains = [], [], [], [], [], [], [], []
+            lines, verdicts, ends, flat, places, sites, mains = [], [], [0], [], [], [], []
             for payload, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own, rest, title = boilerplate.read_page(payload, reader)
-                verdict, texts, residue = judge(own, rest, title)
+                verdict, values = slot_values(own, rest, title)
+                whole = []
+                for b, heading, residue in values:
+                    text = masked(b.text)
+                    whole.append(text)
+                    flat.append((position(b.path), hashed(text), len(_WORD.findall(text)), heading, residue))
+                ends.append(len(flat))
                 lines.append(sorted({n for b in own for n in b.lines}))
                 verdicts.append(verdict)
-                stretches.append([hashed(t) for t in texts])
-                words.append([len(_WORD.findall(t)) for t in texts])
-                residues.append(hashed("\n".join(residue)))
-                documents.append(hashed(payload))
-                places.append(hashed(place) if (place := address(url)) else None)
-                whole = "\n".join(_masked(b.text) for b in own)
-                mains.append(hashed(whole) if _WORD.search(whole) else None)
-            ints = pa.list_(pa.int64())
+                mains.append(hashed("\n".join(whole)) if own and whole else None)
+                places.append(hashed(place if (place := address(url)) else payload))
+                sites.append(hashed(host) if (host := site(url)) else 0)
+            columns = zip(*flat, strict=True) if flat else [[]] * 5
+            slots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, slot, strict=True)], fields=list(slot)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), pa.array(stretches, ints), pa.array(words, pa.list_(pa.int32())), *(pa.array(x, pa.int64()) for x in (residues, documents, places, mains))],
-                names=["id", "lines", "verdict", "stretches", "words", "residue", "document", "page", "main"],
+                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), slots, *(pa.array(x, pa.int64()) for x in (places, sites, mains))],
+                names=["id", "lines", "verdict", "slots", "page", "site", "main"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     url = F.col(url_col) if url_col else F.lit(None)
     given = df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload"), url.cast("string").alias("url")).where(F.col("payload").isNotNull())
-    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, stretches array<bigint>, words array<int>, residue bigint, document bigint, page bigint, main bigint")
+    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, slots {SLOTS}, page bigint, site bigint, main bigint")
+
+
+def constants(pages: DataFrame, shared: int = SHARED, part: float = CONSTANT_PART) -> DataFrame:
+    """``site``, ``position``, ``value`` of what stands at one position of most addresses of a site: the template's
+    own text. ``pages``: site, page, position, value."""
+    known = pages.where("site <> 0")
+    addresses = known.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("addresses")).where(F.col("addresses") >= shared)
+    held = known.select("site", "position", "value", "page").distinct().groupBy("site", "position", "value").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared)
+    return held.join(addresses, "site").where(F.col("pages") >= part * F.col("addresses")).select("site", "position", "value", F.lit(True).alias("constant"))
+
+
+def align(analysed: DataFrame, shared: int = SHARED) -> DataFrame:
+    """The values of all main texts, one row for each (``main``, ``site``, ``position``, ``value``) with ``words``,
+    ``heading``, ``residue``, whether it is ``constant``, and whether it is ``repeated``, on ``shared`` different main
+    texts or more. Captures and equal texts of a site fall together map-side."""
+    pages = analysed.where("main is not null").select("main", "site", "page", F.explode("slots").alias("s")).select("main", "site", "page", "s.*")
+    units = pages.groupBy("main", "site", "position", "value").agg(F.max("words").alias("words"), F.max("heading").alias("heading"), F.max("residue").alias("residue"))
+    repeated = units.select("value", "main").distinct().groupBy("value").agg(F.count("*").alias("mains")).where(F.col("mains") >= shared)
+    marked = units.join(repeated.select("value", F.lit(True).alias("repeated")), "value", "left").join(constants(pages, shared), ["site", "position", "value"], "left")
+    return marked.fillna(False, ["repeated", "constant"])
+
 
+def _content(covered: F.Column) -> F.Column:
+    """Words of a page outside what is ``covered`` and constants; of its headings only if it has nothing else."""
+    own = lambda wanted: F.sum(F.when(wanted & ~F.col("constant") & ~covered, F.col("words")).otherwise(0))
+    return F.when(F.max(~F.col("heading")), own(~F.col("heading"))).otherwise(own(F.lit(True)))
 
-def unfit_pages(analysed: DataFrame, shared: int = SHARED_PAGES, own_words: int = OWN_WORDS, part: float = SHARED_PART) -> DataFrame:
+
+def defaults(aligned: DataFrame, shared: int = SHARED, own_words: int = OWN_WORDS, part: float = BARE_PART) -> DataFrame:
+    """``value`` of what recurs where nothing of its own stands: of the main texts with it (those of each site count
+    once), ``shared`` or more, at least ``part`` have fewer than ``own_words`` words in rare values; or of what is a
+    whole main text by itself, without a heading, on ``shared`` sites or more."""
+    whole = aligned.groupBy("main", "site").agg(F.count_distinct("value").alias("values"), F.min("value").alias("value"), F.max("heading").alias("headed"))
+    alone = whole.where("values = 1 and not headed and site <> 0").groupBy("value").agg(F.count("*").alias("sites")).where(F.col("sites") >= shared).select("value", F.lit(True).alias("alone"))
+    known = aligned.join(alone, "value", "left").fillna(False, ["alone"])
+    bare = known.groupBy("main", "site").agg((_content(F.col("repeated") | F.col("residue") | F.col("alone")) < own_words).alias("bare"))
+    met = known.where("repeated or alone").select("value", "alone", "main", "site").distinct().join(bare, ["main", "site"])
+    counted = met.groupBy("value").agg(F.max("alone").alias("alone"), F.count("*").alias("texts"), F.count_if("bare").alias("bare"))
+    return counted.where(F.col("alone") | (F.col("texts") >= shared) & (F.col("bare") >= part * F.col("texts"))).select("value", F.lit(True).alias("default"))
+
+
+def whole_page_templates(analysed: DataFrame, shared: int = SHARED) -> DataFrame:
+    """``main``, ``site`` of main texts that stand whole at ``shared`` addresses of one site or more."""
+    texts = analysed.where("main is not null and site <> 0").select("main", "site", "page").distinct()
+    return texts.groupBy("main", "site").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared).select("main", "site")
+
+
+def unfit_pages(analysed: DataFrame, shared: int = SHARED, own_words: int = OWN_WORDS, part: float = BARE_PART) -> DataFrame:
     """``id`` of the pages without content of their own. ``analysed`` must be materialised.
 
-    Stretch counts cover all pages; they combine map-side, so a stretch on a third of all pages costs one row per
-    task. Equal payloads count once for a stretch, whatever their ids and addresses, and so do the captures of an address.
-    """
-    each = analysed.select("id", "verdict", "residue", "document", F.coalesce("page", "document").alias("page"), F.explode(F.arrays_zip("stretches", "words")).alias("s")).select("id", "verdict", "residue", "document", "page", F.col("s.stretches").alias("stretch"), F.col("s.words").alias("n"))
-    open_rows = each.where("verdict = 'open'")
-    once = open_rows.groupBy("stretch", "residue", "document").agg(F.min("page").alias("page"))
-    beside = once.groupBy("stretch", "residue").agg(F.count("*").alias("documents"), F.count_distinct("page").alias("pages")).where(F.col("pages") >= shared)
-    counts = each.select("document", "stretch").distinct().groupBy("stretch").agg(F.count("*").alias("everywhere"))
-    explained = beside.join(counts, "stretch").where(F.col("documents") >= part * F.col("everywhere")).select("stretch", "residue", F.lit(True).alias("template"))
-    own = open_rows.join(explained, ["stretch", "residue"], "left").groupBy("id").agg(F.sum(F.when(F.col("template").isNull(), F.col("n")).otherwise(0)).alias("own"))
-    repeated = whole_page_templates(analysed, shared).select("id")
-    return analysed.where("verdict = 'unfit'").select("id").unionByName(repeated).unionByName(own.where(F.col("own") < own_words).select("id")).distinct()
-
-
-def whole_page_templates(analysed: DataFrame, shared: int = SHARED_PAGES) -> DataFrame:
-    """The rows of ``analysed`` whose whole main text stands at ``shared`` addresses or more, whatever its wording.
-
-    Pages with unknown address count for none. One row for each text and address is shuffled, so a text on a third of
-    all pages is no larger than its addresses are many.
+    All counts cover all pages; they combine map-side, and one row per (main text, site) goes on from there, so a
+    text or value on a third of all pages is no larger than its different neighbours are many.
     """
-    texts = analysed.where("main is not null and page is not null").select("main", "page").distinct().groupBy("main").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared)
-    return analysed.join(texts.select("main"), "main", "left_semi")
+    aligned = cut(align(analysed, shared))
+    default = cut(defaults(aligned, shared, own_words, part))
+    told = aligned.join(default, "value", "left").fillna(False, ["default"])
+    covered = F.col("residue") | F.col("default")
+    judged = told.groupBy("main", "site").agg(_content(covered).alias("own"), F.max(covered).alias("hit"))
+    texts = judged.where((F.col("own") < own_words) & F.col("hit")).select("main", "site").unionByName(whole_page_templates(analysed, shared)).distinct()
+    with_main = analysed.where("main is not null").join(texts, ["main", "site"], "left_semi").select("id")
+    empty = analysed.where("verdict = 'empty'").select("id", F.explode("slots").alias("s")).select("id", "s.value", "s.residue").join(default, "value", "left")
+    return with_main.unionByName(analysed.where("verdict = 'hidden'").select("id")).unionByName(empty.where("residue or default").select("id")).distinct()
 
 
 def unfit(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:

@@ -118,47 +118,79 @@ def test_held_out_pages(model):
     ("text", "kind"),
     [
         ("Welcome to {{ title }}", "placeholder"), ("[object Object]", "placeholder"), ("Last change: ${a.b}", "placeholder"), ("%%NAME%%", "placeholder"), ("null", "placeholder"), ("Posted by undefined on Invalid Date", "placeholder"),
-        ("Lorem ipsum dolor sit amet consectetur.", "filler"), ("Your text here", "filler"), ("xxx xxxx bla asdf", "filler"), ("Sample text. Sample text.", "filler"), ("Error 404", "error"), ("503 Service Unavailable", "error"), ("Page introuvable", "error"),
-        ("JavaScript is required. Turn it on and reload.", "script"), ("Ohne Skripte kann der Inhalt nicht geladen werden.", "script"),
-        ("An internal server error in March removed 14 pages from the index.", None), ('The words "page not found" turned up in 5 of the captures.', None), ("Readers who had JavaScript switched off saw the same text as everyone else.", None),
-        ("A lorem ipsum draft went live by mistake and stayed for 17 days.", None), ("An unfilled {{ title }} in the old template had cost the team 20 hours.", None), ("The river and the stone share one bridge.", None), ("100%", None), ("[insert]", None),
+        ("Customer: __________", "placeholder"), ("Name ........", "placeholder"), ("Chapter 1 ..... 12", None), ("[insert]", None),
+        ("Lorem ipsum dolor sit amet consectetur.", "filler"), ("xxx xxxx bla asdf", "filler"), ("Sample text. Sample text.", "filler"), ("0 0 0 0", "filler"),
+        ("An internal server error in March removed 14 pages from the index.", None), ("A lorem ipsum draft went live by mistake and stayed for 17 days.", None),
+        ("An unfilled {{ title }} in the old template had cost the team 20 hours.", None), ("The river and the stone share one bridge.", None), ("100%", None), ("Error 404", None), ("", None),
     ],
 )
 def test_residue_kinds(text, kind):
     assert residue.residue_kind(text) == kind
 
 
+NOTICES = ["Errore 503", "Pagina non trovata", "Il server non risponde", "De pagina bestaat niet meer", "Er ging iets mis op de server", "HTTP Error 503", "We could not find this document on our server", "Die Anwendung benötigt JavaScript", "Erro interno do servidor", "Tente novamente mais tarde", "Strona nie istnieje", "Din webbläsare saknar stöd för skript"]
+HINTS = ["Torna alla pagina iniziale", "Ga terug naar het begin", "Contact the helpdesk and quote 7a31f", "Volte mais tarde", "Gå till startsidan"]
+
+
+def notices(rng, n):
+    """Pages whose main text is a notice in words that no list of the library holds, each at an address of its own."""
+    return [(f"http://{rng.choice('abcdefgh')}.test/{rng.choice(WORDS)}/n{i}", page(rng, f"<h1>{rng.choice(NOTICES)}</h1>\n" + "".join(f"<p>{x} {i}.</p>\n" for x in rng.sample(NOTICES + HINTS, rng.choice((1, 2))))) ) for i in range(n)]
+
+
+def articles(rng, n):
+    return [(f"http://{rng.choice('abcdefgh')}.test/{rng.choice(WORDS)}/a{i}", page(rng)) for i in range(n)]
+
+
+def table_of(spark, rows):
+    return spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(rows)], "view_id bigint, url string, payload string")
+
+
+def found(df, model):
+    return {r["id"] for r in residue.unfit(df, "view_id", "payload", model, "url").collect()}
+
+
+def test_notices_of_any_wording_are_found_by_their_repetition(spark, model):
+    rng = random.Random(3)
+    bad, good = notices(rng, 160), articles(rng, 200)
+    quoting = [(u, p.replace("</article>", f"<p>{NOTICES[k % 12]} {k}.</p></article>")) for k, (u, p) in enumerate(articles(rng, 15))]
+    got = found(table_of(spark, bad + good + quoting), model)
+    assert len([i for i in got if i < 160]) >= 0.9 * 160 and not [i for i in got if i >= 160]
+
+
 def test_main_lines_and_unfit_pages(spark, model):
     rng = random.Random(5)
-    sound, error = page(rng), page(rng, "<h1>Error 404</h1>\n<p>Page not found</p>\n<p>Zorp blick frain.</p>\n")
-    others = [page(rng, "<h1>Error 404</h1>\n<p>Page not found</p>\n<p>Zorp blick frain.</p>\n") for _ in range(3)]
     stray = page(rng).replace("</article>", "<p>{{ user.name }}</p></article>")
     long = page(rng, "<h1>Long reading about rivers</h1>\n" + "".join(f"<p>{sentence(rng)}</p>\n" for _ in range(4000)))
-    rows = [(1, sound), (1, sound), (2, error), (3, stray), (4, None), (5, ""), (6, "a { b: c }"), (7, '{"a": "Error 404"}'), (8, long), (None, sound), (9, "Error 404\nPage not found"), *[(20 + i, p) for i, p in enumerate(others)]]
+    blank = page(rng, "<h1>{{ title }}</h1>\n<p>Dear ${name}, __________</p>\n")
+    hidden = "<html><body><div id=root></div><noscript>Zorp.</noscript></body></html>"
+    sound = page(rng)
+    rows = [(1, sound), (1, sound), (2, blank), (3, stray), (4, None), (5, ""), (6, "a { b: c }"), (7, '{"a": "Error 404"}'), (8, long), (None, sound), (None, blank), (9, hidden), (10, blank)]
     df = spark.createDataFrame([(i, p, "x", "y", "z") for i, p in rows], "view_id bigint, payload string, lines string, verdict string, id string").select("view_id", "payload", "lines", "verdict")
-    assert {r["id"] for r in residue.unfit(df, "view_id", "payload", model).collect()} == {2, 9, 20, 21, 22}
+    assert {r["id"] for r in residue.unfit(df, "view_id", "payload", model).collect()} == {2, 9, 10}
     lines = residue.main_lines(df, "view_id", "payload", model)
     by = {r["id"]: r["n"] for r in lines.groupBy("id").agg(F.count("*").alias("n")).collect()}
-    assert set(by) == {1, 3, 8, None} and by[8] >= 4000 and lines.count() == lines.distinct().count()
+    assert {1, 3, 8} <= set(by) <= {1, 3, 8, None} and by[8] >= 4000 and lines.count() == lines.distinct().count()
     assert residue.unfit(df.limit(0), "view_id", "payload", model).collect() == [] and residue.main_lines(df.limit(0), "view_id", "payload", model).collect() == []
 
 
-def test_captures_of_one_stray_page_explain_nothing(spark, model):
+def test_captures_mirrors_and_chance_explain_nothing(spark, model):
     rng = random.Random(11)
-    text = [f"<h1>{sentence(rng)}</h1>\n", f"<p>{sentence(rng)} {sentence(rng)}</p>\n"]
-    stray = page(rng, "".join(text) + "<p>{{ user.name }}</p>\n")
-    again = [page(rng, "".join(text) + "<p>{{ user.name }}</p>\n") for _ in range(4)]  # other boxes around the same text
+    text = f"<h1>{sentence(rng)}</h1>\n<p>{sentence(rng)} {sentence(rng)}</p>\n<p>{sentence(rng)}</p>\n<p>{{{{ user.name }}}}</p>\n"
+    stray = page(rng, text)
+    rows = [("http://a.test/x/river", stray)] * 5 + [(f"HTTP://a.test/x/river.html?from={i}", page(rng, text)) for i in range(4)]  # captures, other boxes around the same text
+    rows += [(f"http://{c}.test/m/{c}", page(rng, text)) for c in "bcdefgh"]  # the article on other sites
     chance = [sentence(rng) for _ in range(3)]
-    meet = [page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{x}</p>\n<p>{sentence(rng)}</p>\n") for x in chance for _ in range(9)]
-    by_chance = [page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{x}</p>\n<p>{{{{ user.name }}}}</p>\n") for x in chance for _ in range(3)]
-    error = [page(rng, "<h1>Error 404</h1>\n<p>Page not found</p>\n<p>Zorp blick frain glim dorn wesp.</p>\n") for _ in range(3)]
-    rows = [*[(i, "http://a.test/x/river", stray) for i in range(5)], *[(10 + i, f"HTTP://a.test/x/river.html?from={i}", p) for i, p in enumerate(again)]]
-    rows += [(100 + i, f"http://b.test/{i}/s{i}", p) for i, p in enumerate(meet + by_chance)] + [(200 + i, f"http://c.test/e{i}", p) for i, p in enumerate(error)]
-    df = spark.createDataFrame(rows, "view_id bigint, url string, payload string")
-    assert {r["id"] for r in residue.unfit(df, "view_id", "payload", model, "url").collect()} == {200, 201, 202}
-    assert {r["id"] for r in residue.main_lines(df, "view_id", "payload", model, "url").select("id").distinct().collect()} == {r[0] for r in rows if r[0] < 200}
-    copies = df.where("view_id < 5")
-    assert residue.unfit(copies, "view_id", "payload", model).collect() == []
+    rows += [(f"http://k.test/{k}/s{k}-{i}", page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{x}</p>\n<p>{y}</p>\n")) for k, x in enumerate(chance) for i, y in enumerate([sentence(rng) for _ in range(9)] + ["{{ user.name }}"] * 2)]
+    assert found(table_of(spark, rows), model) == set()
+    assert found(table_of(spark, rows).select("view_id", "payload", F.lit(None).cast("string").alias("url")), model) == set()
+
+
+def test_constants_of_a_site_are_no_content(spark, model):
+    rng = random.Random(12)
+    closing = "<p>All of us at the river market wish you a pleasant winter evening.</p>\n"
+    rows = [(f"http://a.test/x/{w}", page(rng, f"<h1>{sentence(rng)}</h1>\n<p>{sentence(rng)} {sentence(rng)}</p>\n" + closing)) for w in WORDS]
+    rows += [("http://a.test/x/empty", page(rng, "<h1>{{ title }}</h1>\n<p>{{ body }}</p>\n" + closing))]
+    assert found(table_of(spark, rows), model) == {len(WORDS)}
 
 
 def test_whole_pages_repeated_over_addresses_are_templates(spark, model):
@@ -169,13 +201,15 @@ def test_whole_pages_repeated_over_addresses_are_templates(spark, model):
     rows += [(100 + i, u, page(rng, text)) for i, u in enumerate(("http://b.test/a/stone.html", "https://b.test/print/stone", "http://b.test/amp/stone/?from=r1", "http://c.test/Stone", None))]
     rows += [(200 + i, f"http://d.test/{w}", page(rng)) for i, w in enumerate(WORDS)]
     df = spark.createDataFrame(rows, "view_id bigint, url string, payload string")
-    assert {r["id"] for r in residue.unfit(df, "view_id", "payload", model, "url").collect()} == set(range(len(WORDS)))
+    assert found(df, model) == set(range(len(WORDS)))
     assert {r["id"] for r in residue.main_lines(df, "view_id", "payload", model, "url").select("id").distinct().collect()} == {r[0] for r in rows if r[0] >= 100}
 
 
 def test_address():
     urls = {"HTTP://a.test/x/River.html?from=r7": "river", "https://www.b.test/print/river/#top": "river", "http://a.test/": "a.test", "a.test": "a.test", " ": None, "": None, None: None}
     assert {u: residue.address(u) for u in urls} == urls
+    hosts = {"HTTPS://me@www.B.test:81/x?y": "b.test", "b.test": "b.test", " ": None, "": None, None: None}
+    assert {u: residue.site(u) for u in hosts} == hosts
 
 
 def test_training_pages_are_bounded_and_repeatable(spark):
