@@ -36,6 +36,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.same_payload(table(spark, d, "warc_response_bulk_input"))
 
 
+def p4_near(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of whose body four fifths or more lie in chunks of earlier pages."""
+    rows = chunks.chunk_rows(table(spark, d, "view_record"), "view_id", "payload", *chunks.NEAR_CHUNKS)
+    return chunks.near_duplicates(rows, chunks.first_holders(rows)).select(F.col("id").alias("view_id"), "first_id", F.round("coverage", 6).alias("coverage"))
+
+
 def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of each page's body lies in chunks of earlier pages."""
     rows = chunks.chunk_rows(table(spark, d, "view_record"), "view_id", "payload", 64, 256, 2048)
@@ -85,7 +91,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_near": p4_near, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts,
 }
 

@@ -1,6 +1,7 @@
 """Formatting copies, chunk deduplication and look-alikes: brute force and edge cases."""
 
 import random
+import shutil
 import unicodedata
 
 import numpy as np
@@ -149,6 +150,64 @@ def test_same_payload_is_carried_on(spark):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "row_id bigint, file_path string, payload_byte_offset bigint, payload_byte_length bigint, payload_digest string, chunk string, label string")
     assert {tuple(r) for r in chunks.same_payload(df).collect()} == {(1, 2), (1, 4), (1, 5), (3, 9), (10, 11)}
     assert chunks.same_payload(df.limit(0)).collect() == []
+    split = df.withColumn("batch_id", F.when(F.col("row_id") > 3, F.col("row_id") % 3 + 1))  # nulls, and ids that do not rise with the batch
+    assert {tuple(r) for r in chunks.same_payload(split).collect()} == {(1, 2), (1, 4), (1, 5), (3, 9), (10, 11)}
+
+
+def test_batches_match_brute_force_and_leave_history_alone(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, f"/f{rng.randrange(9)}", rng.randrange(4), 5, f"sha1:{rng.randrange(60):040x}", i // 25) for i in range(100)]
+    above = list(range(100))
+    for i, (_, f, o, _, d, _) in enumerate(rows):
+        for j in range(i):
+            if rows[j][4] == d or (rows[j][1], rows[j][2]) == (f, o):
+                a, b = above[i], above[j]
+                above = [min(a, b) if x in (a, b) else x for x in above]
+    columns = "row_id bigint, file_path string, payload_byte_offset bigint, payload_byte_length bigint, payload_digest string, batch_id int"
+    df = spark.createDataFrame(rows, columns)
+    want = {(k, i) for i, k in enumerate(above) if k < i}
+    assert {tuple(r) for r in chunks.same_payload(df).collect()} == want
+    store, links = chunks.ChunkStore(spark, str(tmp_path / "s")), []
+    for n in range(4):
+        folder = str(tmp_path / f"in{n}")
+        df.where(f"batch_id = {n}").drop("batch_id").write.parquet(folder)
+        for _ in range(1 + n % 2):  # a batch taken twice changes nothing
+            links = [*links, *chunks.take_batch(spark.read.parquet(folder), store, f"{n}").collect()]
+        shutil.rmtree(folder)  # nothing of an accepted batch is read again but the table
+        shutil.rmtree(f"{store.path}/staged/batch={n}")
+    assert {(r["low"], r["high"]) for r in chunks.resolved(spark.createDataFrame(links, chunks.LINKS)).collect()} == want
+    assert store.holders().groupBy("chunk", "key").count().where("count > 1").count() == 0
+
+
+def test_long_chains_are_resolved(spark):
+    order = list(range(60))
+    random.Random(2).shuffle(order)
+    links = spark.createDataFrame([(max(a, b), min(a, b)) for a, b in zip(order, order[1:])] + [(99, 98)], chunks.LINKS)
+    assert {tuple(r) for r in chunks.resolved(links).collect()} == {(i, 0) for i in range(1, 60)} | {(99, 98)}
+    assert chunks.resolved(links.limit(0)).collect() == []
+
+
+def test_near_duplicates_recall_against_shingles(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "stone river paper lantern orchard bridge".split() for b in "ing er ly s ed y".split()]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(500, 1500))]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            near = list(base)
+            for _ in range(rng.randrange(1, 3)):
+                at = rng.randrange(len(near))
+                near[at : at + rng.randrange(2)] = [rng.choice(words)]
+            texts.append(" ".join(near))
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+    want = {i for i in range(len(texts)) if any(near(i, j) for j in range(i))}
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    rows = chunks.chunk_rows(df, "i", "t", *chunks.NEAR_CHUNKS)
+    got = {r["id"]: r["first_id"] for r in chunks.near_duplicates(rows, chunks.first_holders(rows)).collect()}
+    assert len(want) > 100 and len(want & set(got)) >= 0.9 * len(want) and set(got) <= want
+    assert all(near(i, j) for i, j in got.items())
 
 
 # -- problem 10 -------------------------------------------------------------------------
