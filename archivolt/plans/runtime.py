@@ -46,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised ``df`` if its rows, counted, are within ``limit`` at 16 bytes a
+    field; for narrow results of fixed-width fields whose size Catalyst cannot know."""
+    return F.broadcast(df) if 16 * len(df.columns) * df.count() <= limit else df
+
+
 def micros(column) -> F.Column:
     """Microseconds since the epoch of a timestamp column (zoned, or naive and taken as UTC)."""
     return F.unix_micros(column.cast("timestamp"))
