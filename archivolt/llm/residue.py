@@ -19,7 +19,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm import boilerplate, crf
 from archivolt.llm.pages import Block
-from archivolt.plans.runtime import cut, spread
+from archivolt.plans.runtime import bounded, cut, spread
 
 #: Different main texts (for a value), or addresses of a site (for a whole main text or a constant), from which on
 #: something is repeated.
@@ -48,7 +49,7 @@ VARIABLE = re.compile(
     r"|\[object Object\]|\bInvalid Date\b|\bundefined\b|\bNaN\b|^null$|_{3,}|(?:\.{4,}|…{2,})\s*$",
     re.IGNORECASE,
 )
-_MAY_HOLD_VARIABLE = re.compile(r"[{}%<\[#$@_«]|\.{4}|…|undefined|invalid|nan\b|null", re.IGNORECASE)
+_MAY_HOLD_VARIABLE = re.compile(r"[{}%<\[#$@_«…]|\.{4}|[Uu]ndefined|UNDEFINED|[Nn][Aa][Nn]\b|[Nn]ull$|NULL$|[Ii]nvalid|INVALID")
 _CASE_BOUND = re.compile(r"%\w+%|\[(?!insert |object)[\w ]+\]|\w+_placeholder|__[^\W_]\w*__", re.IGNORECASE)
 _UPPER_ONLY = re.compile(r"%[A-Z][A-Z_]*%|\[[A-Z][A-Z_ ]+\]|\b[A-Z]+_PLACEHOLDER\b|__[A-Z]\w*__")
 #: Stems of the usual dummy Latin, and what is typed to fill a field.
@@ -60,20 +61,23 @@ _DUMMY = frozenset("bla blah foo bar baz qux qwer qwerty asdf test xxx xxxx xxxx
 LATIN_PART = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_NUMBERED = re.compile(r"\w*\d\w*")
+_NUMBERED = re.compile(r"\b[^\W\d]*+\d\w*")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+def masked(text: str) -> str:
+    """``text`` with every word that holds a digit made one and the same."""
+    return _NUMBERED.sub("0", text)
+
+
 def residue_kind(text: str) -> str | None:
     """``placeholder`` (variables and blanks), ``filler`` (dummy text, one thing over and over) or None: what a stretch
     shows by its form alone."""
-    return _residue_kind(text) if len(text) <= boilerplate.REMEMBERED_CHARS else _residue_kind.__wrapped__(text)
+    return _form(text, _WORD.findall(text))
 
 
-@lru_cache(maxsize=boilerplate.REMEMBERED)
-def _residue_kind(text: str) -> str | None:
+def _form(text: str, words: list[str]) -> str | None:
     text = (html.unescape(text) if "&" in text else text).strip().lstrip("-*• ").strip()
-    words = _WORD.findall(text)
     if _MAY_HOLD_VARIABLE.search(text):
         holes = [m[0] for m in VARIABLE.finditer(text) if not _CASE_BOUND.fullmatch(m[0]) or _UPPER_ONLY.fullmatch(m[0])]
         if holes and (len(_WORD.findall(VARIABLE.sub(" ", text))) <= max(4, len(holes) * LABEL_WORDS) or sum(map(len, holes)) * 2 >= len(text)):
@@ -85,15 +89,37 @@ def _residue_kind(text: str) -> str | None:
     latin = sum(map(LATIN.__contains__, lower))
     if latin and (latin >= LATIN_PART * len(lower) if len(lower) >= 4 else latin == len(lower) and any(len(w) > 4 for w in lower)):
         return "filler"
-    if len(lower) >= 3 and (len(set(lower)) == 1 or _DUMMY.issuperset(lower)):
+    if len(lower) >= 3 and (lower[0] == lower[1] and len(set(lower)) == 1 or lower[0] in _DUMMY and _DUMMY.issuperset(lower)):
         return "filler"
+    if text.find(text[:3], 3) < 0:
+        return None  # nothing comes again
     sentences = _SENTENCE.split(text)
     return "filler" if len(sentences) > 1 and len(set(sentences)) == 1 else None
 
 
-def masked(text: str) -> str:
-    """``text`` with every word that holds a digit made one and the same."""
-    return _NUMBERED.sub("0", text)
+class Value(NamedTuple):
+    """A slot's value: its block, its masked text, the words in it, whether it is a heading, and residue by form."""
+
+    block: Block
+    text: str
+    words: int
+    heading: bool
+    residue: bool
+
+
+#: Values remembered by text: their masked text, words, and whether they are residue by form.
+_FORMS = boilerplate.Memory()
+
+
+def _value(b: Block, heading: bool) -> Value:
+    told = _FORMS.get(b.text)
+    if told is None:
+        text = masked(b.text)
+        words = _WORD.findall(text)
+        told = text, len(words), _form(b.text, words) is not None
+        if len(text) <= boilerplate.REMEMBERED_CHARS:
+            _FORMS.keep(b.text, told)
+    return Value(b, told[0], told[1], heading, told[2])
 
 
 def _is_heading(b: Block, first: bool, title: str) -> bool:
@@ -101,17 +127,17 @@ def _is_heading(b: Block, first: bool, title: str) -> bool:
     return b.tag in _HEADINGS or first and b.tag == "line" or title.startswith(b.text) and not re.match(r"\s*[\w,;]", title[len(b.text) :])
 
 
-def slot_values(own: list[Block], rest: list[Block], title: str) -> tuple[str, list[tuple[Block, bool, bool]]]:
-    """A page's verdict so far, and its slots' values as (block, is a heading, is residue by form).
+def slot_values(own: list[Block], rest: list[Block], title: str) -> tuple[str, list[Value]]:
+    """A page's verdict so far and the values of its slots.
 
     ``hidden``: nothing is shown but what stands in ``noscript``, a demand for scripts by place. ``empty``: no main
     block; the values are those of all its blocks outside ``noscript``. ``open``: to be judged by its values. Code
     quotes anything and is left out.
     """
     if own:
-        return "open", [(b, _is_heading(b, i == 0, title), residue_kind(b.text) is not None) for i, b in enumerate(own) if b.tag not in ("pre", "code")]
+        return "open", [_value(b, _is_heading(b, i == 0, title)) for i, b in enumerate(own) if b.tag not in ("pre", "code")]
     shown = [b for b in rest if b.tag != "noscript" and "noscript" not in b.path]
-    return ("hidden" if rest and not shown else "empty"), [(b, False, residue_kind(b.text) is not None) for b in shown]
+    return ("hidden" if rest and not shown else "empty"), [_value(b, False) for b in shown]
 
 
 def address(url: str | None) -> str | None:
@@ -127,13 +153,16 @@ def site(url: str | None) -> str | None:
     return host.removeprefix("www.") or None
 
 
-SLOTS = "array<struct<position: bigint, value: bigint, words: int, heading: boolean, residue: boolean>>"
+SLOTS = "array<struct<value: bigint, constant: bigint, words: int, heading: boolean, residue: boolean>>"
+PAGE = "page bigint, site bigint, main bigint, text_words int, all_words int, residue boolean"
 
 
 def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_col: str | None = None) -> DataFrame:
     """One narrow pass: ``id``, ``lines`` (of the page's own text), ``verdict`` and ``slots`` (see :func:`slot_values`;
-    positions and values as 64-bit hashes), and hashes of the ``page`` (its address, or the whole payload), its
-    ``site`` (0 if unknown) and its ``main`` text (masked; null without any main block).
+    each ``value`` as a 64-bit hash, and as ``constant`` one of site, position and value), the hashes of the ``page``
+    (its address, or the whole payload), its ``site`` (0 if unknown) and its ``main`` text (masked; null without any
+    main block), the words outside headings and residue (null if there are only headings) and outside residue, and
+    whether there is ``residue`` by form.
     Null, blank, style, script and data payloads have no lines and no slots."""
     import xxhash
 
@@ -142,98 +171,113 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_
     def hashed(text: str) -> int:
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    slot = pa.struct([("position", pa.int64()), ("value", pa.int64()), ("words", pa.int32()), ("heading", pa.bool_()), ("residue", pa.bool_())])
+    slot = pa.struct([("value", pa.int64()), ("constant", pa.int64()), ("words", pa.int32()), ("heading", pa.bool_()), ("residue", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = boilerplate.Reader(weights)
-        position = cache(lambda path: hashed("/".join(path)))
+        position = cache("/".join)
         for batch in batches:
-            lines, verdicts, ends, flat, places, sites, mains = [], [], [0], [], [], [], []
+            lines, verdicts, ends, flat, pages = [], [], [0], [], []
             for payload, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own, rest, title = boilerplate.read_page(payload, reader)
                 verdict, values = slot_values(own, rest, title)
-                whole = []
-                for b, heading, residue in values:
-                    text = masked(b.text)
-                    whole.append(text)
-                    flat.append((position(b.path), hashed(text), len(_WORD.findall(text)), heading, residue))
+                host = site(url)
+                slots = {(v.text, v.block.path): v for v in values}
+                for v in slots.values():
+                    flat.append((hashed(v.text), hashed(f"{host}\n{position(v.block.path)}\n{v.text}") if host else 0, v.words, v.heading, v.residue))
                 ends.append(len(flat))
                 lines.append(sorted({n for b in own for n in b.lines}))
                 verdicts.append(verdict)
-                mains.append(hashed("\n".join(whole)) if own and whole else None)
-                places.append(hashed(place if (place := address(url)) else payload))
-                sites.append(hashed(host) if (host := site(url)) else 0)
-            columns = zip(*flat, strict=True) if flat else [[]] * 5
-            slots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, slot, strict=True)], fields=list(slot)))
+                place = address(url)
+                pages.append((
+                    hashed(payload if place is None else place), hashed(host) if host else 0, hashed("\n".join([v.text for v in values])) if own and values else None,
+                    sum([v.words for v in slots.values() if not v.heading and not v.residue]) if any([not v.heading for v in values]) else None,
+                    sum([v.words for v in slots.values() if not v.residue]), any([v.residue for v in values]),
+                ))
+            struct = pa.StructArray.from_arrays([pa.array([r[k] for r in flat], f.type) for k, f in enumerate(slot)], fields=list(slot))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), slots, *(pa.array(x, pa.int64()) for x in (places, sites, mains))],
-                names=["id", "lines", "verdict", "slots", "page", "site", "main"],
+                [batch.column(0), pa.array(lines, pa.list_(pa.int32())), pa.array(verdicts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct), *(pa.array([p[k] for p in pages], t) for k, t in enumerate(types))],
+                names=["id", "lines", "verdict", "slots", "page", "site", "main", "text_words", "all_words", "residue"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     url = F.col(url_col) if url_col else F.lit(None)
     given = df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload"), url.cast("string").alias("url")).where(F.col("payload").isNotNull())
-    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, slots {SLOTS}, page bigint, site bigint, main bigint")
-
-
-def constants(pages: DataFrame, shared: int = SHARED, part: float = CONSTANT_PART) -> DataFrame:
-    """``site``, ``position``, ``value`` of what stands at one position of most addresses of a site: the template's
-    own text. ``pages``: site, page, position, value."""
-    known = pages.where("site <> 0")
-    addresses = known.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("addresses")).where(F.col("addresses") >= shared)
-    held = known.select("site", "position", "value", "page").distinct().groupBy("site", "position", "value").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared)
-    return held.join(addresses, "site").where(F.col("pages") >= part * F.col("addresses")).select("site", "position", "value", F.lit(True).alias("constant"))
-
-
-def align(analysed: DataFrame, shared: int = SHARED) -> DataFrame:
-    """The values of all main texts, one row for each (``main``, ``site``, ``position``, ``value``) with ``words``,
-    ``heading``, ``residue``, whether it is ``constant``, and whether it is ``repeated``, on ``shared`` different main
-    texts or more. Captures and equal texts of a site fall together map-side."""
-    pages = analysed.where("main is not null").select("main", "site", "page", F.explode("slots").alias("s")).select("main", "site", "page", "s.*")
-    units = pages.groupBy("main", "site", "position", "value").agg(F.max("words").alias("words"), F.max("heading").alias("heading"), F.max("residue").alias("residue"))
-    repeated = units.select("value", "main").distinct().groupBy("value").agg(F.count("*").alias("mains")).where(F.col("mains") >= shared)
-    marked = units.join(repeated.select("value", F.lit(True).alias("repeated")), "value", "left").join(constants(pages, shared), ["site", "position", "value"], "left")
-    return marked.fillna(False, ["repeated", "constant"])
-
-
-def _content(covered: F.Column) -> F.Column:
-    """Words of a page outside what is ``covered`` and constants; of its headings only if it has nothing else."""
-    own = lambda wanted: F.sum(F.when(wanted & ~F.col("constant") & ~covered, F.col("words")).otherwise(0))
-    return F.when(F.max(~F.col("heading")), own(~F.col("heading"))).otherwise(own(F.lit(True)))
-
-
-def defaults(aligned: DataFrame, shared: int = SHARED, own_words: int = OWN_WORDS, part: float = BARE_PART) -> DataFrame:
-    """``value`` of what recurs where nothing of its own stands: of the main texts with it (those of each site count
-    once), ``shared`` or more, at least ``part`` have fewer than ``own_words`` words in rare values; or of what is a
-    whole main text by itself, without a heading, on ``shared`` sites or more."""
-    whole = aligned.groupBy("main", "site").agg(F.count_distinct("value").alias("values"), F.min("value").alias("value"), F.max("heading").alias("headed"))
-    alone = whole.where("values = 1 and not headed and site <> 0").groupBy("value").agg(F.count("*").alias("sites")).where(F.col("sites") >= shared).select("value", F.lit(True).alias("alone"))
-    known = aligned.join(alone, "value", "left").fillna(False, ["alone"])
-    bare = known.groupBy("main", "site").agg((_content(F.col("repeated") | F.col("residue") | F.col("alone")) < own_words).alias("bare"))
-    met = known.where("repeated or alone").select("value", "alone", "main", "site").distinct().join(bare, ["main", "site"])
+    return spread(given).mapInArrow(run, f"id {kind}, lines array<int>, verdict string, slots {SLOTS}, {PAGE}")
+
+
+def recurring(analysed: DataFrame, shared: int = SHARED) -> DataFrame:
+    """The slot values that can be part of a template, as ``value`` and ``alone``: those on two different main texts or
+    more, and those that are a whole main text ``alone``, without a heading, on ``shared`` sites or more. All others,
+    by far the most, are content and go no further."""
+    rows = analysed.where("main is not null").select("main", "site", F.size("slots").alias("n"), F.explode("slots").alias("s")).select("main", "site", "n", "s.value", "s.heading")
+    met = rows.groupBy("value").agg(F.min("main").alias("one"), F.max("main").alias("other"), F.min(F.when(F.col("n") == 1, F.col("site"))).alias("a"), F.max(F.when(F.col("n") == 1, F.col("site"))).alias("z"))
+    several = met.where("one <> other or a <> z").select("value")
+    sites = rows.where("n = 1 and not heading and site <> 0").select("value", "site").distinct().groupBy("value").agg(F.count("*").alias("sites")).where(F.col("sites") >= shared)
+    return several.join(sites.select("value", F.lit(True).alias("alone")), "value", "left").fillna(False, ["alone"])
+
+
+def align(analysed: DataFrame, shared: int = SHARED, part: float = CONSTANT_PART) -> DataFrame:
+    """The recurring values of all main texts, one row for each (``unit``, ``value``, ``constant``), a unit being a main
+    text on a site: ``words``, ``heading`` and ``residue``, whether the value is ``alone``, whether it is ``repeated``,
+    on ``shared`` different main texts or more, and whether it is ``fixed``, the template's own text: on ``shared``
+    addresses of its site or more and on the part ``part`` of them, at one position. Captures, and equal texts of a
+    site, fall together map-side."""
+    pages = analysed.where("main is not null")
+    values = bounded(cut(recurring(analysed, shared)))
+    rows = pages.select("main", "site", "page", F.explode("slots").alias("s")).select("main", "site", "page", "s.*").join(values, "value")
+    rows = cut(rows.groupBy("main", "site", "page", "value", "constant").agg(F.max("words").alias("words"), F.max("heading").alias("heading"), F.max("residue").alias("residue"), F.max("alone").alias("alone")))
+    units = rows.groupBy(F.xxhash64("main", "site").alias("unit"), "value", "constant").agg(F.max("words").alias("words"), F.max("heading").alias("heading"), F.max("residue").alias("residue"), F.max("alone").alias("alone"))
+    repeated = rows.select("value", "main").distinct().groupBy("value").agg(F.count("*").alias("mains")).where(F.col("mains") >= shared).select("value", F.lit(True).alias("repeated"))
+    held = rows.where("site <> 0").select("constant", "site", "page").distinct().groupBy("constant", "site").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared)
+    addresses = pages.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("addresses"))
+    fixed = held.join(addresses, "site").where(F.col("pages") >= part * F.col("addresses")).select("constant", F.lit(True).alias("fixed"))
+    return units.join(repeated, "value", "left").join(fixed, "constant", "left").fillna(False, ["repeated", "fixed"])
+
+
+def texts(analysed: DataFrame) -> DataFrame:
+    """One row a unit: ``unit`` with its word counts and ``residue``."""
+    pages = analysed.where("main is not null").groupBy(F.xxhash64("main", "site").alias("unit"))
+    return pages.agg(F.max("text_words").alias("text_words"), F.max("all_words").alias("all_words"), F.max("residue").alias("residue"))
+
+
+def _content(units: DataFrame, aligned: DataFrame, covered: F.Column) -> DataFrame:
+    """Each unit with ``own``, its words outside what is ``covered`` (and outside headings, if it has anything else),
+    and ``hit``, whether it has residue or anything covered that is not merely fixed."""
+    words = F.when(covered | F.col("fixed"), F.col("words")).otherwise(0)
+    taken = aligned.where("not residue").groupBy("unit").agg(F.sum(F.when(~F.col("heading"), words).otherwise(0)).alias("text"), F.sum(words).alias("all"), F.max(covered).alias("hit"))
+    own = F.coalesce(F.col("text_words") - F.coalesce("text", F.lit(0)), F.col("all_words") - F.coalesce("all", F.lit(0)))
+    return units.join(taken, "unit", "left").select("unit", own.alias("own"), (F.col("residue") | F.coalesce("hit", F.lit(False))).alias("hit"))
+
+
+def defaults(units: DataFrame, aligned: DataFrame, shared: int = SHARED, own_words: int = OWN_WORDS, part: float = BARE_PART) -> DataFrame:
+    """``value`` of what recurs where nothing of its own stands: of the units with it, ``shared`` or more, at least
+    ``part`` have fewer than ``own_words`` words in values that are not repeated; and of what is a text alone."""
+    bare = _content(units, aligned, F.col("repeated") | F.col("alone")).select("unit", (F.col("own") < own_words).alias("bare"))
+    met = aligned.where("repeated or alone").select("value", "alone", "unit").distinct().join(bare, "unit")
     counted = met.groupBy("value").agg(F.max("alone").alias("alone"), F.count("*").alias("texts"), F.count_if("bare").alias("bare"))
     return counted.where(F.col("alone") | (F.col("texts") >= shared) & (F.col("bare") >= part * F.col("texts"))).select("value", F.lit(True).alias("default"))
 
 
 def whole_page_templates(analysed: DataFrame, shared: int = SHARED) -> DataFrame:
-    """``main``, ``site`` of main texts that stand whole at ``shared`` addresses of one site or more."""
-    texts = analysed.where("main is not null and site <> 0").select("main", "site", "page").distinct()
-    return texts.groupBy("main", "site").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared).select("main", "site")
+    """``unit`` of main texts that stand whole at ``shared`` addresses of one site or more."""
+    known = analysed.where("main is not null and site <> 0").select(F.xxhash64("main", "site").alias("unit"), "page").distinct()
+    return known.groupBy("unit").agg(F.count("*").alias("pages")).where(F.col("pages") >= shared).select("unit")
 
 
 def unfit_pages(analysed: DataFrame, shared: int = SHARED, own_words: int = OWN_WORDS, part: float = BARE_PART) -> DataFrame:
     """``id`` of the pages without content of their own. ``analysed`` must be materialised.
 
-    All counts cover all pages; they combine map-side, and one row per (main text, site) goes on from there, so a
+    All counts cover all pages; they combine map-side, only recurring values go on, and of them one row per unit, so a
     text or value on a third of all pages is no larger than its different neighbours are many.
     """
-    aligned = cut(align(analysed, shared))
-    default = cut(defaults(aligned, shared, own_words, part))
+    units, aligned = texts(analysed), cut(align(analysed, shared))
+    default = bounded(cut(defaults(units, aligned, shared, own_words, part)))
     told = aligned.join(default, "value", "left").fillna(False, ["default"])
-    covered = F.col("residue") | F.col("default")
-    judged = told.groupBy("main", "site").agg(_content(covered).alias("own"), F.max(covered).alias("hit"))
-    texts = judged.where((F.col("own") < own_words) & F.col("hit")).select("main", "site").unionByName(whole_page_templates(analysed, shared)).distinct()
-    with_main = analysed.where("main is not null").join(texts, ["main", "site"], "left_semi").select("id")
+    judged = _content(units, told, F.col("default")).where((F.col("own") < own_words) & F.col("hit")).select("unit")
+    found = judged.unionByName(whole_page_templates(analysed, shared)).distinct()
+    with_main = analysed.where("main is not null").select("id", F.xxhash64("main", "site").alias("unit")).join(found, "unit", "left_semi").select("id")
     empty = analysed.where("verdict = 'empty'").select("id", F.explode("slots").alias("s")).select("id", "s.value", "s.residue").join(default, "value", "left")
     return with_main.unionByName(analysed.where("verdict = 'hidden'").select("id")).unionByName(empty.where("residue or default").select("id")).distinct()
 
