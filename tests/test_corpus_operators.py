@@ -24,11 +24,11 @@ CHILD = "ref_table string, ref_id bigint, parent_table string, target_id bigint,
 PARENT = "parent_table string, target_id bigint, at timestamp, written string"
 
 
-def run_orphans(spark, children, parents, removals):
+def run_orphans(spark, children, parents, removals, partitions=None):
     c = spark.createDataFrame([(t, i, p, k, at(n), "x", "y", "z") for t, i, p, k, n in children], CHILD)
     p = spark.createDataFrame([(t, k, at(n), "x") for t, k, n in parents], PARENT)
     r = spark.createDataFrame([(t, k, at(n), "x") for t, k, n in removals], PARENT)
-    out = orphans.orphan_references(c, p, r)
+    out = orphans.orphan_references(c, p, r, partitions)
     return {tuple(x) for x in orphans.distinct_cases(out).collect()}, out
 
 
@@ -57,6 +57,18 @@ def test_orphans_match_brute_force(spark):
     assert sum(r["orphan_references"] for r in months) == out.select("ref_table", "parent_table", "ref_id", "target_id", F.date_format("at", "yyyy-MM").alias("m")).distinct().count()
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 23])
+def test_a_hot_key_is_split_and_stitched(spark, partitions):
+    rng = random.Random(partitions)
+    hot = [("u", i, "a", 1, rng.randrange(60)) for i in range(400)] + [("v", i, "a", 1, 30) for i in range(100)]
+    children = hot + [("u", 1000 + i, "a", rng.randrange(2, 9), rng.randrange(60)) for i in range(60)] + [("u", 2000 + i, "b", 1, rng.randrange(60)) for i in range(60)] + [("u", 3000, "a", 1, None)]
+    parents = [("a", 1, 3), ("a", 1, 30), ("a", 2, 5), ("b", 1, 59)] * 30
+    removals = [("a", 1, 20), ("a", 1, 45)] * 9
+    got, out = run_orphans(spark, children, parents, removals, partitions)
+    assert got == brute_orphans(children, parents, removals)
+    assert run_orphans(spark, hot, [], removals, partitions)[0] == {(t, i, 1) for t, i, *_ in hot}
+
+
 def test_orphans_of_empty_tables(spark):
     child = [("u", 1, "a", 7, 3)]
     assert run_orphans(spark, [], [("a", 7, 1)], [])[0] == set()
