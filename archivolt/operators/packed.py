@@ -1,12 +1,14 @@
 """Several values packed in one field (problem 5): dictionary-guided segmentation.
 
-An Aho-Corasick automaton finds every known whole value in the field; unprotected delimiters give the possible cuts;
-dynamic programming over the cuts picks the cheapest cover, in which a known value may span delimiters of its own and
-a quoted stretch is never cut. Everything happens in one narrow ``mapInArrow`` pass, one row in, its values out.
+The dictionary is the column's own: whole values with delimiters that recur in quotes. An Aho-Corasick automaton finds
+every known whole value in the field; unprotected delimiters give the possible cuts; dynamic programming over the cuts
+picks the cheapest cover, in which a known value may span delimiters of its own and a quoted stretch is never cut. The
+split is one narrow ``mapInArrow`` pass, one row in, its values out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,14 +18,9 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 DELIMITERS = ";,|\t\r\n"
 
-#: Common registered media types, the dictionary used where the caller gives none.
-KNOWN_VALUES = (
-    "text/html", "text/plain", "text/css", "text/csv", "text/xml", "application/xhtml+xml", "application/javascript",
-    "application/json", "application/xml", "application/octet-stream", "application/pdf", "application/zip",
-    "application/warc", "application/atom+xml", "application/ld+json", "image/png", "image/jpeg", "image/gif",
-    "image/webp", "image/svg+xml", "font/woff2", "audio/ogg", "video/webm", "multipart/mixed", "multipart/related",
-    "message/http",
-)
+#: A value with delimiters belongs to the dictionary if it is met, quoted, in this part of the rows and in two at
+#: least. The share bounds the dictionary: there are at most (values a row) / share of them, whatever the table's size.
+DICTIONARY_SHARE, DICTIONARY_ROWS = 1e-4, 2
 
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -118,15 +115,38 @@ def segment(text: str, automaton=None, delimiters: str = DELIMITERS) -> list[str
     return out
 
 
-def split_packed(df: DataFrame, id_col: str, packed_col: str, known: Iterable[str] = KNOWN_VALUES, delimiters: str = DELIMITERS) -> DataFrame:
-    """One row per value: the id column, ``pos`` from 1, ``val``.
+def learn_dictionary(df: DataFrame, packed_col: str, share: float = DICTIONARY_SHARE, rows: int = DICTIONARY_ROWS, delimiters: str = DELIMITERS) -> list[str]:
+    """The column's own whole values that hold delimiters: where one is quoted, its delimiters are known to be its own,
+    and if it recurs (see :data:`DICTIONARY_SHARE`) it is one value where the quotes are missing, too.
+
+    Every row counts. Only rows with a delimiter between quotes are looked at in Python; values are counted map-side.
+    Letter case (ASCII) does not tell values apart. Null, empty and blank fields teach nothing.
+    """
+    marks = delimiters
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for text in batch.column(0).to_pylist():
+                values += {v.translate(_ASCII_LOWER) for v in segment(text, None, marks) if any(c in marks for c in v)}
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["v"])
+
+    inside = "[" + "".join(re.escape(c) for c in delimiters) + "]"
+    quoted = df.select(F.col(packed_col).alias("t")).where(F.col("t").rlike(f'"[^"]*{inside}'))
+    counted = quoted.mapInArrow(run, "v string").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= rows)
+    total = df.agg(F.count(packed_col)).first()[0]
+    return [r["v"] for r in counted.where(F.col("n") >= share * total).select("v").orderBy("v").collect()]
+
+
+def split_packed(df: DataFrame, id_col: str, packed_col: str, known: Iterable[str] | None = None, delimiters: str = DELIMITERS) -> DataFrame:
+    """One row per value: the id column, ``pos`` from 1, ``val``. ``known`` is by default learnt from the column.
 
     Null, empty and blank fields, and fields of delimiters only, have no values. Empty pieces take no place. Quoted
     delimiters do not split; quotes are dropped and their escapes undone; a quote without a partner is kept as it is.
     Known values match in any ASCII letter case and may contain delimiters. Repeated rows give repeated values; a null
     id is carried through. Only the two named columns are read, so other columns may have any name.
     """
-    words, marks = tuple(known), delimiters
+    words, marks = tuple(learn_dictionary(df, packed_col, delimiters=delimiters) if known is None else known), delimiters
     id_type = df.schema[id_col].dataType
     out = StructType([StructField(id_col, id_type), StructField("pos", IntegerType()), StructField("val", StringType())])
 

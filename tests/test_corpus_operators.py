@@ -98,7 +98,7 @@ def test_archive_references_skip_nulls(spark):
     ],
 )
 def test_segmentation(text, values):
-    assert packed.segment(text, packed.build_automaton(packed.KNOWN_VALUES)) == values
+    assert packed.segment(text, packed.build_automaton(["text/html", "a/b"])) == values
 
 
 def test_known_values_protect_their_delimiters():
@@ -113,7 +113,18 @@ def test_known_values_protect_their_delimiters():
 def test_packing_round_trip(values, separators, quoted):
     written = [f'"{v}"' if q else v for v, q in zip(values, quoted, strict=False)]
     text = "".join(w + s for w, s in zip(written, separators, strict=False))
-    assert packed.segment(text, packed.build_automaton(packed.KNOWN_VALUES)) == values
+    assert packed.segment(text, packed.build_automaton(["text/html", "a/b"])) == values
+
+
+def test_the_columns_own_dictionary_decides_the_cut(spark):
+    rows = [(1, 'text/html; title="notes, part 1; final"'), (2, 'title="Notes, Part 1; Final"|q=1'), (3, "text/css; title=notes, part 1; final; q=2"), (4, 'title="once, only"'), (5, "title=once, only"), (6, "a title=notes, part 1"), (7, None)]
+    df = spark.createDataFrame(rows, "id bigint, packed string")
+    assert packed.learn_dictionary(df, "packed") == ["title=notes, part 1; final"]
+    cut = lambda known: {r["id"]: r["v"] for r in packed.split_packed(df, "id", "packed", known).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "val")))["val"].alias("v")).collect()}
+    learnt, plain = cut(None), cut([])
+    assert learnt[3] == ["text/css", "title=notes, part 1; final", "q=2"] and plain[3] == ["text/css", "title=notes", "part 1", "final", "q=2"]
+    assert {i for i in learnt if learnt[i] != plain[i]} == {3}
+    assert packed.learn_dictionary(df.limit(0), "packed") == []
 
 
 def test_split_packed_edges(spark):
