@@ -94,20 +94,30 @@ _ROOT.path, _ROOT.chain = (), ()
 def _html_blocks(payload: str) -> list[Block]:
     out: list[Block] = []
     stack: list[_Open] = []
-    number = line = 0
+    number = line = counted = 0  # ``line``: of the place up to which line ends are counted
     parts: list[str] = []
     lines: list[int] = []
     linked = buttons = bold = links = 0
-    inline: dict[str, int] = {}
+    in_link = in_button = in_bold = 0
+    text_group, stray_group, shut_group, name_group = (_TOKEN.groupindex[g] for g in ("text", "stray", "shut", "name"))
+
+    def flush() -> None:
+        raw = "".join(parts)
+        if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
+            place = stack[-1] if stack else _ROOT
+            out.append(Block(text, lines, place.own, place.path, linked, buttons, bold, links, place.chain))
+
     for m in _TOKEN.finditer(payload):
-        kind = m.lastgroup
-        if kind == "text" or kind == "stray":
+        kind = m.lastindex
+        if kind == text_group or kind == stray_group:
             token = m[0]
             if token.isspace():
-                line += token.count("\n")
                 if parts:
                     parts.append(" ")
                 continue
+            start = m.start()
+            line += payload.count("\n", counted, start)
+            counted = start
             if "\n" in token:
                 weight = 0
                 for k, piece in enumerate(token.split("\n")):
@@ -116,35 +126,39 @@ def _html_blocks(payload: str) -> list[Block]:
                         if not lines or lines[-1] != line:
                             lines.append(line)
                         weight += len(shown)
+                counted = m.end()
             else:
                 if not lines or lines[-1] != line:
                     lines.append(line)
                 weight = len(token.strip())
-            if inline:
-                linked += weight * (inline.get("a", 0) > 0)
-                buttons += weight * (inline.get("button", 0) > 0)
-                bold += weight * (inline.get("b", 0) + inline.get("strong", 0) > 0)
+            if in_link:
+                linked += weight
+            if in_button:
+                buttons += weight
+            if in_bold:
+                bold += weight
             parts.append(token)
             continue
-        line += payload.count("\n", m.start(), m.end())
-        if kind != "name":
+        if kind != name_group:
             continue  # comments, instructions, and elements whose content is not text
-        name, closing = m["name"].lower(), bool(m["shut"])
+        name, closing = m[name_group].lower(), m[shut_group]
         if name in INLINE:
-            if closing:
-                inline[name] = max(0, inline.get(name, 0) - 1)
-            elif name not in VOID:
-                inline[name] = inline.get(name, 0) + 1
-                links += name == "a"
-            parts.append(" " if name in ("button", "input", "img") else "")
+            step = -1 if closing else 1
+            if name == "a":
+                in_link = max(0, in_link + step)
+                links += not closing
+            elif name == "button":
+                in_button = max(0, in_button + step)
+            elif name == "b" or name == "strong":
+                in_bold = max(0, in_bold + step)
+            if name in ("button", "input", "img"):
+                parts.append(" ")
             continue
         if lines:
-            raw = "".join(parts)
-            if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
-                place = stack[-1] if stack else _ROOT
-                out.append(Block(text, lines, place.own, place.path, linked, buttons, bold, links, place.chain))
+            flush()
             lines = []
-        parts = []
+        if parts:
+            parts = []
         linked = buttons = bold = links = 0
         if name == "br":
             continue
@@ -154,8 +168,9 @@ def _html_blocks(payload: str) -> list[Block]:
                 at -= 1
             if at >= 0:
                 del stack[at:]
-            inline.clear()
-        elif name not in VOID:
+        elif name in VOID:
+            continue
+        else:
             if stack and stack[-1].tag == "p":
                 stack.pop()
             shut = CLOSES.get(name)
@@ -163,10 +178,7 @@ def _html_blocks(payload: str) -> list[Block]:
                 stack.pop()
             number += 1
             stack.append(_Open(name, stack[-1] if stack else None, number))
-            inline.clear()
+        in_link = in_button = in_bold = 0
     if lines:
-        raw = "".join(parts)
-        if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
-            place = stack[-1] if stack else _ROOT
-            out.append(Block(text, lines, place.own, place.path, linked, buttons, bold, links, place.chain))
+        flush()
     return out
