@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions import native as N
-from archivolt.functions import web
+from archivolt.functions import paths, web
 from archivolt.operators.archive import nearest
 from archivolt.plans.runtime import cut
 
@@ -67,13 +67,12 @@ def assigned_paths(entries: DataFrame) -> DataFrame:
     case are all told apart by archive and record, but a single 2xx capture keeps its name over redirects."""
     from pyspark.sql import Window
 
-    named = entries.withColumn("_path", web.zip_paths("url", "content_type"))
+    named = entries.withColumn("_path", paths.zip_path("url", "content_type"))
     peers = Window.partitionBy(F.lower("_path"))
     sound = F.col("status").between(200, 299)
     marked = named.withColumn("_n", F.count("*").over(peers)).withColumn("_sound", F.sum(sound.cast("int")).over(peers))
     keeps = (F.col("_n") == 1) | (sound & (F.col("_sound") == 1))
-    apart = web._strings(lambda p, a, u: web.with_record(p, a or "", u or ""))
-    return marked.select("id", F.when(keeps, F.col("_path")).otherwise(apart("_path", "archive", "uuid")).alias("path"))
+    return marked.select("id", F.when(keeps, F.col("_path")).otherwise(paths.with_record("_path", "archive", "uuid")).alias("path"))
 
 
 def manifest(entries: DataFrame, missing: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions import native as N
-from archivolt.functions import web
+from archivolt.functions import paths, web
 from archivolt.operators import archive as A
 from archivolt.operators import closure, export, ingest, progress, redirects, view
 from archivolt.operators.archive import Archive
@@ -579,7 +579,7 @@ def dependency_closure(s, d):
 
 def entry_paths(s, d):
     p = _pages(s, d).where("uri is not null")
-    return p.select("id", web.entry_paths("uri", "uuid").alias("path"))
+    return p.select("id", paths.entry_path("uri", "uuid").alias("path"))
 
 
 def path_assignment(s, d):

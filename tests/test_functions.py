@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.functions import codec, web
+from archivolt.functions import codec, paths, web
 from archivolt.functions import native as N
 
 
@@ -71,6 +71,7 @@ def test_content_encodings():
 
 def test_entities():
     assert web.decode_entities("a&amp;b&#38;c&#x26;d&lt;&quot;&apos;&nbsp;") == "a&b&c&d<\"' "
+    assert web.decode_entities("a&&&amp;;&#x;&#12x;&#;&") == "a&&&;&#x;&#12x;&#;&"
     assert web.decode_entities("&amp;lt; &bogus; &#xD800; &#1114112; &amp &#0;") == "&lt; &bogus; &#xD800; &#1114112; &amp &#0;"
 
 
@@ -117,20 +118,49 @@ def test_references():
     assert web.references("url(a) url('b')", "css", "https://site.test/c/d.css") == [("url", "https://site.test/c/a"), ("url", "https://site.test/c/b")]
 
 
-def test_paths_in_archives():
-    assert web.zip_path("https://Site.test/a/b", "text/html; x") == "site.test/a/b.html"
-    assert web.zip_path("https://site.test/", "text/css") == "site.test/index.css"
-    assert web.zip_path("https://site.test/a.htm?p=2", "text/html") == f"site.test/a__q{web.short_hash('p=2')}.htm"
-    assert web.zip_path("https://site.test/%2e%2e/%2e%2e/x/con", "") == "site.test/x/_con"
-    assert web.zip_path("not a url", "text/html").startswith("_unparsed/")
-    assert len(web.zip_path("https://site.test/" + "/".join(["s" * 90] * 4), "text/html")) < 180
-    assert web.short_hash("") == "811c9dc5" and web.short_hash("a") == "e40c292c"
-    assert web.entry_path("https://site.test/a/b.html?x=1", "id") == "site.test/a/b--x-1.id.html"
-    assert web.entry_path("https://site.test", "f::u/x::1") == "site.test/index.f-u-x-1.html"
+def evaluated(spark, rows, expression):
+    """The expression over columns a, b, c of ``rows``, in order."""
+    df = spark.createDataFrame([(i, *r, *[None] * (3 - len(r))) for i, r in enumerate(rows)], "i int, a string, b string, c string")
+    return [r["v"] for r in df.select("i", expression.alias("v")).orderBy("i").collect()]
+
+
+def test_paths_in_archives(spark):
+    long = "https://site.test/" + "/".join(["s" * 90] * 4)
+    given = {
+        ("https://Site.test/a/b", "text/html; x"): "site.test/a/b.html", ("https://site.test/", "text/css"): "site.test/index.css", ("https://site.test/a/", None): "site.test/a/index.html",
+        ("https://u@site.test:81/a.HTM", "text/html"): "site.test/a.HTM", ("https://site.test/%2e%2e/%2e%2e/x/con", ""): "site.test/x/_con", ("https://site.test/a+b%20c", ""): "site.test/a+b c",
+        ("https://site.test/100%", "TEXT/HTML"): "site.test/100%.html", ("not a url", "text/html"): "_unparsed/not a url", ("https://site.test/a:b. ", ""): "site.test/a_b", (None, "x"): None,
+    }
+    assert evaluated(spark, given, paths.zip_path("a", "b")) == list(given.values())
+    assert evaluated(spark, [("",), ("a",), ("é😀",)], paths.short_hash("a")) == ["811c9dc5", "e40c292c", fnv("é😀")]
+    asked, deep = evaluated(spark, [("https://site.test/a.htm?p=2", "text/html"), (long, "text/html")], paths.zip_path("a", "b"))
+    assert asked == f"site.test/a__q{fnv('p=2')}.htm" and len(deep) <= 180 and deep.startswith("site.test/_deep/")
+    assert all(len(x) == 96 and x.endswith(f"~{fnv('y' * 300 + '.png')}.png") for x in evaluated(spark, [("y" * 300 + ".png",)], paths.safe_segment("a")))
     assert web.relative_path("a/b/c.html", "a/d/e.css") == "../d/e.css" and web.relative_path("a/b.html", "a/b.html") == "b.html"
-    assert web.with_record("a/b.html", "x/y.warc", "u") == "a/b.y.u.html"
     assert 'content="0; url=../a%20b.html"' in web.redirect_stub("../a b.html")
 
 
+def fnv(text):
+    h, data = 0x811C9DC5, text.encode("utf-16-le")
+    for low, high in zip(data[::2], data[1::2], strict=True):
+        h = (h ^ (high << 8 | low)) * 0x01000193 % (1 << 32)
+    return f"{h:08x}"
+
+
+def test_entry_paths(spark):
+    given = {("https://site.test/a/b.html?x=1", "id"): "site.test/a/b--x-1.id.html", ("https://site.test", "f::u/x::1"): "site.test/index.f-u-x-1.html", ("https://Site.test:81/a/", "i"): "site.test-81/a.i.html", ("not a url at all", "i"): "unknown-host/index.i.html", (None, "i"): None}
+    assert evaluated(spark, given, paths.entry_path("a", "b")) == list(given.values())
+    hostile = ["../../../etc/passwd", "..%2f..%2fetc%2fpasswd", "a/../../b", "%2e%2e/%2e%2e/x", "a/./../b", "C:\\Windows\\system32", "a\0b", "/////", "x" * 500 + ".html"]
+    for path in evaluated(spark, [(f"https://example.test/{h}", "id") for h in hostile], paths.entry_path("a", "b")):
+        assert not set(path) & set("\\:\0") and not {"", ".", ".."} & set(path.split("/")) and len(path) < 200
+
+
+def test_paths_are_told_apart_by_record(spark):
+    rows = [("a/b.html", "x/y.WARC.gz", "<urn:uuid:1-2>"), ("b", "y.arc", None), ("a/b.html", None, "u/../v"), ("h/" + "d" * 60 + "/" + "s" * 90 + ".html", "z" * 40, "1" * 36), ("h/" + "d/" * 80 + "s.html", "y.warc", "1" * 36)]
+    got = evaluated(spark, rows, paths.with_record("a", "b", "c"))
+    assert got[:3] == ["a/b.x_y.1-2.html", "b.y.unknown", "a/b..u_.._v.html"] or got[:3] == ["a/b.x_y.1-2.html", "b.y.unknown", "a/b._.u_.._v.html"]
+    assert all(len(p) <= 180 for p in got) and got[3].startswith("h/ddd") and got[4].startswith("h/_deep/")
+
+
 def test_navigation_rewrite():
     assert web.rewrite_navigation("window.location = '/a'; location.href='/b'; location.replace('/c'); if (location == 1) {}") == "window.__archiveNavigate('/a'); window.__archiveNavigate('/b'); window.__archiveNavigate('/c'); if (location == 1) {}"
