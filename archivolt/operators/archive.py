@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import native as N
-from archivolt.plans.runtime import small, table
+from archivolt.plans.runtime import bounded, cut, small, table
 
 SEARCH_COLUMNS = ["response_id", "status", "last_modified", "archived_date", "warc_custom_id", "uri"]
 #: Counts stop here when a query is given.
@@ -21,12 +21,19 @@ def last_written(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.groupBy(key).agg(row.alias("row")).select("row.*")
 
 
+#: The fact tables, and what orders the versions of one id.
+VERSIONS = {"records": ("created_at", "warc_custom_id"), "responses": ("created_at", "record_id")}
+RECORD_COLUMNS = ("warc_file_id", "warc_custom_id", "record_type", "archived_date", "uri_id", "ip_id", "payload_id", "payload_digest")
+RESPONSE_COLUMNS = ("record_id", "status", "http_version", "content_type_id", "headers", "last_modified")
+
+
 @dataclass
 class Archive:
     """``records`` and ``responses`` hold one row per id, the one written last.
 
-    Tables as they were delivered repeat rows, so :meth:`read` has to aggregate them by id; over tables written by
-    :func:`compact` it need not (``unique=True``), and a lookup then reads only the row groups of its URI or time.
+    Tables as they were delivered repeat rows (``delivered``), so :meth:`rows` aggregates them by id, always over the
+    columns asked for only, and a lookup of one URI or record over the ids that some version of it has (:meth:`of`).
+    Tables written by :func:`compact` need neither (``unique=True``): the filter goes straight to their row groups.
     """
 
     content_types: DataFrame
@@ -35,33 +42,52 @@ class Archive:
     records: DataFrame
     responses: DataFrame
     spark: SparkSession
+    delivered: dict[str, DataFrame] | None = None
+    among: tuple[str, list] | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, unique: bool = False) -> Archive:
-        records, responses = table(spark, folder, "records"), table(spark, folder, "responses")
-        if not unique:
-            records, responses = last_written(records, "id", "created_at", "warc_custom_id"), last_written(responses, "id", "created_at", "record_id")
-        return cls(table(spark, folder, "content_types"), table(spark, folder, "uris"), table(spark, folder, "warc_files"), records, responses, spark)
+        facts = {name: table(spark, folder, name) for name in VERSIONS}
+        whole = facts if unique else {name: last_written(df, "id", *VERSIONS[name]) for name, df in facts.items()}
+        return cls(table(spark, folder, "content_types"), table(spark, folder, "uris"), table(spark, folder, "warc_files"), whole["records"], whole["responses"], spark, None if unique else facts)
+
+    def rows(self, name: str, *columns: str) -> DataFrame:
+        """``id`` and ``columns`` of a fact table, one row per id."""
+        wanted = dict.fromkeys(("id", *columns))
+        if self.delivered is None:
+            return getattr(self, name).select(*wanted)
+        among = self.among if name == "records" else None
+        last = last_written(self.delivered[name].select(*(wanted | dict.fromkeys((*VERSIONS[name], *([among[0]] if among else []))))), "id", *VERSIONS[name])
+        return (last.where(F.col(among[0]).isin(among[1])) if among else last).select(*wanted)
 
     def uri_ids(self, uri: str) -> list[int]:
         """The id of an exact URI, looked up first so that it reaches the scan of the records as a literal; a URI is
         unique, so there is one at most."""
         return [r["id"] for r in self.uris.where(F.col("uri") == uri.split("#", 1)[0]).select("id").collect()]
 
-    def of(self, uri_ids: list[int]) -> Archive:
-        """The archive with the records of these URIs only."""
-        return replace(self, records=self.records.where(F.col("uri_id").isin(uri_ids)))
+    def of(self, values: list, column: str = "uri_id") -> Archive:
+        """The archive with the records that have one of these few ``values`` only, and their responses.
+
+        Of delivered tables these are first the ids of which *any* version has the value, by a filter in the scan; only
+        those are aggregated, and the last version is asked again.
+        """
+        mine = F.col(column).isin(values)
+        if self.delivered is None:
+            return replace(self, records=self.records.where(mine))
+        records, responses = self.delivered["records"], self.delivered["responses"]
+        ids = bounded(records.where(mine).select("id").distinct())
+        answers = bounded(responses.join(ids.select(F.col("id").alias("record_id")), "record_id", "left_semi").select("id").distinct())
+        few = {"records": records.join(ids, "id", "left_semi"), "responses": responses.join(answers, "id", "left_semi")}
+        return replace(self, records=self.records.where(mine), delivered=few, among=(column, values))
 
     # -- views ------------------------------------------------------------------
 
     def captures(self, columns: list[str] | None = None) -> DataFrame:
         """Responses with their records and URIs: the join every lookup starts from."""
-        r, c, u = self.responses, self.records, self.uris
-        joined = (
-            r.select(F.col("id").alias("response_id"), "record_id", "status", "http_version", "content_type_id", "headers", "last_modified")
-            .join(c.select(F.col("id").alias("record_id"), "warc_file_id", "warc_custom_id", "record_type", "archived_date", "uri_id", "ip_id", "payload_id", "payload_digest"), "record_id")
-            .join(u.select(F.col("id").alias("uri_id"), "uri", "recursion_level"), "uri_id")
-        )
+        asked = set(columns or (*RECORD_COLUMNS, *RESPONSE_COLUMNS))
+        r = self.rows("responses", "record_id", *(c for c in RESPONSE_COLUMNS if c in asked)).withColumnRenamed("id", "response_id")
+        c = self.rows("records", "uri_id", *(c for c in RECORD_COLUMNS if c in asked)).withColumnRenamed("id", "record_id")
+        joined = r.join(c, "record_id").join(self.uris.select(F.col("id").alias("uri_id"), "uri", "recursion_level"), "uri_id")
         return joined.select(*columns) if columns else joined
 
     def response_history(self) -> DataFrame:
@@ -93,8 +119,8 @@ class Archive:
 
     def _captures_of(self, page: DataFrame, content_type: str | None = None) -> DataFrame:
         """All captures of a page's URIs. The page is at most its limit, so it is broadcast to the fact tables."""
-        records = self.records.join(F.broadcast(page.select(F.col("id").alias("uri_id"), "uri", "recursion_level")), "uri_id")
-        responses = self.responses
+        records = self.rows("records", "archived_date", "warc_custom_id", "uri_id").join(F.broadcast(page.select(F.col("id").alias("uri_id"), "uri", "recursion_level")), "uri_id")
+        responses = self.rows("responses", "record_id", "status", "last_modified", *(["content_type_id"] if content_type else []))
         if content_type and content_type.strip():
             responses = responses.join(small(self.type_ids(content_type)), "content_type_id", "left_semi")
         found = records.select(F.col("id").alias("record_id"), "archived_date", "warc_custom_id", "uri", "recursion_level")
@@ -135,12 +161,15 @@ class Archive:
 
     def latest(self, content_type: str | None = None, limit: int = 12) -> DataFrame:
         """The newest responses: first narrow rows to the limit, then the wide columns."""
-        narrow = self.responses.select(F.col("id").alias("response_id"), "record_id", "content_type_id")
+        narrow = self.rows("responses", "record_id", "content_type_id").withColumnRenamed("id", "response_id")
         if content_type and content_type.strip():
             narrow = narrow.join(small(self.type_ids(content_type)), "content_type_id", "left_semi")
-        dated = narrow.join(self.records.select(F.col("id").alias("record_id"), "archived_date", "warc_custom_id", "uri_id"), "record_id")
+        dated = narrow.join(self.rows("records", "archived_date", "warc_custom_id", "uri_id").withColumnRenamed("id", "record_id"), "record_id")
         top = dated.orderBy(F.desc("archived_date"), F.desc("record_id"), F.desc("response_id")).limit(limit)
-        wide = self.responses.select(F.col("id").alias("response_id"), "status", "headers", "http_version", "last_modified")
+        top = cut(top)  # a page; the wide columns are read and aggregated for its ids only
+        found = F.broadcast(top.select(F.col("response_id").alias("id")))
+        page = self if self.delivered is None else replace(self, delivered=self.delivered | {"responses": self.delivered["responses"].join(found, "id", "left_semi")})
+        wide = page.rows("responses", "status", "headers", "http_version", "last_modified").withColumnRenamed("id", "response_id")
         names = self.content_types.select(F.col("id").alias("content_type_id"), F.col("type").alias("content_type"))
         return (
             wide.join(F.broadcast(top), "response_id").join(small(self.uris.select(F.col("id").alias("uri_id"), "uri")), "uri_id", "left").join(small(names), "content_type_id", "left")
@@ -158,7 +187,7 @@ class Archive:
         ids = self.uri_ids(uri)
         wanted = self.uris.where(F.col("id").isin(ids)).select(F.col("id").alias("uri_id"), "uri")
         gap = F.abs(F.unix_micros("archived_date") - F.unix_micros(F.to_timestamp(F.lit(moment))))
-        found = self.of(ids).records.join(F.broadcast(wanted), "uri_id").withColumn("gap_us", gap)
+        found = self.of(ids).rows("records", *RECORD_COLUMNS).join(F.broadcast(wanted), "uri_id").withColumn("gap_us", gap)
         return found.orderBy("gap_us", "archived_date", "id").limit(1)
 
     def near_following(self, uri: str, moment: str) -> DataFrame:
@@ -178,14 +207,15 @@ class Archive:
         if not warc_custom_id and not uri:
             raise ValueError("site_responses needs a uri or a warc_custom_id")
         if warc_custom_id:
-            one = self.records.where((F.col("warc_custom_id") == warc_custom_id) & F.col("uri_id").isNotNull()).select("uri_id")
+            one = self.of([warc_custom_id], "warc_custom_id").rows("records", "uri_id").where("uri_id is not null").select("uri_id")
             return self.of([r["uri_id"] for r in one.limit(1).collect()]).response_payloads()  # an id is unique
         return self.of(self.uri_ids(uri)).response_payloads()
 
     def detail(self, warc_custom_id: str, requests: DataFrame | None = None) -> DataFrame:
         """A record with its response, and its request by ``concurrent_to`` or else by record."""
-        record = self.records.where(F.col("warc_custom_id") == warc_custom_id).select(F.col("id").alias("record_id"), "warc_custom_id", "record_type", "archived_date", "uri_id")
-        response = self.responses.select(F.col("id").alias("response_id"), "record_id", "status", "http_version", "concurrent_to", "headers")
+        mine = self.of([warc_custom_id], "warc_custom_id")
+        record = mine.rows("records", "warc_custom_id", "record_type", "archived_date", "uri_id").where(F.col("warc_custom_id") == warc_custom_id).withColumnRenamed("id", "record_id")
+        response = mine.rows("responses", "record_id", "status", "http_version", "concurrent_to", "headers").withColumnRenamed("id", "response_id")
         out = record.join(response, "record_id", "left").join(self.uris.select(F.col("id").alias("uri_id"), "uri"), "uri_id", "left")
         out = out.withColumn("is_redirect", F.coalesce(N.is_redirect("status"), F.lit(False)))
         if requests is None:
@@ -205,14 +235,14 @@ class Archive:
         """The redirect chain of a record whose response is a 3xx; none for any other."""
         from archivolt.operators.redirects import redirect_paths
 
-        all_captures = self.captures()
+        all_captures = self.captures(["response_id", "uri", "archived_date", "last_modified", "headers", "status", "warc_custom_id"])
         start = all_captures.where((F.col("warc_custom_id") == warc_custom_id) & N.is_redirect("status"))
         return redirect_paths(all_captures, start, max_hops)
 
     def batch(self, warc_custom_ids: list[str]) -> DataFrame:
         """Captures of a list of ids with each id's place in the list; unknown ids have nulls, an empty list none."""
         wanted = self.spark.createDataFrame(list(enumerate(warc_custom_ids)), "ordinal int, warc_custom_id string")
-        found = self.captures(["warc_custom_id", "response_id", "status", "uri"])
+        found = self.of(warc_custom_ids, "warc_custom_id").captures(["warc_custom_id", "response_id", "status", "uri"])
         return found.join(F.broadcast(wanted), "warc_custom_id", "right")
 
     # -- type sets ------------------------------------------------------------------

@@ -16,23 +16,28 @@ def redirect_edges(captures: DataFrame) -> DataFrame:
     """``response_id``, ``target`` and ``next_id``: for each capture with a Location header, the capture of exactly
     its target nearest to the capture's own time (``last_modified``, else ``archived_date``). The status is not asked.
     ``next_id`` is null where the target was never captured."""
-    located = captures.select("response_id", "uri", N.header("headers", "location").alias("location"), F.coalesce("last_modified", "archived_date").alias("moment"))
+    return _edges(captures.select("response_id", "uri", "archived_date", "last_modified", N.header("headers", "location").alias("location"))).drop("uri")
+
+
+def _edges(captures: DataFrame) -> DataFrame:
+    located = captures.select("response_id", "uri", "location", F.coalesce("last_modified", "archived_date").alias("moment"))
     located = located.where("location is not null and uri is not null").withColumn("target", N.resolve_location("location", "uri"))
     found = nearest(
         located.select(F.col("target").alias("uri"), "moment", "response_id"),
         captures.select("uri", F.coalesce("last_modified", "archived_date").alias("archived_date"), F.col("response_id").alias("next_id")),
         ["response_id"],
     )
-    return located.select("response_id", "target").join(found.select("response_id", "next_id"), "response_id", "left")
+    return located.select("response_id", "uri", "target").join(found.select("response_id", "next_id"), "response_id", "left")
 
 
 def redirect_paths(captures: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """``start_id``, ``hop`` (from 1), ``response_id``, ``uri``, ``resolved_location`` (how the row was reached; null
     for the start). ``starts`` has ``response_id``. A path ends without a location, at a target that was never
     captured, at a URI already on the path, or after ``max_hops`` rows. A repeated start gives one path."""
-    edges = cut(redirect_edges(captures).where("next_id is not null"))
+    captures = cut(captures.select("response_id", "uri", "archived_date", "last_modified", N.header("headers", "location").alias("location")))
+    edges = _edges(captures).where("next_id is not null")
     uris = captures.select(F.col("response_id").alias("next_id"), F.col("uri").alias("next_uri"))
-    hops = edges.join(uris, "next_id")
+    hops = cut(edges.join(uris, "next_id").where("uri <> next_uri").drop("uri"))
     frontier = captures.join(starts.select("response_id").distinct(), "response_id", "left_semi").select(
         F.col("response_id").alias("start_id"), F.lit(1).alias("hop"), "response_id", "uri", F.lit(None).cast("string").alias("resolved_location"), F.array("uri").alias("seen")
     )

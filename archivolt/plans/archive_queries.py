@@ -33,7 +33,7 @@ def _archive(spark: SparkSession, d: str) -> Archive:
 
 def _hot_uri(a: Archive) -> str:
     """The URI with most records; of equals, the first by name."""
-    top = a.records.groupBy(F.col("uri_id").alias("id")).agg(F.count("*").alias("n")).join(a.uris.select("id", "uri"), "id")
+    top = a.rows("records", "uri_id").groupBy(F.col("uri_id").alias("id")).agg(F.count("*").alias("n")).join(a.uris.select("id", "uri"), "id")
     row = top.orderBy(F.desc("n"), "uri").select("uri").first()
     return row[0] if row else ""
 
@@ -171,7 +171,7 @@ def near_record(s, d):
 def near_bulk(s, d):
     """For every record its nearest capture of the same URI ten days later."""
     a = _archive(s, d)
-    asked = a.records.join(a.uris.select(F.col("id").alias("uri_id"), "uri"), "uri_id").select("uri", F.expr("archived_date + interval 10 days").alias("moment"), F.col("id").alias("request_id"))
+    asked = a.rows("records", "uri_id", "archived_date").join(a.uris.select(F.col("id").alias("uri_id"), "uri"), "uri_id").select("uri", F.expr("archived_date + interval 10 days").alias("moment"), F.col("id").alias("request_id"))
     return A.nearest(asked, a.captures(["uri", "archived_date", "response_id"]), ["request_id"]).select("request_id", "response_id")
 
 
@@ -220,11 +220,11 @@ def batch_lookup(s, d):
 
 
 def redirect_edges(s, d):
-    return redirects.redirect_edges(_archive(s, d).captures())
+    return redirects.redirect_edges(_archive(s, d).captures(["response_id", "uri", "archived_date", "last_modified", "headers"]))
 
 
 def redirect_paths(s, d):
-    c = _archive(s, d).captures()
+    c = _archive(s, d).captures(["response_id", "uri", "archived_date", "last_modified", "headers", "status"])
     starts = c.where(N.is_redirect("status"))
     return redirects.redirect_paths(c, starts)
 
