@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.plans.runtime import cut
+from archivolt.plans.runtime import bounded, cut
 
 #: Two Mersenne-like primes below 2**31, so that products of residues fit 64 bits.
 PRIMES = (2147483647, 2147483629)
 SKIP, FIELD, QUERY, FRAGMENT = 0, 1, 2, 3
 _PLAIN = 0x3000
+_SHARP = ord("ß") + 8
 
 
 def _fold(code: int) -> int:
@@ -57,15 +58,15 @@ def _codes(text: np.ndarray) -> np.ndarray:
 
 
 def stream(texts: list[str], uri: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Folded codes of all texts one after another and each code's row. With ``uri``, the first ``?``, the first
-    ``#`` and, between the two, ``&`` and ``;`` become the part separators QUERY, FRAGMENT and FIELD."""
+    """The folded code of every character of all texts one after another, SKIP for what does not count, and each
+    character's row. With ``uri``, the first ``?``, the first ``#`` and, between the two, ``&`` and ``;`` become the
+    part separators QUERY, FRAGMENT and FIELD."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     text = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     rows = np.repeat(np.arange(len(texts)), lengths)
     codes = _codes(text)
     if uri and len(text):
         at = np.arange(len(text))
-        begin = np.r_[0, np.cumsum(lengths)[:-1]]
         first = lambda c: _first(text == c, at, rows, len(texts))
         hash_at = first(ord("#"))
         mark_at = first(ord("?"))
@@ -73,13 +74,6 @@ def stream(texts: list[str], uri: bool = True) -> tuple[np.ndarray, np.ndarray]:
         codes[((text == ord("&")) | (text == ord(";"))) & (at > mark_at[rows]) & (at < hash_at[rows])] = FIELD
         codes[mark_at[mark_at < len(text)]] = QUERY
         codes[hash_at[hash_at < len(text)]] = FRAGMENT
-        del begin
-    kept = codes != SKIP
-    codes, rows = codes[kept], rows[kept]
-    sharp = codes == ord("ß") + 8  # the only common letter that folds to two
-    if sharp.any():
-        rows, codes = np.repeat(rows, 1 + sharp), np.repeat(codes, 1 + sharp)
-        codes[codes == ord("ß") + 8] = ord("s") + 8
     return codes, rows
 
 
@@ -105,45 +99,40 @@ def _powers(base: int, prime: int, n: int) -> np.ndarray:
 def part_hashes(texts: list[str], uri: bool = True, seed: int = 0) -> np.ndarray:
     """Two 64-bit words per text: equal texts up to formatting have equal words.
 
-    The part before the query counts in order, the fields as a multiset, empty fields not at all; a fragment behind a
-    query is a part of its own, and one without a query is read on as part of the path.
+    Each character that counts adds its code times the power of its place among those that count; skipped characters
+    add nothing and take no place, so nothing is ever copied together. The part before the query counts in order, the
+    fields as a multiset, empty fields not at all; a fragment behind a query is a part of its own, and one without a
+    query is read on as part of the path.
     """
     codes, rows = stream(texts, uri)
     words = np.zeros((len(texts), 2), np.uint64)
     if not len(codes):
         return words
-    separator = codes < 8
-    symbol = ~separator
+    symbol, separator = codes >= 8, (codes > SKIP) & (codes < 8)
+    begins = np.r_[True, rows[1:] != rows[:-1]]
     # an empty query's marks are dropped, so that a bare "?" or a fragment right behind the path changes nothing
     kind = np.where(separator, codes, 0)
     has_field = np.zeros(len(texts), bool)
-    last_mark = np.maximum.accumulate(np.where(separator | np.r_[True, rows[1:] != rows[:-1]], np.arange(len(codes)), 0))
-    inside = symbol & np.isin(kind[last_mark], (QUERY, FIELD))
-    has_field[rows[inside]] = True
-    real = separator & has_field[rows]
-    part = np.cumsum(real | np.r_[True, rows[1:] != rows[:-1]]) - 1
-    part_kind = np.zeros(part[-1] + 1, np.int64)
-    part_kind[part[real]] = kind[real]
-    part_row = np.zeros(part[-1] + 1, np.int64)
-    part_row[part] = rows
-    codes, part = codes[symbol], part[symbol]
-    if not len(codes):
-        return words
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
-    which = part[starts]
-    sizes = np.diff(np.r_[starts, len(codes)])
+    last_mark = np.maximum.accumulate(np.where(separator | begins, np.arange(len(codes)), 0))
+    has_field[rows[symbol & np.isin(kind[last_mark], (QUERY, FIELD))]] = True
+    starts = np.flatnonzero((separator & has_field[rows]) | begins)
+    kinds, part_row = np.where(has_field[rows[starts]], kind[starts], 0), rows[starts]
+    kinds[kinds == QUERY] = FIELD  # the first field is a field like any other
+    sharp = codes == _SHARP  # the only common letter that folds to two: it takes two places
+    width = symbol.astype(np.int64) + sharp
+    behind = np.cumsum(width)
+    place = behind - width - np.repeat((behind - width)[starts], np.diff(np.r_[starts, len(codes)]))
+    sizes = np.add.reduceat(width, starts)
+    filled = sizes > 0
+    values = np.where(sharp, ord("s") + 8, codes).astype(np.uint64)
     for k, prime in enumerate(PRIMES):
         p = np.uint64(prime)
-        base = pow(1000003 + 2 * k, seed + 1, prime)
-        power = _powers(base, prime, int(place.max()) + 1)
-        terms = codes.astype(np.uint64) % p * power[place] % p
-        value = np.add.reduceat(terms, starts) % p
+        power = _powers(pow(1000003 + 2 * k, seed + 1, prime), prime, int(place.max()) + 3)
+        weight = np.where(symbol, power[place] + np.where(sharp, power[place + 1], np.uint64(0)), np.uint64(0)) % p
+        value = np.add.reduceat(values % p * weight % p, starts) % p
         state = (value << np.uint64(32)) ^ (sizes.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-        kinds = part_kind[which].astype(np.uint64)
-        kinds[kinds == QUERY] = FIELD  # the first field is a field like any other
-        state = _mix(state + kinds * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        np.add.at(words[:, k], part_row[which], state)
+        state = _mix(state + kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        np.add.at(words[:, k], part_row[filled], state[filled])
     return words
 
 
@@ -222,15 +211,15 @@ def same_text(a: str, b: str, uri: bool = True) -> bool:
 
 
 def hashed(df: DataFrame, uri: bool, seed: int) -> DataFrame:
-    """``id``, ``text`` and the two hash words ``h0``, ``h1``."""
+    """``id``, ``t`` (64-bit hash of the text as written) and the two hash words ``h0``, ``h1``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = part_hashes(batch.column(1).to_pylist(), uri, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "text", "h0", "h1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "t", "h0", "h1"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, text string, h0 bigint, h1 bigint")
+    return df.select("id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"id {kind}, t bigint, h0 bigint, h1 bigint")
 
 
 def _verified(pairs: DataFrame, uri: bool) -> DataFrame:
@@ -256,16 +245,20 @@ def formatting_copies(df: DataFrame, id_col: str, text_col: str, uri: bool = Tru
     one group. Rows that repeat an id count as one row if their texts are the same; a very long text is one stream
     like any other. Only the two named columns are read.
 
-    A group's state is its smallest id with that row's text, combined map-side, so a group that holds a third of all
-    rows is one row per task; the join back splits hot groups by AQE. Copies of a text to the letter are not compared
-    again. Unproven rows (a hash collision) go round again with other bases until none is left.
+    Every text is read and hashed once a round; what is shuffled is an id with three hashes. A group's state is its
+    smallest row, combined map-side, so a group that holds a third of all rows is one row per task. Only texts of rows
+    that have a partner are fetched to be compared, and texts of one hash to the letter are not compared again.
+    Unproven rows (a hash collision) go round again with other bases until none is left.
     """
     found, rest, seed = [], df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"), 0
     while True:
-        rows = hashed(rest, uri, seed)
-        groups = rows.groupBy("h0", "h1").agg(F.min(F.struct("id", "text")).alias("first"), F.max("id").alias("last")).where("first.id < last")
-        pairs = rows.join(groups, ["h0", "h1"]).where("id > first.id").select(F.col("first.id").alias("first_id"), "id", F.col("first.text").alias("first_text"), "text")
-        checked = cut(_verified(pairs, uri))
+        keys = cut(hashed(rest, uri, seed))
+        groups = keys.groupBy("h0", "h1").agg(F.min(F.struct("id", "t")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+        pairs = cut(keys.join(bounded(cut(groups)), ["h0", "h1"]).where("id > first.id").select(F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t"), "id", "t").distinct())
+        texts = rest.select("id", "text", F.xxhash64("text").alias("t"))
+        wanted = lambda i, t, name: texts.join(bounded(pairs.select(F.col(i).alias("id"), F.col(t).alias("t")).distinct()), ["id", "t"], "left_semi").dropDuplicates(["id", "t"]).select(F.col("id").alias(i), F.col("t").alias(t), F.col("text").alias(name))  # noqa: E731, B023
+        both = pairs.join(wanted("id", "t", "text"), ["id", "t"]).join(wanted("first_id", "first_t", "first_text"), ["first_id", "first_t"])
+        checked = cut(_verified(both, uri))
         found.append(checked.where("same").select("first_id", F.col("id").alias("copy_id")))
         rest = checked.where("not same").select("id", "text")
         if not rest.head(1):

@@ -44,6 +44,7 @@ def mixture(counts: DataFrame, id_col: str, source_col: str, weights: list[tuple
     named = [(s, float(w or 0), int(r or 0)) for s, w, r in weights if s is not None]
     wanted = [s for s, w, r in named if w > 0 and r > 0]
     rows = counts.select(F.col(source_col).alias("source"), id_col, "n_tokens", F.xxhash64(F.lit(seed), F.col(id_col)).alias("key")).where(F.col("source").isin(wanted) & (F.col("n_tokens") > 0))
+    rows = cut(rows)  # the range partitioner samples its input, and texts are to be counted once
     fixed = cut(rows.repartitionByRange("source", "key").sortWithinPartitions("source", "key", id_col))
     have = {r["source"]: r["t"] for r in fixed.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     plan = []
