@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm import boilerplate, canonical, chunks, lookalikes, mixing, packing, residue
 from archivolt.llm.tokens import token_counts
-from archivolt.plans.runtime import table
+from archivolt.plans.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +60,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, d), _packs(spark, d))
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in every pack, with the number of its pieces and whether all its containers keep their capacity
+    and only a document beyond the capacity is cut."""
+    packs, packed = _packs(spark, d), cut(p8_packed(spark, d))
+    capacity = F.create_map(*[F.lit(x) for name, c in packs for x in (name, int(c))])[F.col("pack_name")]
+    full = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("held"))
+    told = packed.join(full, ["pack_name", "container"]).groupBy("pack_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max("held").alias("held"))
+    kept = (F.col("held") <= capacity) & (F.col("pieces") == F.ceil(F.col("tokens") / capacity))
+    return told.select("pack_name", "doc_id", kept.alias("kept"))
+
+
 def _weights(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
     return [(r["source"], r["weight"], r["max_repeats"]) for r in table(spark, d, "mix_weights").collect()]
 
@@ -74,6 +85,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, d), _weights(spark, d))
 
 
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Per named source its target share, and whether what was reached keeps to ``max_repeats`` and to the weights: a
+    source without a weight gives nothing, and one that has its share misses it by no more than its longest document."""
+    weights = _weights(spark, d)
+    limit = F.create_map(*[F.lit(x) for s, w, r in weights if s is not None for x in (s, int(r or 0))])[F.col("source")]
+    reached = p9_shares(spark, d)
+    kept = (F.col("max_uses") <= limit) & ((F.col("weight") > 0) | (F.col("tokens") == 0))
+    return reached.select("source", "target_share", kept.alias("kept"))
+
+
 def _looks(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.form_keys(table(spark, d, "documents"), "doc_id", "text")
 
@@ -91,7 +112,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_near": p4_near, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_near": p4_near, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_placed": p8_placed, "p9_limits": p9_limits,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts,
 }
 
@@ -134,6 +155,9 @@ SQL["p10_found"] = f"{_FORMS} select a.doc_id doc_id_a, b.doc_id doc_id_b from s
 SQL["p10_classes"] = f"{_FORMS} select doc_id id, min(doc_id) over (partition by form) class_id, count(*) over (partition by form) copies from shown"
 SQL["p10_texts"] = f"{_FORMS} select doc_id id, form \"text\" from forms union all select doc_id, null from documents where text is null"
 
+SQL["p8_placed"] = "select pack_name, doc_id, true kept from documents, pack_sizes where length(text) > 0 and capacity_tokens > 0"
+SQL["p9_limits"] = "select source, round(coalesce(weight, 0) / (select sum(weight) from mix_weights where source is not null), 6) target_share, true kept from mix_weights where source is not null"
+
 _BITS = "array_to_string(list_transform(string_split({value}, ''), lambda c: right(bin(strpos('{alphabet}', c) - 1 + {top}), {width})), '')"
 SQL["p4_found"] = rf"""
 with labelled as (
