@@ -32,6 +32,11 @@ def _text(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is used more than once and evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def short_hash(text: Column | str) -> Column:
     """32-bit FNV-1a over UTF-16 code units, in hexadecimal."""
     step = lambda h, unit: h.bitwiseXOR(unit) * F.lit(0x01000193).cast("bigint") % F.lit(1 << 32)
@@ -65,8 +70,8 @@ def safe_segment(raw: Column | str) -> Column:
     if it is too long, short with a hash of what it was."""
     raw = _text(raw)
     plain = F.regexp_replace(F.regexp_replace(raw, r"[<>:\"|?*\\/\x00-\x1f\x7f]", "_"), r"[. ]+$", "")
-    named = F.when(plain == "", "_").when(plain.rlike(RESERVED), F.concat(F.lit("_"), plain)).otherwise(plain)
-    return F.when(F.length(named) <= SEGMENT_MAX, named).otherwise(_shortened(stem_of(named), F.concat(F.lit("~"), short_hash(raw), suffix_of(named))))
+    allowed = _let(plain, lambda p: F.when(p == "", "_").when(p.rlike(RESERVED), F.concat(F.lit("_"), p)).otherwise(p))
+    return _let(allowed, lambda n: F.when(F.length(n) <= SEGMENT_MAX, n).otherwise(_shortened(stem_of(n), F.concat(F.lit("~"), short_hash(raw), suffix_of(n)))))
 
 
 def _decoded(path: Column) -> Column:
@@ -96,19 +101,21 @@ def _has_spelling(name: Column, extension: Column) -> Column:
 def zip_path(url: Column | str, content_type: Column | str) -> Column:
     """Where a captured URL lies in an exported archive: host, path, a hash of the query, the type's extension. A text
     that is no URL with a host lies under ``_unparsed``; null gives null."""
-    url, extension = _text(url), extension_for(content_type)
+    url = _text(url)
     host, path, query = (F.regexp_extract(url, _URL, k) for k in (1, 2, 3))
-    path = _decoded(path)
-    segments = F.transform(_walked(path), safe_segment)
+    parts = F.struct(_decoded(path).alias("path"), F.transform(_walked(_decoded(path)), safe_segment).alias("segments"), extension_for(content_type).alias("extension"), query.alias("query"))
+    placed = _let(safe_segment(F.lower(host)), lambda root: _let(parts, lambda p: _placed(root, p["path"], p["segments"], p["extension"], p["query"])))
+    return F.when(url.isNull(), None).when(host == "", F.concat(F.lit("_unparsed/"), safe_segment(url))).otherwise(placed)
+
+
+def _placed(root: Column, path: Column, segments: Column, extension: Column, query: Column) -> Column:
     folder = (F.size(segments) == 0) | F.endswith(path, F.lit("/"))
     last = F.try_element_at(segments, F.lit(-1))
     file = F.when(folder, F.concat(F.lit("index"), F.when(extension == "", ".html").otherwise(extension))).when(_has_spelling(last, extension), last).otherwise(F.concat(last, extension))
-    asked = F.when(query == "", file).otherwise(F.concat(stem_of(file), F.lit("__q"), short_hash(query), suffix_of(file)))
+    asked = _let(file, lambda f: F.when(query == "", f).otherwise(F.concat(stem_of(f), F.lit("__q"), short_hash(query), suffix_of(f))))
     above = F.when(folder, segments).otherwise(F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))))
-    root = safe_segment(F.lower(host))
-    whole = F.array_join(F.concat(F.array(root), above, F.array(asked)), "/")
-    deep = F.concat_ws("/", root, F.lit("_deep"), short_hash(whole), asked)
-    return F.when(url.isNull(), None).when(host == "", F.concat(F.lit("_unparsed/"), safe_segment(url))).when(F.length(whole) <= PATH_MAX, whole).otherwise(deep)
+    deep = lambda whole, name: F.concat_ws("/", root, F.lit("_deep"), short_hash(whole), name)
+    return _let(asked, lambda name: _let(F.array_join(F.concat(F.array(root), above, F.array(name)), "/"), lambda whole: F.when(F.length(whole) <= PATH_MAX, whole).otherwise(deep(whole, name))))
 
 
 def _cleaned(text: Column) -> Column:
@@ -140,6 +147,11 @@ def with_record(path: Column | str, archive: Column | str, record_id: Column | s
     source = safe_segment(F.regexp_replace(F.coalesce(_text(archive), F.lit("")), r"(?i)\.w?arc(?:\.gz)?$", ""))
     identity = F.regexp_replace(F.coalesce(_text(record_id), F.lit("")), r"(?i)^<?urn:uuid:|>$", "")
     tail = F.concat(F.lit("."), source, F.lit("."), F.when(identity == "", "unknown").otherwise(safe_segment(identity)), suffix_of(file))
-    full, short = F.concat(folder, stem_of(file), tail), _shortened(stem_of(file), tail)
-    deep = F.concat_ws("/", F.when(folder == "", "_nohost").otherwise(F.substring_index(folder, "/", 1)), F.lit("_deep"), short_hash(path), short)
-    return F.when(F.length(full) <= PATH_MAX, full).when(F.length(folder) + F.length(short) <= PATH_MAX, F.concat(folder, short)).otherwise(deep)
+    parts = F.struct(folder.alias("folder"), stem_of(file).alias("stem"), tail.alias("tail"))
+
+    def fitted(p: Column) -> Column:
+        full, short = F.concat(p["folder"], p["stem"], p["tail"]), _shortened(p["stem"], p["tail"])
+        deep = F.concat_ws("/", F.when(p["folder"] == "", "_nohost").otherwise(F.substring_index(p["folder"], "/", 1)), F.lit("_deep"), short_hash(path), short)
+        return F.when(F.length(full) <= PATH_MAX, full).when(F.length(p["folder"]) + F.length(short) <= PATH_MAX, F.concat(p["folder"], short)).otherwise(deep)
+
+    return _let(parts, fitted)

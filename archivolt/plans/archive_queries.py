@@ -393,10 +393,6 @@ def zip_size(s, d):
     return stored_zip_size(v.select(F.concat(F.lit("pages/"), F.col("view_id").cast("string"), F.lit(".html")).alias("name"), F.octet_length("payload").alias("size")))
 
 
-def payload_crc(s, d):
-    return table(s, d, "view_record").where("payload is not null").select("view_id", F.crc32(F.col("payload").cast("binary")).alias("crc"))
-
-
 def page_links(s, d):
     v = table(s, d, "view_record").where("payload is not null")
     return v.select("view_id", F.explode(F.regexp_extract_all("payload", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("view_id", "href").agg(F.count("*").alias("n"))
@@ -408,7 +404,7 @@ uri_level_distribution uri_fragments uri_sort_position uri_type_sets uri_type_se
 near_bulk near_follow_redirect history site_responses_by_id site_responses_by_uri record_detail response_history batch_lookup redirect_edges redirect_paths
 header_lookup location_targets ingest_invalid ingest_duplicate_ids ingest_last_wins ingest_dimensions ingest_payload_last_wins ingest_new_uris
 uuid_and_target table_sizes parse_plan progress_rollup progress_page progress_errors parse_work checkpoint_advance range_requests chunk_ranges
-chunk_size_literals short_reads ledger_summary budget_prefix digest_merge zip_size payload_crc page_links"""
+chunk_size_literals short_reads ledger_summary budget_prefix digest_merge zip_size page_links"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 # -- the same in SQL ------------------------------------------------------------------------------
@@ -577,21 +573,6 @@ def dependency_closure(s, d):
     return closure.dependency_closure(pages, pages.where(N.document_kind("content_type") == "html"))
 
 
-def entry_paths(s, d):
-    p = _pages(s, d).where("uri is not null")
-    return p.select("id", paths.entry_path("uri", "uuid").alias("path"))
-
-
-def path_assignment(s, d):
-    p = _pages(s, d).where("uri is not null").select("id", F.col("uri").alias("url"), "content_type", "status", F.col("warc_file").alias("archive"), "uuid")
-    return closure.assigned_paths(p)
-
-
-def path_collisions(s, d):
-    u = table(s, d, "uris")
-    return export.colliding_paths(u.select("id", F.regexp_replace("uri", r"[?#][\s\S]*$", "").alias("path")))
-
-
 def _warc_round_trip(s, d, compress):
     """The pages written as WARC files into the shared folder and scanned again."""
     folder = f"{checkpoint_dir(s).rstrip('/')}/warc-{uuid.uuid4().hex}"
@@ -630,17 +611,7 @@ def view_ranges(s, d):
     return view.ranged(pages, "bytes=100-299").select("id", "status", F.octet_length("part").alias("n_bytes"))
 
 
-def offline_bundle(s, d):
-    p = _pages(s, d).where("uri is not null").select("id", F.col("uri").alias("url"), "content_type", "status", F.col("warc_file").alias("archive"), "uuid", "body")
-    return view.bundle(p).select("path", F.octet_length("body").alias("n_bytes"))
-
-
-def json_headers(s, d):
-    v = table(s, d, "view_record").where(N.document_kind("content_type") == "other")
-    return v.select("view_id", F.size(N.json_object("payload")).alias("members"))
-
-
-for _name in ("download_ledger", "view_documents", "view_ranges", "offline_bundle", "json_headers", "warc_scan", "warc_gz_scan", "html_rewrite", "css_rewrite", "page_references", "dependency_closure", "entry_paths", "path_assignment", "path_collisions"):
+for _name in ("download_ledger", "view_documents", "view_ranges", "warc_scan", "warc_gz_scan", "html_rewrite", "css_rewrite", "page_references", "dependency_closure"):
     QUERIES[_name] = globals()[_name]
 SQL["warc_scan"] = SQL["warc_gz_scan"] = "select array_to_string(list_filter(regexp_split_to_array(url, '[ \\t\\r\\n]+'), lambda x: x <> ''), ' ') uri, coalesce(status, 200) status, lower(uuid) uuid, epoch_us(date_archived) archived_date_us, octet_length(encode(payload)) n_bytes from view_record where payload is not null and url is not null"
 SQL["download_ledger"] = """with b as (select * from warc_response_bulk_input), ends as (select file_path, max(payload_byte_offset + payload_byte_length) - 20000 file_size from b where payload_byte_offset is not null group by file_path),
@@ -650,4 +621,3 @@ judged as (select a.*, payload_byte_length n, case when a.id < 0 then 'not-found
 counted as (select *, sum(case when status = 'stored' then 1 else 0 end) over w k, sum(case when status = 'stored' then n else 0 end) over w total from judged window w as (partition by export_id order by ordinal rows unbounded preceding))
 select export_id, ordinal, id, case when status = 'stored' and (k > 25 or total > 300000) then 'over-budget' else status end status from counted"""
 SQL["view_ranges"] = "select view_id id, case when octet_length(encode(payload)) > 100 then 206 else 416 end status, case when octet_length(encode(payload)) > 100 then least(200, octet_length(encode(payload)) - 100) end n_bytes from view_record where payload is not null"
-SQL["path_collisions"] = "select id, path, count(*) over (partition by lower(path)) > 1 collides from (select id, regexp_replace(uri, '(?s)[?#].*$', '') path from uris)"
