@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions import native as N
-from archivolt.functions import paths, web
+from archivolt.functions import web
 from archivolt.operators import archive as A
-from archivolt.operators import closure, export, ingest, progress, redirects, view
+from archivolt.operators import closure, ingest, progress, redirects, view
 from archivolt.operators.archive import Archive
-from archivolt.plans.runtime import checkpoint_dir, micros, table
-from archivolt.sources import warc, warc_writer
+from archivolt.plans.runtime import micros, table
 
 TERM, TYPE, MOMENT = "amber-drumlin", "text/html", "2024-01-10T12:00:00Z"
 
@@ -293,7 +290,7 @@ def table_sizes(s, d):
     return out
 
 
-# -- progress: derived from the files, the states by their number ------------------------
+# -- progress: states and sizes by the files' numbers; a file without a warcinfo record has no progress yet ------------------------
 
 
 def _progress(s, d):
@@ -302,7 +299,7 @@ def _progress(s, d):
     status = F.element_at(F.array(*map(F.lit, ("pending", "parsing", "parsed", "error"))), (k + 1).cast("int"))
     size = F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") * 1000)
     offset = F.when(k == 0, 0).when((k == 1) & (F.col("id") % 8 == 1), 0).when(k == 2, F.col("id") * 1000).otherwise(F.col("id") * 300)
-    return f.where(F.col("id") % 5 != 0).select(F.col("id").alias("file_id"), status.alias("status"), offset.cast("bigint").alias("byte_offset"), size.cast("bigint").alias("file_size"), (offset / 100).cast("bigint").alias("records"), F.lit(None).cast("string").alias("error"))
+    return f.where("warcinfo_id is not null").select(F.col("id").alias("file_id"), status.alias("status"), offset.cast("bigint").alias("byte_offset"), size.cast("bigint").alias("file_size"), (offset / 100).cast("bigint").alias("records"), F.lit(None).cast("string").alias("error"))
 
 
 def _plan(s, d):
@@ -326,7 +323,8 @@ def progress_errors(s, d):
 
 
 def parse_work(s, d):
-    f = table(s, d, "warc_files").where(F.col("id") % 11 != 0)
+    """Files without metadata are those that have vanished."""
+    f = table(s, d, "warc_files").where(F.size("metadata") > 0)
     shift = F.when(F.col("id") % 3 == 0, 500).when(F.col("id") % 3 == 1, 0).otherwise(-500)
     return progress.parse_work(_plan(s, d), f.select("file_path", (F.col("id") * 1000 + shift).alias("size")))
 
@@ -448,7 +446,7 @@ bad as (select row_id, case when uri is null or trim(uri, ' ') = '' then 'blank
 good as (select * from bulk where row_id not in (select row_id from bad where reason is not null))"""
 _PROGRESS = """prog as (select id file_id, ['pending','parsing','parsed','error'][(id % 4) + 1] status,
   cast(case when id % 4 = 0 then 0 when id % 4 = 1 and id % 8 = 1 then 0 when id % 4 = 2 then id * 1000 else id * 300 end as bigint) byte_offset,
-  cast(case when id % 7 = 0 then null else id * 1000 end as bigint) file_size from warc_files where id % 5 <> 0),
+  cast(case when id % 7 = 0 then null else id * 1000 end as bigint) file_size from warc_files where warcinfo_id is not null),
 progress as (select *, byte_offset // 100 records from prog),
 plan as (select f.id file_id, f.file_path, coalesce(p.status, 'pending') status, coalesce(byte_offset, 0) byte_offset, file_size, coalesce(records, 0) records from warc_files f left join progress p on p.file_id = f.id)"""
 _RANK = "list_position(['parsing','error','pending','parsed'], status)"
@@ -521,7 +519,7 @@ select start_id, hop, response_id, uri, resolved_location from path""",
   cast(sum(records) as bigint) records, cast(sum(byte_offset) as bigint) bytes_done, cast(sum(file_size) as bigint) bytes_total, count(*) filter (file_size is null) unknown_sizes from plan)""",
     "progress_page": "with " + _PROGRESS + f" select *, {_PCT} from plan order by {_RANK}, file_path limit 10 offset 3",
     "progress_errors": "with " + _PROGRESS + f" select *, {_PCT} from plan where status = 'error'",
-    "parse_work": "with " + _PROGRESS + """, sized as (select *, (select f.id * 1000 + case f.id % 3 when 0 then 500 when 1 then 0 else -500 end from warc_files f where f.id = file_id and f.id % 11 <> 0) size from plan where file_id % 11 <> 0),
+    "parse_work": "with " + _PROGRESS + """, sized as (select *, (select f.id * 1000 + case f.id % 3 when 0 then 500 when 1 then 0 else -500 end from warc_files f where f.id = file_id) size from plan where file_id in (select id from warc_files where cardinality(metadata) > 0)),
 reasoned as (select *, case when status = 'error' then 'retry' when status = 'pending' then 'new' when status = 'parsing' and byte_offset > 0 then 'resume' when status = 'parsing' then 'new' when file_size is null or size = file_size then 'done' when size > file_size then 'grew' else 'replaced' end reason from sized)
 select file_id, file_path, case when reason in ('new', 'replaced') then 0 else byte_offset end "start", case when reason in ('new', 'replaced') then 0 else records end records, size, reason from reasoned""",
     "checkpoint_advance": "with " + _PROGRESS + " select file_id, greatest(byte_offset, file_id * 500) byte_offset, greatest(records, file_id * 7) records from progress",
@@ -573,24 +571,6 @@ def dependency_closure(s, d):
     return closure.dependency_closure(pages, pages.where(N.document_kind("content_type") == "html"))
 
 
-def _warc_round_trip(s, d, compress):
-    """The pages written as WARC files into the shared folder and scanned again."""
-    folder = f"{checkpoint_dir(s).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    pages = _pages(s, d).withColumn("date", F.date_format("archived_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("identity", F.col("uuid"))
-    warc_writer.write_warcs(pages, folder, compress).agg(F.sum("records")).collect()
-    warc.register(s)
-    rows = s.read.format("warc").option("types", "response").load(folder)
-    return rows.select(F.col("target_uri").alias("uri"), "status", F.col("record_id").alias("uuid"), micros(F.col("warc_date")).alias("archived_date_us"), (F.col("payload_length") - 0).alias("n_bytes"))
-
-
-def warc_scan(s, d):
-    return _warc_round_trip(s, d, False)
-
-
-def warc_gz_scan(s, d):
-    return _warc_round_trip(s, d, True)
-
-
 def download_ledger(s, d):
     """Every bulk row requested in its batch's export, and every tenth id a second time under an unknown id."""
     b = _bulk(s, d)
@@ -611,9 +591,8 @@ def view_ranges(s, d):
     return view.ranged(pages, "bytes=100-299").select("id", "status", F.octet_length("part").alias("n_bytes"))
 
 
-for _name in ("download_ledger", "view_documents", "view_ranges", "warc_scan", "warc_gz_scan", "html_rewrite", "css_rewrite", "page_references", "dependency_closure"):
+for _name in ("download_ledger", "view_documents", "view_ranges", "html_rewrite", "css_rewrite", "page_references", "dependency_closure"):
     QUERIES[_name] = globals()[_name]
-SQL["warc_scan"] = SQL["warc_gz_scan"] = "select array_to_string(list_filter(regexp_split_to_array(url, '[ \\t\\r\\n]+'), lambda x: x <> ''), ' ') uri, coalesce(status, 200) status, lower(uuid) uuid, epoch_us(date_archived) archived_date_us, octet_length(encode(payload)) n_bytes from view_record where payload is not null and url is not null"
 SQL["download_ledger"] = """with b as (select * from warc_response_bulk_input), ends as (select file_path, max(payload_byte_offset + payload_byte_length) - 20000 file_size from b where payload_byte_offset is not null group by file_path),
 asked as (select batch_id export_id, row_id ordinal, case when row_id % 10 = 0 then -row_id else row_id end id, row_id from b),
 judged as (select a.*, payload_byte_length n, case when a.id < 0 then 'not-found' when payload_byte_offset is null or payload_byte_length is null then 'no-payload'

@@ -27,13 +27,16 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets one of its own; on a
+    cluster, where no folder of one machine would do, that is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if given is None:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         given = tempfile.mkdtemp(prefix="archivolt-checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(given)
@@ -57,8 +60,13 @@ def micros(column) -> F.Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its scan gives work to fewer than half of them, as small or unsplittable files do; for
-    a costly Python pass over it. Anything larger is left as it is read, without a shuffle."""
+#: Scans of more bytes than this are never spread: they have work for many tasks as they are.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+    """``df`` over all cores if its scan gives work to fewer than half of them, as a few small files of one row group
+    each do, for a costly Python pass over it. Only a scan of ``limit`` bytes at most is shuffled for that; anything
+    larger is left as it is read, in splits of ``spark.sql.files.maxPartitionBytes``."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if estimated_bytes(df) <= limit and 2 * df.rdd.getNumPartitions() < cores else df

@@ -68,8 +68,8 @@ class Plain:
         return self.block[at - self.block_at :]
 
     def _raw(self, at: int, n: int) -> bytes:
-        self.raw.seek(self.start + at)
-        return self.raw.read(min(n, self.size - at))
+        self.raw.seek(self.start + min(at, self.size))
+        return self.raw.read(max(0, min(n, self.size - at)))
 
     def close(self) -> None:
         self.raw.close()
@@ -236,6 +236,67 @@ def cdx_ranges(path: str) -> list[tuple[str, int, int]]:
         source.close()
 
 
+def list_any(path: str) -> list[tuple[str, int]]:
+    """Path and size of every file below a folder, whatever its name."""
+    path = local(path)
+    system, inner = resolve(path)
+    prefix = path[: -len(inner)] if "://" in path else ""
+    below = system.get_file_info(fs.FileSelector(inner, recursive=True, allow_not_found=True))
+    return sorted((prefix + i.path, i.size) for i in below if i.type == fs.FileType.File)
+
+
+def _per_file(spark, path: str, rows, schema: str):
+    """One row or more for each archive file below ``path``, read on the executors, a file a task."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                found = [(file, *r) for r in rows(file)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
+
+    listed = list_files(path)
+    files = spark.createDataFrame([(f,) for f, _ in listed], "file_path string").repartition(max(1, len(listed)))
+    return files.mapInArrow(run, schema)
+
+
+def member_table(spark, path: str):
+    """The members of every compressed archive below ``path``: ``file_path``, ``compressed_offset``,
+    ``compressed_length``, ``logical_offset``, ``logical_length``; the index by which such files are split."""
+
+    def rows(file: str):
+        if not file.lower().endswith(".gz"):
+            return
+        source = Plain(file)
+        try:
+            yield from member_index(source)
+        finally:
+            source.close()
+
+    return _per_file(spark, path, rows, "file_path string, compressed_offset bigint, compressed_length bigint, logical_offset bigint, logical_length bigint")
+
+
+def cdx_table(spark, path: str):
+    """The lines of the stored CDX indexes of every container below ``path``: ``file_path``, ``url``, ``mime``,
+    ``status``, ``position``, ``record``. Lines of fewer fields are left out; a status that is no number is null."""
+
+    def rows(file: str):
+        for _, start, size in cdx_ranges(file) if file.lower().endswith(".wacz") else ():
+            source = Plain(file, start, size)
+            try:
+                for line in source.read(0, size).decode("utf-8", "replace").splitlines():
+                    x = line.split(" ")
+                    if len(x) > 10 and x[8].isdigit():
+                        yield x[0], x[3], int(x[4]) if x[4].isdigit() else None, int(x[8]), x[10]
+            finally:
+                source.close()
+
+    return _per_file(spark, path, rows, "file_path string, url string, mime string, status bigint, position bigint, record string")
+
+
 def folder_stats(spark, path: str):
     """``files`` and ``total_bytes`` of the archive files below a folder, by a listing alone."""
     from pyspark.sql import functions as F

@@ -7,8 +7,10 @@ accepts it only if the record it announces ends where another begins (or the fil
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
@@ -18,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from archivolt.functions.codec import SIZE_LINE
-from archivolt.sources.files import Inflated, Plain, archives_in, list_files
+from archivolt.sources.files import Inflated, Plain, archives_in, list_files, resolve
 
 SCHEMA = """file_path string, entry string, offset bigint, length bigint, warc_version string, warc_type string, record_id string, target_uri string,
 warc_date timestamp, ip string, warc_headers map<string,string>, http_version string, status int, reason string, http_headers map<string,string>,
@@ -162,12 +164,25 @@ def confirmed(reader, at: int, gap: int | None) -> bool:
     return following is not None
 
 
-def decode(reader, start: int, end: int | None, types: frozenset[str] | None = None, gap: int | None = None) -> Iterator[dict]:
+def record_before(reader, at: int, gap: int | None) -> int:
+    """A record that begins before ``at``, from which the walk forward meets the one that reaches over ``at``."""
+    low = at
+    while low > 0:
+        low = max(0, low - WINDOW)
+        found = find_record(reader, low, at, gap)
+        if found is not None:
+            return found
+    return 0
+
+
+def decode(reader, start: int, end: int | None, types: frozenset[str] | None = None, gap: int | None = None, upto: int | None = None, after: int | None = None) -> Iterator[dict]:
     """The records whose first byte lies in ``[start, end)``. Bytes that belong to no record are skipped and counted
-    on the next row; a record that cannot be read gives a row with ``error``."""
+    on the next row; a record that cannot be read gives a row with ``error``. With ``upto``, of a file that is still
+    written, a record that ends behind it is left for later; with ``after``, the record that reaches over that offset
+    comes first and those that end before it are left out."""
     if gap is None:
         gap = learn_gap(reader) if not isinstance(reader, Inflated) else 4
-    at, skipped = start, 0
+    at, skipped = start if after is None else record_before(reader, after, gap), 0
     if not is_record(reader, at) or (start and not confirmed(reader, at, gap)):
         found = find_record(reader, at, end, gap)
         if found is None:
@@ -177,6 +192,8 @@ def decode(reader, start: int, end: int | None, types: frozenset[str] | None = N
     while at is not None and (end is None or at < end):
         bounds = content_bounds(reader, at)
         if bounds is None:
+            if upto is not None:
+                return
             yield {"offset": at, "skipped_bytes": skipped, "error": "the record's header has no end"}
             return
         headers, version, body, stop = bounds
@@ -190,12 +207,14 @@ def decode(reader, start: int, end: int | None, types: frozenset[str] | None = N
         elif stop is None:
             row["error"] = "no Content-Length"
         row["length"] = stop - at if stop is not None else None
+        if upto is not None and (stop if stop is not None else body) > upto:
+            return
         if stop is not None and len(reader.read(stop - 1, 1)) == 0 and stop > body:
             row["error"] = row.get("error") or "the record is cut off"
         if isinstance(reader, Inflated):
             member, logical = reader.member_at(at)
             row |= {"member_offset": member, "offset_in_member": row.get("payload_offset", at) - logical}
-        if types is None or row["warc_type"] in types:
+        if (types is None or row["warc_type"] in types) and (after is None or (stop if stop is not None else body) > after):
             yield row
         skipped = 0
         following, _ = next_record(reader, stop, None, gap) if stop is not None else (None, None)
@@ -238,45 +257,65 @@ def learn_gap(reader) -> int:
     return 4
 
 
-def last_boundary(reader, start: int, limit: int) -> int:
-    """The end of the last record that is complete within ``[start, limit)``: a safe offset of a growing file."""
-    at = start
-    gap = learn_gap(reader)
-    while at < limit and is_record(reader, at):
-        bounds = content_bounds(reader, at)
-        if bounds is None or bounds[3] is None or bounds[3] + gap > reader.size:
-            break
-        at = bounds[3] + gap
-    return at
+class Segment(InputPartition):
+    """A stretch ``[start, end)`` of a file, whose first bytes the executor looks at; of a compressed file the logical
+    stretch from the member at ``compressed`` on. ``upto`` and ``after``: see :func:`decode`."""
 
+    def __init__(self, path: str, start: int, end: int | None, compressed: int = 0, upto: int | None = None, after: int | None = None) -> None:
+        self.path, self.start, self.end, self.compressed, self.upto, self.after = path, start, end, compressed, upto, after
+
+
+def _stretches(file: str, begin: int, stop: int, step: int, **more) -> list[Segment]:
+    return [Segment(file, a, min(a + step, stop), after=begin if begin and a == begin else None, **more) for a in range(begin, stop, step)]
 
-class Segment(InputPartition):
-    def __init__(self, path: str, kind: str, entry: str, base: int, size: int, start: int, end: int | None, compressed: int = 0, logical: int = 0) -> None:
-        self.path, self.kind, self.entry, self.base, self.size = path, kind, entry, base, size
-        self.start, self.end, self.compressed, self.logical = start, end, compressed, logical
+
+def _is_gzip_name(file: str) -> bool:
+    return file.lower().endswith(".gz")
+
+
+def member_groups(path: str, step: int) -> dict[str, list[tuple[int, int]]]:
+    """Of a member index in order (JSON lines of file_path, compressed_offset, logical_offset) one member every
+    ``step`` compressed bytes and file: as few as the segments, however many members there are. The index is read once,
+    line by line, from where the archives are shared."""
+    system, inner = resolve(path)
+    groups: dict[str, list[tuple[int, int]]] = {}
+    with system.open_input_stream(inner) as raw, io.TextIOWrapper(io.BufferedReader(_Readable(raw)), "utf-8") as lines:
+        for line in lines:
+            if not line.strip():
+                continue
+            x = json.loads(line)
+            own = groups.setdefault(x["file_path"], [(0, 0)])
+            if x["compressed_offset"] - own[-1][0] >= step:
+                own.append((x["compressed_offset"], x["logical_offset"]))
+    return groups
+
+
+class _Readable(io.RawIOBase):
+    def __init__(self, raw) -> None:
+        self.raw = raw
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        data = self.raw.read(len(target))
+        target[: len(data)] = data
+        return len(data)
 
 
 def plan(path: str, options: dict) -> list[Segment]:
-    """One segment per 64 MiB of a plain file; one per compressed file, or per group of members with an index."""
+    """One segment per 64 MiB of a file; one per compressed file, or per group of members with an index. Only the
+    folder is listed; no file is opened."""
     step = int(options.get("segmentbytes", SEGMENT))
-    index: dict[str, list[tuple[int, int]]] = {}
-    if options.get("memberindex"):
-        with open(options["memberindex"]) as lines:
-            for line in lines:
-                x = json.loads(line)
-                index.setdefault(x["file_path"], []).append((x["compressed_offset"], x["logical_offset"]))
+    groups = member_groups(options["memberindex"], step) if options.get("memberindex") else {}
     out = []
-    for file, _size in list_files(path):
-        for kind, base, size, entry in archives_in(file):
-            if kind == "plain":
-                out += [Segment(file, kind, entry, base, size, a, min(a + step, size)) for a in range(0, size, step)] if size else []
-                continue
-            groups = [(0, 0)]
-            for compressed, logical in sorted(index.get(file, [])):
-                if compressed - groups[-1][0] >= step:
-                    groups.append((compressed, logical))
-            ends = [g[1] for g in groups[1:]] + [None]
-            out += [Segment(file, kind, entry, base, size, logical, end, compressed, logical) for (compressed, logical), end in zip(groups, ends, strict=True)]
+    for file, size in list_files(path):
+        if not _is_gzip_name(file):
+            out += _stretches(file, 0, size, step)
+            continue
+        own = groups.get(file, [(0, 0)])
+        ends = [g[1] for g in own[1:]] + [None]
+        out += [Segment(file, logical, end, compressed) for (compressed, logical), end in zip(own, ends, strict=True)]
     return out
 
 
@@ -284,18 +323,42 @@ _NAMES = [x.strip().split()[0] for x in re.sub(r"<[^>]*>", "", SCHEMA).split(","
 
 
 def read_segment(s: Segment, types: frozenset[str] | None) -> Iterator[tuple]:
-    reader = Plain(s.path, s.base, s.size)
-    source = Inflated(reader, s.compressed, s.logical) if s.kind == "gzip" else reader
+    """The rows of a segment. What the file is, its first bytes tell, not its name: a stretch of a plain file or entry
+    gives the records that begin in it, a compressed file or entry belongs to the stretch in which it begins."""
+
+    def broken(error: Exception) -> tuple:
+        return tuple({"file_path": s.path, "offset": s.start, "error": f"{type(error).__name__}: {error}"}.get(c) for c in _NAMES)
+
+    try:
+        archives = archives_in(s.path)
+    except (OSError, ValueError, struct.error) as error:
+        if s.start == 0:
+            yield broken(error)
+        return
+    for kind, base, size, entry in archives:
+        if kind == "gzip":
+            if _is_gzip_name(s.path) or s.start <= base < (s.end or 0):
+                whole = not _is_gzip_name(s.path)
+                yield from _rows(s, kind, base, size, entry, 0 if whole else s.start, None if whole else s.end, types, broken)
+        elif s.end is None or (s.start < base + size and s.end > base):
+            end = size if s.end is None else min(s.end - base, size)
+            yield from _rows(s, kind, base, size, entry, max(s.start - base, 0), end, types, broken)
+
+
+def _rows(s: Segment, kind: str, base: int, size: int, entry: str, start: int, end: int | None, types: frozenset[str] | None, broken) -> Iterator[tuple]:
+    reader = Plain(s.path, base, size)
+    source = Inflated(reader, s.compressed, start) if kind == "gzip" else reader
+    growing = kind == "plain" and not base
     try:
-        for row in decode(source, s.start, s.end, types):
-            row |= {"file_path": s.path, "entry": s.entry or None}
+        for row in decode(source, start, end, types, None, s.upto if growing else None, s.after if growing else None):
+            row |= {"file_path": s.path, "entry": entry or None}
             if row.get("member_offset") is not None:
-                row["member_offset"] += s.base
-            elif s.base:
-                row["payload_offset"] = row["payload_offset"] + s.base if row.get("payload_offset") is not None else None
+                row["member_offset"] += base
+            elif base:
+                row["payload_offset"] = row["payload_offset"] + base if row.get("payload_offset") is not None else None
             yield tuple(row.get(c) for c in _NAMES)
     except (OSError, ValueError, zlib.error) as error:  # one broken file does not fail the job
-        yield tuple({"file_path": s.path, "entry": s.entry or None, "offset": s.start, "error": f"{type(error).__name__}: {error}"}.get(c) for c in _NAMES)
+        yield broken(error)
     finally:
         source.close()
 
@@ -314,12 +377,15 @@ class WarcReader(DataSourceReader):
 
 class WarcStreamReader(DataSourceStreamReader):
     """New records of a folder whose plain files grow and whose compressed files arrive whole. The offset maps each
-    file to the byte behind its last complete record; ``maxBytesPerTrigger`` bounds a batch."""
+    file to the byte up to which it has been taken, by its size alone; ``maxBytesPerTrigger`` bounds a batch. A record
+    belongs to the batch in which it ends, so one that is half written waits, and the next batch's executors look for
+    its beginning. No file is opened on the driver. ``resumeFrom`` is the offset at which a restarted query stopped, for
+    a source is not told; without it a budget would count from the beginning again."""
 
     def __init__(self, options: dict) -> None:
         self.options = options
         self.types = frozenset(x.strip().lower() for x in options["types"].split(",")) if options.get("types") else None
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, int] = json.loads(json.loads(options.get("resumefrom") or '{"files": "{}"}')["files"])
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
@@ -331,12 +397,7 @@ class WarcStreamReader(DataSourceStreamReader):
             done = offsets.get(file, 0)
             if size <= done or budget <= 0:
                 continue
-            reader = Plain(file)
-            try:
-                plain = archives_in(file)[0][0] == "plain" and reader.read(0, 4) != b"PK\x03\x04"
-                upto = last_boundary(reader, done, min(size, done + budget)) if plain else size
-            finally:
-                reader.close()
+            upto = min(size, done + budget) if file.lower().endswith(".warc") else size
             budget -= upto - done
             offsets[file] = upto
         self.seen = offsets
@@ -350,13 +411,12 @@ class WarcStreamReader(DataSourceStreamReader):
             begin = before.get(file, 0)
             if stop <= begin:
                 continue
-            for kind, base, size, entry in archives_in(file):
-                if kind == "plain" and not base:
-                    out += [Segment(file, kind, entry, 0, stop, a, min(a + step, stop)) for a in range(begin, stop, step)]
-                elif kind == "plain":
-                    out += [Segment(file, kind, entry, base, size, a, min(a + step, size)) for a in range(0, size, step)]
-                else:
-                    out.append(Segment(file, kind, entry, base, size, 0, None))
+            if file.lower().endswith(".warc"):
+                out += _stretches(file, begin, stop, step, upto=stop)
+            elif _is_gzip_name(file):
+                out.append(Segment(file, 0, None))
+            else:
+                out += _stretches(file, 0, stop, step)
         return out
 
     def read(self, partition: Segment) -> Iterator[tuple]:
@@ -368,7 +428,7 @@ class WarcStreamReader(DataSourceStreamReader):
 
 class WarcDataSource(DataSource):
     """``spark.read.format("warc").load(path)``. Options: ``types`` (comma-separated record types), ``segmentBytes``,
-    ``memberIndex`` (JSON lines of file_path, compressed_offset, logical_offset), ``maxBytesPerTrigger``."""
+    ``memberIndex`` (see :func:`member_groups`), ``maxBytesPerTrigger``."""
 
     @classmethod
     def name(cls) -> str:

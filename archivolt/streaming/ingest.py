@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from archivolt.functions import native as N
 from archivolt.operators import ingest
 from archivolt.sources import warc
+from archivolt.sources.warc import GAPS
 
 
 def http_date(text: Column) -> Column:
@@ -39,16 +40,51 @@ def ingest_batch(captures: DataFrame, batch_id: int, folder: str) -> None:
         ingest.write_batch(rows, folder)
         broken = captures.where("error is not null").select("file_path", "offset", F.col("error").alias("reason"))
         refused = ingest.invalid_rows(rows).select("file_path", F.col("payload_byte_offset").alias("offset"), "reason")
+        taken = captures.where("length is not null").groupBy("file_path").agg(F.max(F.col("offset") + F.col("length")).alias("byte_offset"), F.count("*").alias("records"))
+        taken.write.mode("overwrite").parquet(f"{folder}/file_progress/batch={batch_id}")
         broken.unionByName(refused).write.mode("overwrite").json(f"{folder}/quarantine/batch={batch_id}")
     finally:
         captures.unpersist()
 
 
+def file_progress(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """``file_path``, ``status``, ``byte_offset``, ``file_size`` and ``records`` of every archive file of ``source``, by
+    what the batches so far have written down: ``pending`` before the first record, ``parsing`` while bytes are left,
+    ``parsed`` at the file's end (but for the line ends that close its last record). A batch that came again counts
+    once. A compressed file is parsed once any of its records is, for it is taken whole."""
+    from archivolt.sources.files import list_files
+
+    sizes = spark.createDataFrame(list_files(source), "file_path string, file_size bigint")
+    done = spark.read.parquet(f"{folder}/file_progress").groupBy("file_path").agg(F.max("byte_offset").alias("byte_offset"), F.sum("records").alias("records"))
+    both = sizes.join(done, "file_path", "left")
+    whole = ~F.lower("file_path").endswith(".warc") & F.col("records").isNotNull()
+    at_end = whole | (F.col("byte_offset") + max(GAPS) >= F.col("file_size"))
+    status = F.when(F.col("records").isNull(), "pending").when(at_end, "parsed").otherwise("parsing")
+    return both.select("file_path", status.alias("status"), F.when(at_end, F.col("file_size")).otherwise(F.coalesce("byte_offset", F.lit(0))).alias("byte_offset"), "file_size", F.coalesce("records", F.lit(0)).alias("records"))
+
+
+def last_offset(spark: SparkSession, checkpoint: str) -> str | None:
+    """The source's offset in the newest entry of a query's log; None before the first."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    numbers = [int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit()]
+    if not numbers:
+        return None
+    rows = spark.read.text(f"{checkpoint}/offsets/{max(numbers)}").collect()  # three short lines
+    return next((r["value"] for r in rows if r["value"].startswith('{"files"')), None)
+
+
 def start_ingest(spark: SparkSession, source: str, folder: str, checkpoint: str, available_now: bool = False, max_bytes: int | None = None) -> StreamingQuery:
-    """Start the ingest of ``source`` into ``folder``; it resumes from ``checkpoint``."""
+    """Start the ingest of ``source`` into ``folder``; it resumes from ``checkpoint``. With ``available_now`` one batch
+    is taken, of what is there or of ``max_bytes`` of it."""
     warc.register(spark)
     reader = spark.readStream.format("warc").option("path", source)
     if max_bytes:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
+    if resume := last_offset(spark, checkpoint):
+        reader = reader.option("resumeFrom", resume)
     writer = reader.load().writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: ingest_batch(df, n, folder))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()

@@ -172,6 +172,48 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     assert got.count() == got.select("warc_custom_id").distinct().count() == 20
 
 
+def test_every_record_of_a_growing_file_comes_once(tmp_path):
+    parts = warcs.records(12)
+    data = b"".join(parts)
+    whole = [r["offset"] for r in warc.decode(warc.Plain(warcs.write(tmp_path / "w.warc", parts)), 0, None)]
+    path = tmp_path / "g.warc"
+    for step in (37, 400, 1111, 5000):
+        got, done = [], 0
+        for stop in [*range(step, len(data), step), len(data)]:
+            path.write_bytes(data[:stop])
+            for s in warc._stretches(str(path), done, stop, 700, upto=stop):
+                got += [dict(zip(warc._NAMES, r, strict=True)) for r in warc.read_segment(s, None)]
+            done = stop
+        assert [r["offset"] for r in got] == whole and not any(r["error"] for r in got), step
+
+
+def test_budgets_go_on_after_a_restart(spark, tmp_path):
+    from archivolt.streaming import ingest
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    warcs.write(folder / "a.warc", warcs.records(15))
+    warcs.write_gz(folder / "b.warc.gz", warcs.records(5))
+    size = (folder / "a.warc").stat().st_size
+    for n in range(5):
+        ingest.start_ingest(spark, str(folder), str(out), str(tmp_path / "log"), available_now=True, max_bytes=size // 3).awaitTermination()
+        if n == 0:
+            assert {r["status"] for r in ingest.file_progress(spark, str(out), str(folder)).collect()} == {"parsing", "pending"}
+    got = spark.read.parquet(str(out / "records"))
+    assert got.count() == got.select("warc_custom_id").distinct().count() == 20
+    assert {(r["status"], r["byte_offset"] == r["file_size"]) for r in ingest.file_progress(spark, str(out), str(folder)).collect()} == {("parsed", True)}
+
+
+def test_the_first_bytes_tell_what_a_file_is(spark, tmp_path):
+    warc.register(spark)
+    parts = warcs.records(6)
+    warcs.write_gz(tmp_path / "a.warc", parts)
+    warcs.write(tmp_path / "b.warc.gz", parts)
+    n = len(list(warc.decode(warc.Plain(warcs.write(tmp_path / "c.warc", parts)), 0, None)))
+    counts = spark.read.format("warc").option("segmentBytes", 900).load(str(tmp_path)).groupBy("file_path").count().collect()
+    assert {r["count"] for r in counts} == {n} and len(counts) == 3
+
+
 def test_dechunk_at_every_window():
     from archivolt.functions.codec import dechunk_stream
 
