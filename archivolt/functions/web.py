@@ -201,10 +201,11 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[3][1:-1] if m[3][0] in "\"'" else m[3] for m in _ATTRIBUTE.finditer(text)}
 
 
-def rewrite_html(document: str, resolve: Resolve, guard: str = "", base: bool = True) -> str:
+def rewrite_html(document: str, resolve: Resolve, guard: str = "", base: bool = True, scripts: bool = False) -> str:
     """Links, sources, srcsets, inline styles, style sheets and refreshes of a document go through ``resolve``, which
     gets each URL as it is written. ``guard`` is put behind the head tag, else behind the html tag, else in front.
-    A ``base`` element is dropped, since the addresses no longer hang on it."""
+    A ``base`` element is dropped, since the addresses no longer hang on it. ``scripts``: navigation inside scripts is
+    led to the archive, too."""
 
     def tag(name: str, text: str) -> str:
         held = _attributes(text)
@@ -246,7 +247,7 @@ def rewrite_html(document: str, resolve: Resolve, guard: str = "", base: bool =
             end = _RAW_TEXT[name].search(document, at)
             stop = end.start() if end else len(document)
             inner = document[at:stop]
-            out.append(rewrite_css(inner, resolve) if name == "style" else inner)
+            out.append(rewrite_css(inner, resolve) if name == "style" else rewrite_navigation(inner) if name == "script" and scripts else inner)
             at = stop
     out.append(document[at:])
     text = "".join(out)
@@ -256,11 +257,17 @@ def rewrite_html(document: str, resolve: Resolve, guard: str = "", base: bool =
     return text
 
 
+#: Objects whose ``location`` is a page's own.
+_WINDOWS = r"(?:(?:window|document|self|top|parent|globalThis)\s*\.\s*)"
+_LOCATION_CALL = re.compile(rf"(?<![\w$.]){_WINDOWS}*location\s*\.\s*(assign|replace|reload)\s*\(")
+_LOCATION_SET = re.compile(rf"(?<![\w$.])(?:{_WINDOWS}+location|{_WINDOWS}*location\s*\.\s*href)\s*=(?!=)\s*([^;\n]+)")
+
+
 def rewrite_navigation(script: str) -> str:
-    """Assignments to and calls on the page's location are turned into calls of the archive's own navigation."""
-    script = re.sub(r"\b(?:window\.|document\.|self\.|top\.)?location\.(?:assign|replace)\s*\(", "window.__archiveNavigate(", script)
-    script = re.sub(r"\b(?:window\.|document\.|self\.|top\.)location\s*=(?!=)\s*([^;\n]+)", r"window.__archiveNavigate(\1)", script)
-    return re.sub(r"\b(?:window\.|document\.|self\.|top\.)?location\.href\s*=(?!=)\s*([^;\n]+)", r"window.__archiveNavigate(\1)", script)
+    """Assignments to and calls on the page's location are turned into calls of the archive's own navigation; a reload
+    leads nowhere."""
+    script = _LOCATION_CALL.sub(lambda m: "void (" if m[1] == "reload" else "window.__archiveNavigate(", script)
+    return _LOCATION_SET.sub(r"window.__archiveNavigate(\1)", script)
 
 
 #: A script that keeps clicks and submissions of an archived page inside the archive's frame.
@@ -353,6 +360,14 @@ def html_rewritten(api: str):
     return _strings(lambda text, uri, date: rewrite_html(text, lambda raw: archived_href(raw, uri, date, api)))
 
 
+def html_viewed(api: str):
+    """:func:`html_rewritten` for a viewer's frame: with the navigation guard, and scripts that cannot leave it."""
+    return _strings(lambda text, uri, date: rewrite_html(text, lambda raw: archived_href(raw, uri, date, api), NAVIGATION_GUARD, scripts=True))
+
+
+navigation_rewritten = _strings(lambda text: rewrite_navigation(text))
+
+
 def css_rewritten(api: str):
     return _strings(lambda text, uri, date: rewrite_css(text, lambda raw: archived_href(raw, uri, date, api)))
 

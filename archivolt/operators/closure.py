@@ -63,12 +63,13 @@ def merged_entries(entries: DataFrame) -> DataFrame:
 
 
 def assigned_paths(entries: DataFrame) -> DataFrame:
-    """``id`` and ``path`` for entries (id, url, content_type, status, archive, uuid): paths that meet in any letter
-    case are all told apart by archive and record, but a single 2xx capture keeps its name over redirects."""
+    """``id`` and ``path`` for entries (id, url, content_type, status, archive, uuid; optional: export_id): paths that
+    meet in any letter case within an export are all told apart by archive and record, but a single 2xx capture keeps
+    its name over redirects. Peers are the entries of one path, so the window is as small as they are few."""
     from pyspark.sql import Window
 
     named = entries.withColumn("_path", paths.zip_path("url", "content_type"))
-    peers = Window.partitionBy(F.lower("_path"))
+    peers = Window.partitionBy(*(["export_id"] if "export_id" in entries.columns else []), F.lower("_path"))
     sound = F.col("status").between(200, 299)
     marked = named.withColumn("_n", F.count("*").over(peers)).withColumn("_sound", F.sum(sound.cast("int")).over(peers))
     keeps = (F.col("_n") == 1) | (sound & (F.col("_sound") == 1))

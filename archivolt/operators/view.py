@@ -13,13 +13,17 @@ from archivolt.operators import closure, export
 
 
 def viewed(captures: DataFrame, api: str) -> DataFrame:
-    """``id``, ``content_type``, ``body`` (binary): HTML and CSS with their links led into the archive, anything else
-    as it is. ``captures``: id, uri, archived_date, content_type, body (binary). A null body stays null."""
+    """``id``, ``content_type``, ``body`` (binary) as a viewer's frame shows them: HTML with the navigation guard, HTML
+    and CSS with their links led into the archive, scripts that cannot leave the frame, anything else as it is.
+    ``captures``: id, uri, archived_date, content_type, body (binary). A null body stays null."""
     kind = N.document_kind("content_type")
     text, date = F.decode("body", "UTF-8"), F.date_format("archived_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    served = F.when(kind == "html", F.encode(web.html_rewritten(api)(text, "uri", date), "UTF-8")).when(kind == "css", F.encode(web.css_rewritten(api)(text, "uri", date), "UTF-8")).otherwise(F.col("body"))
-    documents = captures.where(kind.isin("html", "css")).select("id", "content_type", served.alias("body"))
-    others = captures.where(~kind.isin("html", "css")).select("id", "content_type", "body")
+    served = (
+        F.when(kind == "html", F.encode(web.html_viewed(api)(text, "uri", date), "UTF-8")).when(kind == "css", F.encode(web.css_rewritten(api)(text, "uri", date), "UTF-8"))
+        .when(kind == "js", F.encode(web.navigation_rewritten(text), "UTF-8")).otherwise(F.col("body"))
+    )
+    documents = captures.where(kind.isin("html", "css", "js")).select("id", "content_type", served.alias("body"))
+    others = captures.where(~kind.isin("html", "css", "js")).select("id", "content_type", "body")
     return documents.unionByName(others)
 
 
@@ -66,21 +70,69 @@ def _localised(text: pd.Series, kind: pd.Series, uri: pd.Series, path: pd.Series
     return pd.Series(out, dtype=object)
 
 
+_stubbed = web._strings(lambda target, path: web.redirect_stub(web.relative_path(path, target)))
+
+
 def bundle(entries: DataFrame) -> DataFrame:
     """``path`` and ``body`` of an offline bundle of entries (id, url, content_type, status, archive, uuid, body as
-    text): every document's references to other entries lead to their paths, all others to their absolute URLs; a
-    redirect becomes a page that leads on."""
-    paths = closure.assigned_paths(entries)
-    named = entries.join(paths, "id")
+    text; optional: export_id, location, digest). Every document's references to other entries lead to their paths,
+    all others to their absolute URLs.
+
+    Entries of one ``digest`` and content type are stored once, under the path of the smallest id, to which the
+    references to all of them lead; a null digest is shared with none. An entry with a 3xx status whose ``location`` is
+    in the bundle becomes a page that leads on to it, whatever its body. ``export_id`` keeps several bundles apart and
+    is carried along.
+    """
+    given = {c: F.lit(None).cast(t) for c, t in (("export_id", "string"), ("location", "string"), ("digest", "string")) if c not in entries.columns}
+    entries = entries.withColumns(given) if given else entries
+    entries = entries.withColumn("target", F.substring_index(F.when(F.col("status").between(300, 399), N.resolve_location("location", "url")), "#", 1))
+    leads = F.col("target").isNotNull()
+    kept = entries.groupBy("export_id", F.when(leads, None).otherwise(F.col("digest")).alias("digest"), "content_type").agg(F.min("id").alias("kept_id")).where("digest is not null")
+    merged = entries.alias("e").join(kept.alias("k"), F.col("e.export_id").eqNullSafe(F.col("k.export_id")) & (F.col("e.digest") == F.col("k.digest")) & F.col("e.content_type").eqNullSafe(F.col("k.content_type")) & F.col("e.target").isNull(), "left")
+    merged = merged.select("e.*", F.coalesce("k.kept_id", "e.id").alias("kept_id"))
+    placed = closure.assigned_paths(merged.where("id = kept_id"))
+    named = merged.join(placed.withColumnRenamed("id", "kept_id"), "kept_id")
+    whereabouts = named.select(F.col("export_id").alias("x"), F.col("url").alias("there"), F.col("path").alias("target_path")).distinct()
+    own = named.where("id = kept_id").join(whereabouts, F.col("export_id").eqNullSafe(F.col("x")) & (F.col("target") == F.col("there")), "left").drop("x", "there")
+    own = own.withColumn("stub", F.when(F.col("target_path").isNotNull(), _stubbed("target_path", "path")))
     kind = N.document_kind("content_type")
-    refs = named.where(kind.isin("html", "css") & F.col("body").isNotNull()).select(F.col("id"), F.explode(web.extracted_references("body", kind, "url")).alias("r")).select("id", F.col("r.url").alias("url")).distinct()
-    anchors = named.where((kind == "html") & F.col("body").isNotNull()).select("id", F.col("url").alias("base"), F.explode(F.regexp_extract_all("body", F.lit(r"(?i)<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))).alias("raw"))
-    anchors = anchors.select("id", F.substring_index(web.absolute_url("raw", "base"), "#", 1).alias("url")).distinct()
-    targets = refs.unionByName(anchors).distinct().join(named.select("url", F.col("path").alias("target")), "url").groupBy("id").agg(F.collect_list(F.struct("url", "target")).alias("targets"))
-    return named.join(targets, "id", "left").select("path", _localised("body", kind, "url", "path", "targets").alias("body"))
+    documents = own.where(F.col("stub").isNull() & F.col("body").isNotNull())
+    refs = documents.where(kind.isin("html", "css")).select("id", "export_id", F.explode(web.extracted_references("body", kind, "url")).alias("r")).select("id", "export_id", F.col("r.url").alias("url"))
+    anchors = documents.where(kind == "html").select("id", "export_id", F.col("url").alias("base"), F.explode(F.regexp_extract_all("body", F.lit(r"(?i)<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))).alias("raw"))
+    anchors = anchors.select("id", "export_id", F.substring_index(web.absolute_url("raw", "base"), "#", 1).alias("url"))
+    wanted = refs.unionByName(anchors).distinct().join(whereabouts, F.col("export_id").eqNullSafe(F.col("x")) & (F.col("url") == F.col("there")))
+    targets = wanted.groupBy("id").agg(F.collect_set(F.struct(F.col("there").alias("url"), F.col("target_path").alias("target"))).alias("targets"))
+    body = F.when(F.col("stub").isNotNull(), F.col("stub")).otherwise(_localised("body", kind, "url", "path", "targets"))
+    return own.join(targets, "id", "left").select("export_id", "path", body.alias("body"))
 
 
-def write_bundle(bundled: DataFrame, path: str) -> list[dict]:
-    """The bundle as one stored zip archive, entry by entry as they arrive from the executors."""
-    rows = bundled.where("body is not null").orderBy("path").toLocalIterator()
-    return export.write_stored_zip(path, ((r["path"], r["body"].encode("utf-8", "surrogatepass")) for r in rows))
+#: Fixed value: the name of the last entry of a bundle, which lists the others.
+MANIFEST = "manifest.json"
+WRITTEN = "export_id string, file string, entries bigint, duplicates bigint, bytes bigint"
+
+
+def write_bundles(bundled: DataFrame, folder: str) -> DataFrame:
+    """One stored zip archive for each ``export_id`` (null: ``bundle``) below ``folder``, written by the executors where
+    it is to lie, and one ledger row for each: ``export_id``, ``file``, ``entries``, ``duplicates``, ``bytes``.
+
+    An archive is one file and so one task's work; its entries come sorted, spilled if need be, and pass one by one.
+    Of entries of one path the first is stored. Null bodies are left out, but listed. The manifest comes last. A task
+    that breaks off leaves only a ``.part`` file, and one that is run again writes it anew.
+    """
+    rows = bundled.select(F.coalesce("export_id", F.lit("bundle")).alias("export_id"), "path", F.encode("body", "UTF-8").alias("body"))
+
+    def run(batches):
+        from archivolt.operators.export import ArchiveFile
+
+        open_, name = None, None
+        for batch in batches:
+            for export_id, path, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if export_id != name:
+                    if open_ is not None:
+                        yield open_.finished()
+                    open_, name = ArchiveFile(folder, export_id), export_id
+                open_.add(path, body)
+        if open_ is not None:
+            yield open_.finished()
+
+    return rows.repartition("export_id").sortWithinPartitions("export_id", "path", F.col("body").asc_nulls_last()).mapInArrow(run, WRITTEN)

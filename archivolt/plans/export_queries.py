@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions import native as N
 from archivolt.functions import paths
 from archivolt.operators import closure, export, view
-from archivolt.plans.runtime import table
+from archivolt.plans.runtime import checkpoint_dir, cut, table
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +55,21 @@ def offline_bundle(spark: SparkSession, d: str) -> DataFrame:
     return view.bundle(_pages(spark, d).where("url is not null")).select("path", F.octet_length("body").alias("n_bytes"))
 
 
-_NAMES = "payload_crc entry_paths path_hashes path_assignment path_collisions merged_entries json_headers offline_bundle"
+def written_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """One archive for each content type, written by the executors: its entries, and what a reader finds in it."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/bundles-{uuid.uuid4().hex}"
+    entries = _pages(spark, d).where("url is not null").withColumn("export_id", F.coalesce("content_type", F.lit("none")))
+    written = cut(view.write_bundles(view.bundle(entries), folder))
+    return written.select("export_id", F.col("entries").alias("n"), "duplicates", (F.col("bytes") > 0).alias("sound"))
+
+
+def merged_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a bundle that stores equal digests once, per content type."""
+    entries = _pages(spark, d).where("url is not null").withColumnRenamed("payload_digest", "digest")
+    return view.bundle(entries.withColumn("export_id", F.coalesce("content_type", F.lit("none")))).groupBy("export_id").agg(F.count("*").alias("entries"), F.count("body").alias("bodies"))
+
+
+_NAMES = "payload_crc entry_paths path_hashes path_assignment path_collisions merged_entries json_headers offline_bundle written_bundles merged_bundle"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _CRC_TABLE = "(select list(v order by n) from (select n, list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) v from range(256) t(n)))"
@@ -105,6 +121,8 @@ select id, array_to_string([root] || segs[1:len(segs) - 1] || [{_stem('file')} |
     "path_assignment": f"{_PAGES}, {_ZIP}, {_RECORD} select id, case when n = 1 or status between 200 and 299 and sound = 1 then path when length(long) <= 180 then long when length(dir || short) <= 180 then dir || short else coalesce(nullif(split_part(dir, '/', 1), ''), '_nohost') || '/_deep/' || {_FNV.format('path')} || '/' || short end path from cut_down",
     "path_collisions": "select id, path, count(*) over (partition by lower(path)) > 1 collides from (select id, regexp_replace(uri, '(?s)[?#].*$', '') path from uris)",
     "merged_entries": "select min(view_id) entry_id, any_value(payload_digest) digest, content_type, cast(count(distinct url) as integer) n_urls, array_to_string(list_sort(list(distinct url)), ' ') urls from view_record where url is not null group by coalesce(payload_digest, 'id:' || view_id), content_type",
+    "written_bundles": "select coalesce(content_type, 'none') export_id, count(payload) n, 0 duplicates, true sound from view_record where url is not null group by 1",
+    "merged_bundle": "select coalesce(content_type, 'none') export_id, count(*) entries, count(payload) bodies from (select * from view_record where url is not null qualify row_number() over (partition by coalesce(payload_digest, 'id:' || view_id), content_type order by view_id) = 1) group by 1",
     "json_headers": """select view_id, cast(case when payload is null then 0 when not json_valid(payload) or json_type(payload) <> 'OBJECT' then 1 else len(json_keys(payload)) end as integer) members from view_record
 where lower(trim(split_part(coalesce(content_type, ''), ';', 1), ' ')) not in ('text/html', 'application/xhtml+xml', 'text/css', 'text/javascript', 'application/javascript', 'application/x-javascript', 'application/ecmascript')""",
 }

@@ -163,4 +163,6 @@ def test_paths_are_told_apart_by_record(spark):
 
 
 def test_navigation_rewrite():
+    assert web.rewrite_navigation("parent.location='/a'; globalThis.location.replace('/b'); location.reload(); my.location = 1; var location = 2; x.location.href = 3") == "window.__archiveNavigate('/a'); window.__archiveNavigate('/b'); void (); my.location = 1; var location = 2; x.location.href = 3"
+    assert web.rewrite_html("<script>location.href='/a';</script>", lambda u: u, scripts=True) == "<script>window.__archiveNavigate('/a');</script>"
     assert web.rewrite_navigation("window.location = '/a'; location.href='/b'; location.replace('/c'); if (location == 1) {}") == "window.__archiveNavigate('/a'); window.__archiveNavigate('/b'); window.__archiveNavigate('/c'); if (location == 1) {}"

@@ -1,5 +1,6 @@
 """Views, ledgers and offline bundles."""
 
+import json
 import zipfile
 from datetime import datetime
 
@@ -16,7 +17,7 @@ def test_views_rewrite_documents_only(spark):
     rows = [(1, "https://a.test/", BASE, "text/html", bytearray(b"<a href='/b'>")), (2, "https://a.test/s.css", BASE, "TEXT/css; x", bytearray(b"url(i.png)")), (3, "https://a.test/i.png", BASE, "image/png", bytearray(b"\xff\x00url(x)")), (4, None, BASE, None, None)]
     df = spark.createDataFrame(rows, "id bigint, uri string, archived_date timestamp, content_type string, body binary")
     got = {r["id"]: r["body"] for r in view.viewed(df, "https://archive.test/view").collect()}
-    assert b"uri=https%3A%2F%2Fa.test%2Fb" in got[1] and b"uri=https%3A%2F%2Fa.test%2Fi.png" in got[2] and bytes(got[3]) == b"\xff\x00url(x)" and got.get(4) is None
+    assert b"__archiveGuarded" in got[1] and b"uri=https%3A%2F%2Fa.test%2Fb" in got[1] and b"uri=https%3A%2F%2Fa.test%2Fi.png" in got[2] and bytes(got[3]) == b"\xff\x00url(x)" and got.get(4) is None
     parts = {r["id"]: (r["status"], r["part"]) for r in view.ranged(df.select("id", "body").where("id = 3"), "bytes=1-3").collect()}
     assert parts == {3: (206, b"\x00ur")}
 
@@ -44,9 +45,26 @@ def test_bundle_links_what_it_holds(spark, tmp_path):
     index = got["a.test/index.html"]
     other = next(p for p in got if p.startswith("a.test/b"))
     assert 'href="s.css"' in index and f"href='{other.split('/', 1)[1]}#t'" in index and 'href="https://a.test/lost"' in index
-    assert [x["status"] for x in view.write_bundle(bundled, str(tmp_path / "b.zip"))] == ["stored"] * 3
-    with zipfile.ZipFile(tmp_path / "b.zip") as z:
-        assert z.testzip() is None and z.namelist() == sorted(z.namelist())
+    ledger = view.write_bundles(bundled, f"file://{tmp_path}/out").collect()
+    assert [(r["export_id"], r["entries"], r["duplicates"]) for r in ledger] == [("bundle", 3, 0)]
+    with zipfile.ZipFile(tmp_path / "out" / "bundle.zip") as z:
+        assert z.testzip() is None and z.namelist()[-1] == "manifest.json" and z.namelist()[:-1] == sorted(z.namelist()[:-1])
+        assert z.read("a.test/s.css").decode() == got["a.test/s.css"] and ledger[0]["bytes"] == (tmp_path / "out" / "bundle.zip").stat().st_size
+        assert {x["status"] for x in json.loads(z.read("manifest.json"))} == {"stored", "no-payload"}
+
+
+def test_redirects_lead_on_and_equal_bodies_are_stored_once(spark):
+    rows = [
+        (1, "x", "https://a.test/", "text/html", 200, "<img src=/i.png><img src=/j.png><a href=/old>o</a>", None, "d1"),
+        (2, "x", "https://a.test/i.png", "image/png", 200, "png", None, "d2"), (3, "x", "https://a.test/j.png", "image/png", 200, "png", None, "d2"),
+        (4, "x", "https://a.test/old", "text/html", 301, "moved", "/", None), (5, "x", "https://a.test/gone", "text/html", 302, "left", "https://b.test/", None),
+        (6, "y", "https://a.test/j.png", "image/png", 200, "png", None, "d2"), (7, None, "https://a.test/k.png", "image/png", 200, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r[:5], "f.warc", f"u{r[0]}", *r[5:]) for r in rows], "id bigint, export_id string, url string, content_type string, status int, archive string, uuid string, body string, location string, digest string")
+    got = {(r["export_id"], r["path"]): r["body"] for r in view.bundle(df).collect()}
+    assert set(got) == {("x", "a.test/index.html"), ("x", "a.test/i.png"), ("x", "a.test/old.html"), ("x", "a.test/gone.html"), ("y", "a.test/j.png"), (None, "a.test/k.png")}
+    assert got["x", "a.test/index.html"].count('src="i.png"') == 2 and "url=index.html" in got["x", "a.test/old.html"] and got["x", "a.test/gone.html"] == "left"
+    assert view.bundle(df.limit(0)).collect() == []
 
 
 def test_small_pieces(spark, tmp_path):
