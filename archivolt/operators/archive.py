@@ -311,3 +311,21 @@ def nearest(requests: DataFrame, captures: DataFrame, keys: list[str], tie: str
     gap = lambda c: F.abs(F.unix_micros(F.col(c)["archived_date"]) - F.unix_micros("t"))
     pick = F.when(F.col("behind").isNull() | (gap("before") <= gap("behind")), F.col("before")).otherwise(F.col("behind"))
     return both.withColumn("pick", pick).where("pick is not null").select("request.*", "uri", F.col("t").alias("moment"), "pick.*")
+
+
+def record_payloads(star: dict[str, DataFrame]) -> DataFrame:
+    """The flat view of records over the tables that :func:`ingest.star` makes: each record with its URI, file,
+    address and payload place; what a record has not is null."""
+    named = lambda name, own, *columns: small(star[name].select(F.col("id").alias(own), *columns))
+    places = star["payloads"].select(F.col("id").alias("payload_id"), "byte_offset", "byte_length", "chunks")
+    rows = star["records"].join(star["uris"].select(F.col("id").alias("uri_id"), "uri", "recursion_level"), "uri_id", "left").join(places, "payload_id", "left")
+    return rows.join(named("warc_files", "warc_file_id", "file_path"), "warc_file_id", "left").join(named("ips", "ip_id", "ip"), "ip_id", "left")
+
+
+def payloads_of(star: dict[str, DataFrame], warc_custom_ids: list[str]) -> DataFrame:
+    """:func:`record_payloads` of a list of ids with each id's place in the list as ``ordinal``; unknown ids have
+    nulls, an empty list nothing."""
+    records = star["records"]
+    wanted = records.sparkSession.createDataFrame(list(enumerate(warc_custom_ids)), "ordinal int, warc_custom_id string")
+    few = records.where(F.col("warc_custom_id").isin(warc_custom_ids))
+    return record_payloads(star | {"records": few}).join(F.broadcast(wanted), "warc_custom_id", "right")

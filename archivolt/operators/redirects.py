@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions import native as N
-from archivolt.operators.archive import nearest
+from archivolt.operators.archive import Archive, nearest
 from archivolt.plans.runtime import cut
 
 MAX_HOPS = 20
@@ -30,6 +30,13 @@ def _edges(captures: DataFrame) -> DataFrame:
     return located.select("response_id", "uri", "target").join(found.select("response_id", "next_id"), "response_id", "left")
 
 
+def path_from(archive: Archive, uri: str, moment: str, max_hops: int = MAX_HOPS) -> DataFrame:
+    """:func:`redirect_paths` from the capture of ``uri`` nearest to ``moment``, each hop with its capture's columns."""
+    found = archive.captures(["response_id", "uri", "archived_date", "last_modified", "headers", "status", "warc_custom_id", "http_version", "content_type_id"])
+    path = redirect_paths(found, archive.near(uri, moment).select("response_id"), max_hops)
+    return path.join(found.drop("uri", "headers"), "response_id")
+
+
 def redirect_paths(captures: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """``start_id``, ``hop`` (from 1), ``response_id``, ``uri``, ``resolved_location`` (how the row was reached; null
     for the start). ``starts`` has ``response_id``. A path ends without a location, at a target that was never
