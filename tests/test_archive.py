@@ -168,7 +168,7 @@ def test_entries_merge_and_paths(spark):
     merged = {r["entry_id"]: r["urls"] for r in closure.merged_entries(entries).collect()}
     assert len(merged) == 5 and len(merged[2]) == 2
     paths = {r["id"]: r["path"] for r in closure.assigned_paths(entries).collect()}
-    assert paths[1] == "site.test/index.html" and paths[2] == "site.test/style.x_arc.u2.css" and paths[3] == "site.test/style.arc.u3.css" and len(set(paths.values())) == 6
+    assert paths[1] == "site.test/index.html" and paths[2] == "site.test/style.x_arc.u2.css" and paths[3] == "site.test/style.x_arc.u3.css" and len(set(paths.values())) == 6
     lines = closure.manifest(spark.createDataFrame([(1, "p")], "id bigint, path string"), spark.createDataFrame([("u", "not-archived")], "url string, reason string")).collect()
     assert [r["kind"] for r in lines] == ["entry", "missing"]
 
