@@ -113,6 +113,18 @@ def _seen_from_beside(names: frozenset[str]) -> tuple[str, ...]:
     return tuple(sorted(x for x in names if x.startswith(("tag=", "link=", "len=")) or x.startswith("word=") and x[5:] in _NEAR))
 
 
+#: What neighbours see, numbered, since the numbers are looked up for every block.
+_SEEN: list[tuple[str, ...]] = []
+_NUMBERS: dict[tuple[str, ...], int] = {}
+
+
+def _number(seen: tuple[str, ...]) -> int:
+    number = _NUMBERS.setdefault(seen, len(_SEEN))
+    if number == len(_SEEN):
+        _SEEN.append(seen)
+    return number
+
+
 class Own:
     """What a block shows by itself: the names of its observations, those that its neighbours see, and marks that
     its neighbourhood looks for."""
@@ -128,7 +140,7 @@ class Own:
         if b.bold * 10 > n * 9:
             f.add("bold")
         self.names = frozenset(f)
-        self.beside = _seen_from_beside(self.names)
+        self.beside = _number(_seen_from_beside(self.names))
         self.related, self.small, self.copyright = "word=related" in f, not f.isdisjoint(("tag=h3", "tag=h4", "bold")), "word=copyright" in f
         self.buttons, self.linked = not f.isdisjoint(("buttons", "word=button")), not f.isdisjoint(("link=3", "word=menu"))
         self.furniture = not f.isdisjoint(("word=cookie", "word=crumb", "word=menuline", "word=legal"))
@@ -205,7 +217,7 @@ def names_of(atom) -> list[str]:
         return list(atom.names)
     if len(atom) == 3:
         side, beside, same = atom
-        return [side + "none"] if beside is None else [*(side + x for x in beside), side + ("same" if same else "other")]
+        return [side + "none"] if beside is None else [*(side + x for x in _SEEN[beside]), side + ("same" if same else "other")]
     if len(atom) == 9:
         return ["bias", f"kind={atom[0]}", f"mates={atom[1]}", *(n for n, held in zip(_SHARED, atom[2:], strict=True) if held)]
     after_related, head, text, gap, first, last, titled, title_text = atom

@@ -19,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -49,7 +49,7 @@ VARIABLE = re.compile(
     r"|\[object Object\]|\bInvalid Date\b|\bundefined\b|\bNaN\b|^null$|_{3,}|(?:\.{4,}|…{2,})\s*$",
     re.IGNORECASE,
 )
-_MAY_HOLD_VARIABLE = re.compile(r"[{}%<\[#$@_«…]|\.{4}|[Uu]ndefined|UNDEFINED|[Nn][Aa][Nn]\b|[Nn]ull$|NULL$|[Ii]nvalid|INVALID")
+_MARKS, _PRINTED = re.compile(r"[{}%<\[#$@_«…]"), ("....", "undefined", "invalid date", "nan", "null")
 _CASE_BOUND = re.compile(r"%\w+%|\[(?!insert |object)[\w ]+\]|\w+_placeholder|__[^\W_]\w*__", re.IGNORECASE)
 _UPPER_ONLY = re.compile(r"%[A-Z][A-Z_]*%|\[[A-Z][A-Z_ ]+\]|\b[A-Z]+_PLACEHOLDER\b|__[A-Z]\w*__")
 #: Stems of the usual dummy Latin, and what is typed to fill a field.
@@ -61,13 +61,14 @@ _DUMMY = frozenset("bla blah foo bar baz qux qwer qwerty asdf test xxx xxxx xxxx
 LATIN_PART = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_DIGIT = re.compile(r"\d")
 _NUMBERED = re.compile(r"\b[^\W\d]*+\d\w*")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def masked(text: str) -> str:
     """``text`` with every word that holds a digit made one and the same."""
-    return _NUMBERED.sub("0", text)
+    return _NUMBERED.sub("0", text) if _DIGIT.search(text) else text
 
 
 def residue_kind(text: str) -> str | None:
@@ -78,15 +79,16 @@ def residue_kind(text: str) -> str | None:
 
 def _form(text: str, words: list[str]) -> str | None:
     text = (html.unescape(text) if "&" in text else text).strip().lstrip("-*• ").strip()
-    if _MAY_HOLD_VARIABLE.search(text):
+    small = text.lower()
+    if _MARKS.search(text) or any(x in small for x in _PRINTED):
         holes = [m[0] for m in VARIABLE.finditer(text) if not _CASE_BOUND.fullmatch(m[0]) or _UPPER_ONLY.fullmatch(m[0])]
         if holes and (len(_WORD.findall(VARIABLE.sub(" ", text))) <= max(4, len(holes) * LABEL_WORDS) or sum(map(len, holes)) * 2 >= len(text)):
             return "placeholder"
     if not words:
         numbers = re.findall(r"\d+", text)
         return "filler" if len(numbers) > 2 and len(set(numbers)) == 1 and text[0].isdigit() else None
-    lower = [w.lower() for w in words]
-    latin = sum(map(LATIN.__contains__, lower))
+    lower = " ".join(words).lower().split(" ")
+    latin = sum(map(LATIN.__contains__, lower)) if not LATIN.isdisjoint(lower) else 0
     if latin and (latin >= LATIN_PART * len(lower) if len(lower) >= 4 else latin == len(lower) and any(len(w) > 4 for w in lower)):
         return "filler"
     if len(lower) >= 3 and (lower[0] == lower[1] and len(set(lower)) == 1 or lower[0] in _DUMMY and _DUMMY.issuperset(lower)):
@@ -175,7 +177,7 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = boilerplate.Reader(weights)
-        position = cache("/".join)
+        position = lru_cache(maxsize=boilerplate.REMEMBERED)(lambda host, path: hashed(f"{host}\n{'/'.join(path)}"))
         for batch in batches:
             lines, verdicts, ends, flat, pages = [], [], [0], [], []
             for payload, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -184,7 +186,8 @@ def analyse(df: DataFrame, id_col: str, payload_col: str, model: crf.Model, url_
                 host = site(url)
                 slots = {(v.text, v.block.path): v for v in values}
                 for v in slots.values():
-                    flat.append((hashed(v.text), hashed(f"{host}\n{position(v.block.path)}\n{v.text}") if host else 0, v.words, v.heading, v.residue))
+                    value = hashed(v.text)
+                    flat.append((value, value ^ position(host, v.block.path) if host else 0, v.words, v.heading, v.residue))
                 ends.append(len(flat))
                 lines.append(sorted({n for b in own for n in b.lines}))
                 verdicts.append(verdict)
