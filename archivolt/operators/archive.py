@@ -139,6 +139,13 @@ class Archive:
         page = self._matching_uris(query, None).where(behind).orderBy("recursion_level", "uri").limit(limit)
         return self._captures_of(page).select(*SEARCH_COLUMNS, "recursion_level").orderBy("recursion_level", "uri", F.desc("archived_date"), "response_id")
 
+    def next_cursor(self, query: str, after_level: int | None = None, after_uri: str | None = None, limit: int = 16) -> DataFrame:
+        """``recursion_level`` and ``uri`` of the last URI of a keyset page, the cursor behind it; none if the page is
+        not full, for then there is no other."""
+        level, uri = (-1, "") if after_level is None or after_uri is None else (after_level, after_uri)
+        behind = (F.col("recursion_level") > level) | ((F.col("recursion_level") == level) & (F.col("uri") > uri))
+        return self._matching_uris(query, None).where(behind).orderBy("recursion_level", "uri").offset(limit - 1).limit(1).select("recursion_level", "uri")
+
     def search_count(self, query: str | None = None, content_type: str | None = None, cap: int = COUNT_CAP) -> DataFrame:
         """The number of matching URIs: with a query, counting stops at ``cap``; else it is exact."""
         matching = self._matching_uris(query, content_type).select("id")

@@ -29,16 +29,16 @@ def dependency_closure(captures: DataFrame, roots: DataFrame, max_depth: int = M
     depth, so a cycle ends by itself. A repeated root is one root.
     """
     edges = cut(reference_edges(captures))
-    about = captures.select("id", "status", F.col("body").isNotNull().alias("has_body"), "uri", "archived_date")
+    about = cut(captures.select("id", "status", F.col("body").isNotNull().alias("has_body"), "uri", "archived_date"))
     start = about.join(roots.select("id").distinct(), "id", "left_semi")
     frontier = start.select(F.col("id").alias("root_id"), F.col("archived_date").alias("moment"), F.col("uri").alias("url"), F.lit(0).alias("depth"), "id", F.lit(None).cast("string").alias("reason"))
     frontier = cut(frontier)
     parts = [frontier]
+    seen = frontier.select("root_id", "url")
     for depth in range(1, max_depth + 2):
         loads = frontier.where("reason is null").join(edges.select("id", F.col("url").alias("wanted")), "id").select("root_id", "moment", F.col("wanted").alias("url")).distinct()
-        for part in parts:
-            loads = loads.join(part.select("root_id", "url"), ["root_id", "url"], "left_anti")
-        loads = cut(loads)
+        loads = cut(loads.join(seen, ["root_id", "url"], "left_anti"))
+        seen = seen.unionByName(loads.select("root_id", "url"))
         if not loads.head(1):
             break
         if depth > max_depth:

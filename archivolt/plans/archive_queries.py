@@ -37,7 +37,7 @@ def _hot_uri(a: Archive) -> str:
 
 def _cursor(a: Archive) -> tuple[int | None, str | None]:
     """The cursor behind the first page: its last URI."""
-    page = a.uris.where(F.lower("uri").contains(TERM)).orderBy("recursion_level", "uri").offset(15).limit(1).select("recursion_level", "uri").first()
+    page = a.next_cursor(TERM).first()
     return tuple(page) if page else (None, None)
 
 
@@ -71,8 +71,7 @@ def search_first_page(s, d):
 
 
 def search_cursor(s, d):
-    level, uri = _cursor(_archive(s, d))
-    return s.createDataFrame([(level, uri)], "recursion_level int, uri string").where("uri is not null")
+    return _archive(s, d).next_cursor(TERM)
 
 
 def search_count_capped(s, d):

@@ -13,14 +13,22 @@ from archivolt.sources import files, payloads, warc, warc_writer
 from archivolt.streaming import ingest
 
 
+#: Folders written so far, by session, tables and shape.
+_FOLDERS: dict[tuple, str] = {}
+
+
 def _written(spark: SparkSession, d: str, shape: str, whole: bool) -> str:
-    """The pages as archives in the shared folder."""
+    """The pages as archives in the shared folder, written once a session."""
+    key = (spark.sparkContext.applicationId, d, shape, whole)
+    if key in _FOLDERS:
+        return _FOLDERS[key]
     folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     v = table(spark, d, "view_record")
     date = F.date_format("date_archived", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     pages = v.select(F.col("url").alias("uri"), date.alias("date"), "status", "content_type", F.col("payload").alias("body"), F.col("uuid").alias("identity"))
     warc_writer.write_warcs(pages, folder, shape=shape, whole=whole).agg(F.sum("records")).collect()
     warc.register(spark)
+    _FOLDERS[key] = folder
     return folder
 
 
@@ -83,7 +91,7 @@ def warc_members(spark: SparkSession, d: str) -> DataFrame:
 def warc_split_by_members(spark: SparkSession, d: str) -> DataFrame:
     """Compressed archives read in segments by a member index."""
     folder = _written(spark, d, "gz", False)
-    index = f"{folder}-index"
+    index = f"{folder}-index-{uuid.uuid4().hex}"
     files.member_table(spark, folder).orderBy("file_path", "compressed_offset").coalesce(1).select(F.to_json(F.struct("file_path", "compressed_offset", "logical_offset")).alias("value")).write.text(index)
     part = next(p for p, _ in files.list_any(index) if "/part-" in p)
     rows = spark.read.format("warc").option("segmentBytes", 5_000).option("memberIndex", part).load(folder)
@@ -98,14 +106,15 @@ def wacz_index(spark: SparkSession, d: str) -> DataFrame:
 def warc_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The growing archive streamed into the star schema, batch by batch: rows per table, and how far its files are."""
     source = _written(spark, d, "plain", True)
+    star = f"{source}-{uuid.uuid4().hex}"
     total = sum(size for _, size in files.list_files(source))
     for _ in range(3):  # two batches, and one that finds nothing new
-        ingest.start_ingest(spark, source, f"{source}-star", f"{source}-log", available_now=True, max_bytes=total // 2 + 1).awaitTermination()
-    read = lambda name: spark.read.parquet(f"{source}-star/{name}")
+        ingest.start_ingest(spark, source, f"{star}-star", f"{star}-log", available_now=True, max_bytes=total // 2 + 1).awaitTermination()
+    read = lambda name: spark.read.parquet(f"{star}-star/{name}")
     out = read("uris").agg(F.lit("uris").alias("table_name"), F.count("*").alias("n"), F.count_distinct("id").alias("keys"))
     for name in ("records", "responses", "payloads"):
         out = out.unionByName(read(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), F.count_distinct("id").alias("keys")))
-    progress = ingest.file_progress(spark, f"{source}-star", source)
+    progress = ingest.file_progress(spark, f"{star}-star", source)
     return out.unionByName(progress.agg(F.lit("unfinished files").alias("table_name"), F.count_if(F.col("status") != "parsed").alias("n"), F.coalesce(F.sum(F.col("file_size") - F.col("byte_offset")), F.lit(0)).alias("keys")))
 
 
