@@ -282,15 +282,16 @@ def merged_type_sets(stored: Column, derived: Column) -> Column:
     return F.when(F.size(F.array_except(derived, stored)) > 0, union).otherwise(stored)
 
 
-def nearest(requests: DataFrame, captures: DataFrame, keys: list[str], tie: str | None = None) -> DataFrame:
+def nearest(requests: DataFrame, captures: DataFrame, keys: list[str], tie: str | None = None, bucket: str = "day") -> DataFrame:
     """For each request (``uri``, ``moment``, the ``keys``) the capture of its URI nearest in time: ``captures`` has
     ``uri``, ``archived_date`` and further columns, of which ``tie`` (by default the first) is a number that orders
     captures of one time. Requests without a capture, with a null URI or a null moment are left out. Of two captures
     equally near the older one is taken, of two of one time the smaller ``tie``.
 
-    Requests and captures are merged by time within (URI, month); each request looks at its last neighbour before and
-    its first behind. Neighbours beyond the month come from one row per URI and month. So a URI with many of both is
-    neither a product nor one task.
+    Requests and captures are merged by time within (URI, ``bucket`` of time); each request looks at its last neighbour
+    before and its first behind. Neighbours beyond the bucket come from one row per URI and bucket, of which twenty
+    years have some 7,300. So a URI with a third of all rows is neither a product nor one task, but as many as it has
+    days; where it has most of them within one, an ``hour`` divides that further.
     """
     extra = [c for c in captures.columns if c not in ("uri", "archived_date")]
     tie = tie or extra[0]
@@ -298,23 +299,23 @@ def nearest(requests: DataFrame, captures: DataFrame, keys: list[str], tie: str
     asked = requests.where("uri is not null and moment is not null").select("uri", F.col("moment").alias("t"), F.struct(*keys).alias("request"))
     shape = {c: df.schema[c].dataType for df, c in ((held, "capture"), (asked, "request"))}
     merged = held.withColumn("request", F.lit(None).cast(shape["request"])).unionByName(asked.withColumn("capture", F.lit(None).cast(shape["capture"])))
-    merged = merged.withColumn("month", F.date_trunc("month", "t"))
+    merged = merged.withColumn("slot", F.date_trunc(bucket, "t"))
     number = F.col(f"capture.{tie}")
-    ahead = Window.partitionBy("uri", "month").orderBy(F.col("t"), number.desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("uri", "month").orderBy(F.col("t"), number.asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy("uri", "slot").orderBy(F.col("t"), number.desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("uri", "slot").orderBy(F.col("t"), number.asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     near = merged.withColumn("before", F.last("capture", ignorenulls=True).over(ahead)).withColumn("behind", F.first("capture", ignorenulls=True).over(after)).where("request is not null")
-    months = held.withColumn("month", F.date_trunc("month", "t")).groupBy("uri", "month").agg(
+    slots = held.withColumn("slot", F.date_trunc(bucket, "t")).groupBy("uri", "slot").agg(
         F.max_by("capture", F.struct(F.col("t"), -number)).alias("latest"), F.min_by("capture", F.struct(F.col("t"), number)).alias("earliest")
     )
-    # a month in which a URI is asked for but not captured still needs its neighbours
-    spans = months.unionByName(near.select("uri", "month").distinct(), allowMissingColumns=True).groupBy("uri", "month").agg(F.first("latest", True).alias("latest"), F.first("earliest", True).alias("earliest"))
-    by_month = Window.partitionBy("uri").orderBy("month")
+    # a time in which a URI is asked for but not captured still needs its neighbours
+    spans = slots.unionByName(near.select("uri", "slot").distinct(), allowMissingColumns=True).groupBy("uri", "slot").agg(F.first("latest", True).alias("latest"), F.first("earliest", True).alias("earliest"))
+    by_slot = Window.partitionBy("uri").orderBy("slot")
     spans = spans.select(
-        "uri", "month",
-        F.last("latest", ignorenulls=True).over(by_month.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-        F.first("earliest", ignorenulls=True).over(by_month.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+        "uri", "slot",
+        F.last("latest", ignorenulls=True).over(by_slot.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("earliest", ignorenulls=True).over(by_slot.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
     )
-    both = near.join(spans, ["uri", "month"]).withColumn("before", F.coalesce("before", "earlier")).withColumn("behind", F.coalesce("behind", "later"))
+    both = near.join(spans, ["uri", "slot"]).withColumn("before", F.coalesce("before", "earlier")).withColumn("behind", F.coalesce("behind", "later"))
     gap = lambda c: F.abs(F.unix_micros(F.col(c)["archived_date"]) - F.unix_micros("t"))
     pick = F.when(F.col("behind").isNull() | (gap("before") <= gap("behind")), F.col("before")).otherwise(F.col("behind"))
     return both.withColumn("pick", pick).where("pick is not null").select("request.*", "uri", F.col("t").alias("moment"), "pick.*")

@@ -23,13 +23,15 @@ def reference_edges(captures: DataFrame) -> DataFrame:
 
 def dependency_closure(captures: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """What the pages of ``roots`` (``id``) need: ``root_id``, ``url``, ``depth``, ``id`` of the capture nearest to the
-    root's time, and ``reason`` if it cannot be had: not-archived, no-payload, error-status, redirect, depth-limit.
+    root's time, and ``reason`` if it cannot be had: not-archived, no-payload, unreadable, error-status, redirect,
+    depth-limit.
 
-    ``captures``: id, uri, archived_date, content_type, status, body. Each URL comes once per root, at its least
+    ``captures``: id, uri, archived_date, content_type, status, body, and optionally the ``error`` with which a body
+    could not be read. Each URL comes once per root, at its least
     depth, so a cycle ends by itself. A repeated root is one root.
     """
     edges = cut(reference_edges(captures))
-    about = cut(captures.select("id", "status", F.col("body").isNotNull().alias("has_body"), "uri", "archived_date"))
+    about = cut(captures.select("id", "status", F.col("body").isNotNull().alias("has_body"), (F.col("error").isNotNull() if "error" in captures.columns else F.lit(False)).alias("broken"), "uri", "archived_date"))
     start = about.join(roots.select("id").distinct(), "id", "left_semi")
     frontier = start.select(F.col("id").alias("root_id"), F.col("archived_date").alias("moment"), F.col("uri").alias("url"), F.lit(0).alias("depth"), "id", F.lit(None).cast("string").alias("reason"))
     frontier = cut(frontier)
@@ -44,9 +46,9 @@ def dependency_closure(captures: DataFrame, roots: DataFrame, max_depth: int = M
         if depth > max_depth:
             parts.append(loads.select("root_id", "moment", "url", F.lit(depth).alias("depth"), F.lit(None).cast("bigint").alias("id"), F.lit("depth-limit").alias("reason")))
             break
-        found = nearest(loads.select(F.col("url").alias("uri"), "moment", "root_id"), about.select("uri", "archived_date", F.col("id").alias("found_id"), "status", "has_body"), ["root_id"], "found_id")
-        found = found.select("root_id", F.col("uri").alias("url"), F.col("found_id").alias("id"), "status", "has_body")
-        reason = F.when(F.col("id").isNull(), "not-archived").when(F.col("status") >= 400, "error-status").when(F.col("status") >= 300, "redirect").when(~F.col("has_body"), "no-payload")
+        found = nearest(loads.select(F.col("url").alias("uri"), "moment", "root_id"), about.select("uri", "archived_date", F.col("id").alias("found_id"), "status", "has_body", "broken"), ["root_id"], "found_id")
+        found = found.select("root_id", F.col("uri").alias("url"), F.col("found_id").alias("id"), "status", "has_body", "broken")
+        reason = F.when(F.col("id").isNull(), "not-archived").when(F.col("status") >= 400, "error-status").when(F.col("status") >= 300, "redirect").when(F.col("broken"), "unreadable").when(~F.col("has_body"), "no-payload")
         frontier = cut(loads.join(found, ["root_id", "url"], "left").select("root_id", "moment", "url", F.lit(depth).alias("depth"), "id", reason.alias("reason")))
         parts.append(frontier)
     out = parts[0]
@@ -55,6 +57,25 @@ def dependency_closure(captures: DataFrame, roots: DataFrame, max_depth: int = M
     return out.drop("moment")
 
 
+def cyclic_references(captures: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``id``, ``url`` and the reason ``cycle`` for references of style sheets that lead back to where they stand, at
+    once or over at most ``max_depth`` others. Sheets meet by their exact URLs; each round is a join along references
+    between sheets, of which there are few."""
+    sheets = captures.where(N.document_kind("content_type") == "css")
+    edges = reference_edges(sheets).join(sheets.select("id", F.substring_index("uri", "#", 1).alias("own")), "id").select("id", "own", "url").distinct()
+    held = edges.select("own").distinct()
+    links = cut(edges.join(held.withColumnRenamed("own", "url"), "url", "left_semi"))
+    onward = links.select(F.col("own").alias("at"), F.col("url").alias("next")).distinct()
+    walk = links.select("id", "own", "url", F.col("url").alias("at"))
+    closed = walk.where("at = own").select("id", "url")
+    for _ in range(max_depth):
+        walk = cut(walk.where("at <> own").join(onward, "at").select("id", "own", "url", F.col("next").alias("at")).distinct())
+        if not walk.head(1):
+            break
+        closed = closed.unionByName(walk.where("at = own").select("id", "url"))
+    return closed.distinct().withColumn("reason", F.lit("cycle"))
+
+
 def merged_entries(entries: DataFrame) -> DataFrame:
     """One entry per digest and content type, the others its aliases: ``entry_id``, ``digest``, ``content_type``,
     ``aliases``. Entries without a digest stay alone."""

@@ -163,6 +163,16 @@ def test_closure_of_a_small_site(spark):
     assert {r["url"].rsplit("/", 1)[-1] for r in shallow if r["reason"] == "depth-limit"} == {"bg.png", "lost.png"}
 
 
+def test_cycles_of_sheets_and_unreadable_bodies(spark):
+    url = "https://site.test/{}.css".format
+    rows = [(1, url("a"), "@import 'b.css'; url(x.png)", None), (2, url("b"), "@import 'c.css'", None), (3, url("c"), "@import 'a.css'", None), (4, url("d"), "@import 'd.css#x'", None), (5, url("e"), "@import 'a.css'", None), (6, "https://site.test/x.png", None, "broken member")]
+    captures = spark.createDataFrame([(i, u, BASE, "text/css" if u.endswith("css") else "image/png", 200, b, e) for i, u, b, e in rows], "id bigint, uri string, archived_date timestamp, content_type string, status int, body string, error string")
+    assert {(r["id"], r["url"]) for r in closure.cyclic_references(captures).collect()} == {(1, url("b")), (2, url("c")), (3, url("a")), (4, url("d"))}
+    needs = {r["url"]: r["reason"] for r in closure.dependency_closure(captures, captures.where("id = 1").select("id")).collect()}
+    assert needs == {url("a"): None, url("b"): None, url("c"): None, "https://site.test/x.png": "unreadable"}
+    assert closure.cyclic_references(captures.limit(0)).collect() == []
+
+
 def test_entries_merge_and_paths(spark):
     entries = spark.createDataFrame([(i, u, t, s, d, "x/arc.warc", f"u{i}") for i, u, t, s, _, d in SITE], "id bigint, url string, content_type string, status int, digest string, archive string, uuid string")
     merged = {r["entry_id"]: r["urls"] for r in closure.merged_entries(entries).collect()}
