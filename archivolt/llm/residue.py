@@ -39,8 +39,9 @@ BARE_PART = 0.8
 CONSTANT_PART = 0.5
 #: Words outside residue, headings and constants from which on a page has content of its own.
 OWN_WORDS = 5
-#: Words of label that one variable or blank may have beside it and still be what its slot is about.
-LABEL_WORDS = 3
+#: Words of label that each variable or blank may have beside it and still be what its slot is about, and how many a
+#: stretch may have at any rate ("Read more about {{ title }}").
+LABEL_WORDS, LABEL_LEAST = 3, 4
 
 #: The ways in which templates mark their variables, print missing ones, and leave blanks.
 VARIABLE = re.compile(
@@ -57,7 +58,8 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum mauris vivamus vestibulum curabitur pellentesque phasellus fusce praesent maecenas aenean donec nullam quisque cras proin integer morbi suspendisse nam augue sodales ligula tempus rutrum porta sagittis massa pharetra congue viverra quam lectus fringilla tetur sagit vestib fringil felis erat ornare blandit consec sem nibh eget nec vel ante arcu diam dui eros facilisis faucibus hendrerit iaculis imperdiet justo lacinia lacus leo libero lobortis luctus mattis nisl nunc odio orci placerat posuere pretium purus rhoncus risus semper sollicitudin tellus tincidunt tortor tristique turpis ullamcorper ultrices ultricies urna varius vehicula volutpat vulputate".split()
 )
 _DUMMY = frozenset("bla blah foo bar baz qux qwer qwerty asdf test xxx xxxx xxxxx yyy zzz abc lala dummy".split())
-#: Part of a stretch's words that must be dummy Latin.
+#: Part of a stretch's words that must be dummy Latin; of fewer than four words all must be, and one of them longer
+#: than the short ones that Latin shares with living languages.
 LATIN_PART = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -82,7 +84,7 @@ def _form(text: str, words: list[str]) -> str | None:
     small = text.lower()
     if _MARKS.search(text) or any(x in small for x in _PRINTED):
         holes = [m[0] for m in VARIABLE.finditer(text) if not _CASE_BOUND.fullmatch(m[0]) or _UPPER_ONLY.fullmatch(m[0])]
-        if holes and (len(_WORD.findall(VARIABLE.sub(" ", text))) <= max(4, len(holes) * LABEL_WORDS) or sum(map(len, holes)) * 2 >= len(text)):
+        if holes and (len(_WORD.findall(VARIABLE.sub(" ", text))) <= max(LABEL_LEAST, len(holes) * LABEL_WORDS) or sum(map(len, holes)) * 2 >= len(text)):
             return "placeholder"
     if not words:
         numbers = re.findall(r"\d+", text)
