@@ -85,7 +85,8 @@ def warc_members(spark: SparkSession, d: str) -> DataFrame:
     members = files.member_table(spark, folder)
     per_file = members.groupBy("file_path").agg(F.count("*").alias("members"), F.sum("compressed_length").alias("compressed"), F.max(F.col("compressed_offset") + F.col("compressed_length")).alias("end"), F.sum("logical_length").alias("logical"), F.max(F.col("logical_offset") + F.col("logical_length")).alias("logical_end"))
     whole = per_file.agg(F.sum("members").alias("members"), F.bool_and((F.col("compressed") == F.col("end")) & (F.col("logical") == F.col("logical_end"))).alias("without_gaps"), F.sum("compressed").alias("bytes"))
-    return whole.crossJoin(files.folder_stats(spark, folder)).select("members", "without_gaps", (F.col("bytes") == F.col("total_bytes")).alias("all_bytes"))  # one row each
+    listed = files.folder_stats(spark, folder).first()["total_bytes"]
+    return whole.select("members", "without_gaps", (F.col("bytes") == listed).alias("all_bytes"))
 
 
 def warc_split_by_members(spark: SparkSession, d: str) -> DataFrame:
