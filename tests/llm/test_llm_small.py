@@ -178,6 +178,22 @@ def test_batches_match_brute_force_and_leave_history_alone(spark, tmp_path):
     assert store.holders().groupBy("chunk", "key").count().where("count > 1").count() == 0
 
 
+def test_every_stage_of_same_payload_counts(spark, monkeypatch):
+    d = [f"sha1:{n:040x}" for n in range(9)]
+    rows = [(1, "/f", 0, 5, d[1], 1), (2, "/g", 0, 5, d[2], 1), (3, "/F", 0, 5, d[2].upper(), 2), (4, "/h", 7, 7, d[2], 2), (5, "/h", 7, 7, None, 3), (6, "/k", 1, 1, d[5], 3)]
+    df = spark.createDataFrame(rows, "row_id bigint, file_path string, payload_byte_offset bigint, payload_byte_length bigint, payload_digest string, batch_id int")
+    got = lambda: {tuple(r) for r in chunks.same_payload(df).collect()}
+    cut = chunks.chunk_rows(chunks.payload_evidence(df), "id", "evidence", *chunks.EVIDENCE_CHUNKS).select("id", "chunk", "key").collect()
+    monkeypatch.delattr(chunks, "chunk_rows")  # evidence is never cut
+    assert got() == {(1, 2), (1, 3), (1, 4), (1, 5)}
+    assert sorted(cut) == sorted(chunks.evidence_rows(df, "batch_id").drop("batch_id").collect())  # tables written before stay valid
+    none = lambda self, first, but=None: first.where("false").select("chunk", "key", F.lit(None).cast("bigint").alias("first_id"))
+    for owner, name, instead in [(chunks.ChunkStore, "known", none), (chunks.ChunkStore, "append", lambda self, rows, batch: None), (chunks, "resolved", lambda links: links)]:
+        with monkeypatch.context() as without:
+            without.setattr(owner, name, instead)
+            assert got() != {(1, 2), (1, 3), (1, 4), (1, 5)}, name
+
+
 def test_long_chains_are_resolved(spark):
     order = list(range(60))
     random.Random(2).shuffle(order)
