@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from archivolt.llm import mixing, packing, tokens
+from archivolt.llm import mixing, packing, queries, tokens
 from archivolt.llm.ordinals import prefix_sums
 from archivolt.plans.runtime import cut
 
@@ -134,3 +134,16 @@ def test_mixture_reaches_its_shares(spark):
     again = mixing.mixture(df.repartition(3), "doc_id", "source", weights, 12_000).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
     assert mixing.mixture(df.limit(0), "doc_id", "source", weights).collect() == []
+
+
+def test_limits_tell_a_mixture_that_misses_its_shares(spark, tmp_path, monkeypatch):
+    docs = [(i, "abc"[i % 3], "one two three four " * (1 + i % 5)) for i in range(60)] + [(60, "z", "none of it"), (61, None, "nor this"), (62, "a", "")]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    weights = [("a", 1.0, 1), ("b", 2.0, 3), ("c", 1.0, 2), ("z", 0.0, 1), ("gone", 1.0, 1), (None, 1.0, 1), ("null", None, None)]
+    spark.createDataFrame(weights, "source string, weight double, max_repeats int").write.parquet(str(tmp_path / "mix_weights.parquet"))
+    kept = lambda: {r["source"]: r["kept"] for r in queries.p9_limits(spark, str(tmp_path)).collect()}
+    named = {"a", "b", "c", "z", "gone", "null"}
+    assert kept() == dict.fromkeys(named, True)
+    whole = mixing.mixture
+    monkeypatch.setattr(mixing, "mixture", lambda *args: whole(*args).where("source <> 'b' and (source <> 'c' or doc_id % 2 = 0)"))
+    assert kept() == {s: s not in ("b", "c") for s in named}  # one left out, one cut in half
