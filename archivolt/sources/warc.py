@@ -12,7 +12,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
@@ -27,6 +27,8 @@ warc_date timestamp, ip string, warc_headers map<string,string>, http_version st
 payload_offset bigint, payload_length bigint, is_chunked boolean, chunk_sizes array<bigint>, payload_digest string, is_truncated boolean,
 member_offset bigint, offset_in_member bigint, skipped_bytes bigint, error string"""
 SEGMENT, WINDOW, HEADER_MAX = 64 << 20, 1 << 20, 1 << 20
+#: Segments smaller than this are read several in a task, each for itself; starting a task costs more than reading one.
+TASK = 4 << 20
 #: Bytes between a record's content and the next record, as the standard has it and as some writers do.
 GAPS = (4, 8, 0, 2)
 MARK = b"WARC/1."
@@ -136,11 +138,12 @@ def find_record(reader, at: int, limit: int | None, gap: int | None) -> int | No
     """The first confirmed record that begins at or behind ``at`` and before ``limit``."""
     position = at
     while limit is None or position < limit:
-        window = reader.read(position, WINDOW + len(MARK))
+        span = WINDOW if limit is None else min(WINDOW, limit - position)
+        window = reader.read(position, span + len(MARK))
         if not window:
             return None
         k = window.find(MARK)
-        while k >= 0 and (k < WINDOW or len(window) <= WINDOW):
+        while k >= 0 and (k < span or len(window) <= span):
             here = position + k
             if limit is not None and here >= limit:
                 return None
@@ -148,9 +151,9 @@ def find_record(reader, at: int, limit: int | None, gap: int | None) -> int | No
             if before == b"\n" and confirmed(reader, here, gap):
                 return here
             k = window.find(MARK, k + 1)
-        if len(window) <= WINDOW:
+        if len(window) <= span:
             return None
-        position += WINDOW
+        position += span
     return None
 
 
@@ -259,14 +262,24 @@ def learn_gap(reader) -> int:
 
 class Segment(InputPartition):
     """A stretch ``[start, end)`` of a file, whose first bytes the executor looks at; of a compressed file the logical
-    stretch from the member at ``compressed`` on. ``upto`` and ``after``: see :func:`decode`."""
+    stretch from the member at ``compressed`` on. ``upto`` and ``after``: see :func:`decode`. With ``step``, so many
+    segments of that size in one task."""
 
-    def __init__(self, path: str, start: int, end: int | None, compressed: int = 0, upto: int | None = None, after: int | None = None) -> None:
-        self.path, self.start, self.end, self.compressed, self.upto, self.after = path, start, end, compressed, upto, after
+    def __init__(self, path: str, start: int, end: int | None, compressed: int = 0, upto: int | None = None, after: int | None = None, step: int | None = None) -> None:
+        self.path, self.start, self.end, self.compressed, self.upto, self.after, self.step = path, start, end, compressed, upto, after, step
+
+    def cuts(self) -> Iterator[tuple[int, int | None, int | None]]:
+        """(start, end, after) of each segment."""
+        if self.end is None or self.step is None:
+            yield self.start, self.end, self.after
+            return
+        for a in range(self.start, self.end, self.step):
+            yield a, min(a + self.step, self.end), self.after if a == self.start else None
 
 
 def _stretches(file: str, begin: int, stop: int, step: int, **more) -> list[Segment]:
-    return [Segment(file, a, min(a + step, stop), after=begin if begin and a == begin else None, **more) for a in range(begin, stop, step)]
+    task = max(1, TASK // step) * step
+    return [Segment(file, a, min(a + task, stop), after=begin if begin and a == begin else None, step=step, **more) for a in range(begin, stop, task)]
 
 
 def _is_gzip_name(file: str) -> bool:
@@ -304,8 +317,8 @@ class _Readable(io.RawIOBase):
 
 
 def plan(path: str, options: dict) -> list[Segment]:
-    """One segment per 64 MiB of a file; one per compressed file, or per group of members with an index. Only the
-    folder is listed; no file is opened."""
+    """One segment per 64 MiB of a file; one per compressed file, or per group of members with an index. Smaller
+    segments of a file share tasks of 4 MiB. Only the folder is listed; no file is opened."""
     step = int(options.get("segmentbytes", SEGMENT))
     groups = member_groups(options["memberindex"], step) if options.get("memberindex") else {}
     out = []
@@ -326,41 +339,49 @@ def read_segment(s: Segment, types: frozenset[str] | None) -> Iterator[tuple]:
     """The rows of a segment. What the file is, its first bytes tell, not its name: a stretch of a plain file or entry
     gives the records that begin in it, a compressed file or entry belongs to the stretch in which it begins."""
 
-    def broken(error: Exception) -> tuple:
-        return tuple({"file_path": s.path, "offset": s.start, "error": f"{type(error).__name__}: {error}"}.get(c) for c in _NAMES)
+    def broken(error: Exception, at: int) -> tuple:
+        return tuple({"file_path": s.path, "offset": at, "error": f"{type(error).__name__}: {error}"}.get(c) for c in _NAMES)
 
     try:
         archives = archives_in(s.path)
     except (OSError, ValueError, struct.error) as error:
         if s.start == 0:
-            yield broken(error)
+            yield broken(error, s.start)
         return
     for kind, base, size, entry in archives:
         if kind == "gzip":
             if _is_gzip_name(s.path) or s.start <= base < (s.end or 0):
                 whole = not _is_gzip_name(s.path)
-                yield from _rows(s, kind, base, size, entry, 0 if whole else s.start, None if whole else s.end, types, broken)
+                yield from _rows(s, kind, base, size, entry, [(s.start, 0 if whole else s.start, None if whole else s.end, None)], types, broken)
         elif s.end is None or (s.start < base + size and s.end > base):
-            end = size if s.end is None else min(s.end - base, size)
-            yield from _rows(s, kind, base, size, entry, max(s.start - base, 0), end, types, broken)
+            cuts = ((a, max(a - base, 0), size if b is None else min(b - base, size), after) for a, b, after in s.cuts() if b is None or (a < base + size and b > base))
+            yield from _rows(s, kind, base, size, entry, cuts, types, broken)
 
 
-def _rows(s: Segment, kind: str, base: int, size: int, entry: str, start: int, end: int | None, types: frozenset[str] | None, broken) -> Iterator[tuple]:
-    reader = Plain(s.path, base, size)
-    source = Inflated(reader, s.compressed, start) if kind == "gzip" else reader
+def _rows(s: Segment, kind: str, base: int, size: int, entry: str, cuts: Iterable[tuple[int, int, int | None, int | None]], types: frozenset[str] | None, broken) -> Iterator[tuple]:
+    """The rows of the segments ``cuts``, (place in the file, start, end, after) within the archive. Each is decoded for
+    itself; they share the open file, its block in memory and the gap."""
+    reader, gap = Plain(s.path, base, size), None
+    source = reader
     growing = kind == "plain" and not base
     try:
-        for row in decode(source, start, end, types, None, s.upto if growing else None, s.after if growing else None):
-            row |= {"file_path": s.path, "entry": entry or None}
-            if row.get("member_offset") is not None:
-                row["member_offset"] += base
-            elif base:
-                row["payload_offset"] = row["payload_offset"] + base if row.get("payload_offset") is not None else None
-            yield tuple(row.get(c) for c in _NAMES)
-    except (OSError, ValueError, zlib.error) as error:  # one broken file does not fail the job
-        yield broken(error)
+        for place, start, end, after in cuts:
+            try:
+                if kind == "gzip":
+                    source = Inflated(reader, s.compressed, start)
+                elif gap is None:
+                    gap = learn_gap(reader)
+                for row in decode(source, start, end, types, gap, s.upto if growing else None, after if growing else None):
+                    row |= {"file_path": s.path, "entry": entry or None}
+                    if row.get("member_offset") is not None:
+                        row["member_offset"] += base
+                    elif base:
+                        row["payload_offset"] = row["payload_offset"] + base if row.get("payload_offset") is not None else None
+                    yield tuple(row.get(c) for c in _NAMES)
+            except (OSError, ValueError, zlib.error) as error:  # one broken file does not fail the job
+                yield broken(error, place)
     finally:
-        source.close()
+        reader.close()
 
 
 class WarcReader(DataSourceReader):

@@ -33,6 +33,25 @@ def test_segments_give_the_single_pass(tmp_path, gap):
         assert parts == whole
 
 
+def test_small_segments_share_a_task_and_its_reads(tmp_path, monkeypatch):
+    import zipfile
+
+    path = warcs.write(tmp_path / "a.warc", warcs.records(300))
+    with zipfile.ZipFile(tmp_path / "b.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/data.warc", b"".join(warcs.records(300)))
+    whole, size, taken = keys(rows_of(path)), files.Plain(path).size, []
+    raw = files.Plain._raw
+    monkeypatch.setattr(files.Plain, "_raw", lambda self, at, n: taken.append(len(data := raw(self, at, n))) or data)
+    for task, step, tasks in ((4 << 20, 100, 1), (2_500, 1_000, size // 2_000 + 1), (100, 1_000, size // 1_000 + 1)):
+        monkeypatch.setattr(warc, "TASK", task, raising=False)
+        for name in ("a.warc", "b.wacz"):
+            taken.clear()
+            parts = warc.plan(str(tmp_path / name), {"segmentbytes": str(step)})
+            assert tasks <= len(parts) <= tasks + (tasks > 1)  # the container is a little larger
+            assert keys(dict(zip(warc._NAMES, r, strict=True)) for s in parts for r in warc.read_segment(s, None)) == whole
+            assert tasks > 1 or sum(taken) < 8 * size
+
+
 def test_fields_of_a_response(tmp_path):
     body = warcs.http(warcs.chunked(b"Wiki", b"pedia"), "301", ("Location: /x", "Set-Cookie: a=1", "set-cookie: b=2", "Transfer-Encoding: gzip, Chunked"))
     path = warcs.write(tmp_path / "a.warc", [warcs.record("response", "https://site.test/", body, extra="WARC-Payload-Digest: sha1:ABC")])
